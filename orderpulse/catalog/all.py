@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["cleaning", "facts"]
+FAMILIES = ["cleaning", "facts", "features"]
 
 for _name in FAMILIES:
     importlib.import_module(f"orderpulse.catalog.{_name}")

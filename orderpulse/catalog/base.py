@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderpulse.functions.exprs import nudge
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -62,6 +64,6 @@ def compose(body: str) -> str:
     return f"WITH {parts}\n{body}"
 
 
-def rnd(expr: str, digits: int = 6) -> str:
-    """Rounding that never yields a negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+def rnd(expr: str, digits: int = 8) -> str:
+    """The rounding of `round_all` in SQL."""
+    return f"round({expr} + {nudge(digits)!r}, {digits})"

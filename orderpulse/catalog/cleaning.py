@@ -252,7 +252,7 @@ def canonical(spark, sf):
 
 
 @query("clean_canonical_orders", f"""
-SELECT row_uid, {rnd("CASE WHEN conversion_factor > 0 THEN purchase_unit_price / conversion_factor ELSE purchase_unit_price END")} AS comparable_unit_price,
+SELECT row_uid, {rnd("CASE WHEN conversion_factor > 0 THEN purchase_unit_price / conversion_factor ELSE purchase_unit_price END", 10)} AS comparable_unit_price,
   CASE WHEN conversion_factor > 0 THEN '' ELSE 'INVALID_CONVERSION_FACTOR' END AS warnings,
   coalesce(trim(insurance_drug_code), drug_code) AS product_line_code, drug_name FROM ord
 """)
@@ -261,7 +261,7 @@ def _(spark, sf):
         canonical(spark, sf).select(
             "row_uid", "comparable_unit_price", F.array_join("canonical_warnings", "|").alias("warnings"),
             F.trim("product_line_code").alias("product_line_code"), "drug_name",
-        )
+        ), 10,
     )
 
 
@@ -321,11 +321,11 @@ def _(spark, sf):
 
 @query("clean_detector_orders", f"""
 SELECT manufacturer_code || '|' || hospital_code || '|' || drug_code AS entity_id, order_date, order_id, order_quantity,
-  {rnd("order_amount", 6)} AS order_amount, {rnd("purchase_unit_price", 6)} AS purchase_unit_price, purchase_unit FROM elig
+  {rnd("order_amount", 10)} AS order_amount, {rnd("purchase_unit_price", 10)} AS purchase_unit_price, purchase_unit FROM elig
 """)
 def _(spark, sf):
     return round_all(
         C.prepare_detector_orders(common.eligible(spark, sf)).select(
             "entity_id", "order_date", "order_id", "order_quantity", "order_amount", "purchase_unit_price", "purchase_unit"
-        )
+        ), 10,
     )

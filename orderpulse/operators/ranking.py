@@ -66,25 +66,42 @@ def cumulate(
     return joined.drop("_cell", *[f"_{m}_off" for m in measures])
 
 
-def pct_rank(
-    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "pct_rank", copies: int = 1,
-    descending: bool = False,
+def pct_ranks(
+    df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = (), copies: int = 1, digits: int | None = None,
 ) -> DataFrame:
-    """Average rank of `value` divided by the non-null count of its group (1 = largest).
+    """Average rank of each column divided by the non-null count of its group (1 = largest).
 
-    `copies` says how many times every row will later be repeated, so that the rank equals the one that the
-    repeated frame would give.
+    `columns` maps a column to the name of its rank. All columns are counted in one long table. `copies` says how
+    many times every row will later be repeated, so that the rank equals the one that the repeated frame would
+    give; `digits` decides ties after rounding, for values whose last bits depend on the order of a sum.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        (F.count(F.lit(1)) * copies).alias("_n")
-    )
-    ranked = cumulate(counts, by, value, ["_n"], descending=descending)
-    ranked = ranked.select(
+    def tied(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.round(v, digits) if digits is not None else v
+
+    long = df.select(
         *by,
-        value,
-        ((F.col("_n_before") + (F.col("_n") + 1) / 2) / F.col("_n_total")).alias(name),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("_measure"), tied(c).alias("_value")) for c in columns])),
+    ).where("_value is not null")
+    keys = [*by, "_measure"]
+    counts = long.groupBy(*keys, "_value").agg((F.count(F.lit(1)) * copies).alias("_n"))
+    ranked = cumulate(counts, keys, "_value", ["_n"]).select(
+        *keys, "_value", ((F.expr("_n_before + (_n + 1) / 2")) / F.col("_n_total")).alias("_rank")
     )
-    return null_safe_join(df, ranked, [*by, value], "left")
+    out = df
+    for c, name in columns.items():
+        one = ranked.where(F.col("_measure") == c).select(
+            *by, F.col("_value").alias(f"_v_{name}"), F.col("_rank").alias(name)
+        )
+        out = null_safe_join(out.withColumn(f"_v_{name}", tied(c)), one, [*by, f"_v_{name}"], "left").drop(f"_v_{name}")
+    return out
+
+
+def pct_rank(
+    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "pct_rank", copies: int = 1,
+    digits: int | None = None,
+) -> DataFrame:
+    return pct_ranks(df, {value: name}, by, copies, digits)
 
 
 def exact_rank(

@@ -7,155 +7,145 @@ flag, discount and tax columns by fixed rules, because the star schema has no su
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+# Declared schemas spare the footer reads that inference would need.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+FAILED = "l_returnflag = 'R' and l_linestatus = 'O'"
+PENDING = "l_returnflag = 'N' and l_linestatus = 'O' and o_orderpriority = '1-URGENT'"
+REGION = "lpad(cast(n_regionkey as string), 2, '0')"
+NATION = "lpad(cast(c_nationkey as string), 2, '0')"
+DELIVERED = "cast(floor(l_quantity * (1 - 4 * l_discount)) as double)"
+
+ORDER_COLUMNS = [
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int)) as row_uid",
+    "cast(l_orderkey as string) as order_id",
+    "concat_ws('-', l_orderkey, l_linenumber) as order_detail_id",
+    "to_date(o_orderdate) as order_date",
+    "concat('M', lpad(cast(s_nationkey as string), 2, '0')) as manufacturer_code",
+    f"concat('H', {NATION}) as hospital_code",
+    "p_brand as drug_code",
+    "cast(l_partkey as string) as sku_code",
+    "p_type as product_line_code",
+    "l_quantity as order_quantity",
+    "l_extendedprice * (1 - l_discount) as order_amount",
+    "l_extendedprice / l_quantity as purchase_unit_price",
+    """case when p_brand = 'Brand#13' then null when p_brand = 'Brand#21' and p_size > 25 then 'BAG'
+       else 'BOX' end as purchase_unit""",
+    f"""case when {FAILED} then 90 when o_orderstatus = 'F' then 80 when o_orderstatus = 'O' then 70
+        else 60 end as order_phase_code""",
+    f"case when {PENDING} then 0 else 1 end as order_terminal_flag",
+    f"case when {FAILED} then 1 else 0 end as order_failure_flag",
+    "o_orderpriority = '5-LOW' and l_tax >= 0.075 as needs_manual_review",
+    "case l_returnflag when 'A' then 5 when 'N' then 4 else 3 end as delivery_state_code",
+    f"""case when {FAILED} then 'rejected' when {PENDING} then 'pending' when l_returnflag = 'A' then 'received'
+        else 'completed' end as order_status""",
+    f"{DELIVERED} as delivery_quantity",
+    f"cast(floor({DELIVERED} * (1 - 2 * l_tax)) as double) as arrival_quantity",
+    "to_date(l_shipdate) as delivery_date",
+    "o_orderpriority as order_priority",
+    f"{REGION} as province_code",
+    f"concat({REGION}, {NATION}) as city_code",
+    f"concat({REGION}, {NATION}, '01') as county_code",
+    "concat('L', c_nationkey % 3) as hospital_level_code",
+    "concat('T', c_nationkey % 2) as ownership_type_code",
+    "p_type as drug_category_code",
+    "p_name as drug_name",
+    "c_mktsegment as customer_segment",
+    # Uncleaned text fields, as a source system would deliver them.
+    f"""case when l_tax < 0.005 and l_linenumber = 6 then null
+        when o_orderstatus = 'P' and l_returnflag = 'A' and l_linenumber = 7 then '医院签收'
+        when {FAILED} and o_orderpriority in ('1-URGENT', '2-HIGH') then '拒收'
+        when {FAILED} then '已撤销(系统)' when {PENDING} then '待确认' when l_returnflag = 'A' then ' 已收货 '
+        when l_returnflag = 'N' and l_linestatus = 'F' then '已完成' when l_returnflag = 'N' then '结算完毕'
+        else '部分入库' end as order_status_raw""",
+    "concat(n_regionkey * 10000 + c_nationkey * 100 + 1, '.0') as county_code_raw",
+    """case c_mktsegment when 'FURNITURE' then '990100' when 'MACHINERY' then null
+       else concat(lpad(cast(n_regionkey * 100 + c_nationkey as string), 4, '0'), '00') end as city_code_raw""",
+    """case when p_size >= 48 then null when p_size >= 40 and p_type = 'PROMO' then concat(p_brand, 'X.0')
+       else concat(' ', p_brand, '.0') end as insurance_drug_code""",
+    "cast(case when l_returnflag = 'R' then floor(l_quantity / 10) else 0 end as double) as return_quantity",
+    f"cast(case when {FAILED} and l_linenumber = 7 then l_quantity else 0 end as double) as void_quantity",
+    "case when p_size % 10 > 0 then cast(p_size % 10 as double) end as conversion_factor",
+    """case c_nationkey % 5 when 0 then '三级甲等' when 1 then '二级医院' when 2 then '一级' when 3 then '社区中心'
+       else '' end as hospital_level_raw""",
+    "case c_nationkey % 4 when 0 then '公立医院' when 1 then '民营' when 2 then '合资' end as ownership_type_raw",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _code(prefix: str, c: str) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(F.col(c).cast("string"), 2, "0"))
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with the full set of raw and cleaned order columns."""
-    line = table(spark, sf_dir, "lineitem")
-    head = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
-    )
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
-    nation = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region_key")
-    )
-    joined = (
-        line.join(head, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-        .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(nation, "c_nationkey")
-    )
-    failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
-    pending = (
-        (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")
+    """One row per order line with the full set of raw and cleaned order columns.
+
+    Join sides carry no hints: table statistics and adaptive execution choose broadcast or shuffle by size.
+    """
+    line, head, cust, supp, part, nation = (
+        table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier", "part", "nation")
     )
-    delivered = F.floor(F.col("l_quantity") * (1 - 4 * F.col("l_discount"))).cast("double")
-    return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
-        .alias("row_uid"),
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("order_detail_id"),
-        F.to_date("o_orderdate").alias("order_date"),
-        _code("M", "s_nationkey").alias("manufacturer_code"),
-        _code("H", "c_nationkey").alias("hospital_code"),
-        F.col("p_brand").alias("drug_code"),
-        F.col("l_partkey").cast("string").alias("sku_code"),
-        F.col("p_type").alias("product_line_code"),
-        F.col("l_quantity").alias("order_quantity"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("order_amount"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("purchase_unit_price"),
-        F.when(F.col("p_brand") == "Brand#13", F.lit(None).cast("string"))
-        .when((F.col("p_brand") == "Brand#21") & (F.col("p_size") > 25), "BAG")
-        .otherwise("BOX")
-        .alias("purchase_unit"),
-        F.when(failed, 90)
-        .otherwise(F.when(F.col("o_orderstatus") == "F", 80).when(F.col("o_orderstatus") == "O", 70).otherwise(60))
-        .alias("order_phase_code"),
-        F.when(pending, 0).otherwise(1).alias("order_terminal_flag"),
-        F.when(failed, 1).otherwise(0).alias("order_failure_flag"),
-        ((F.col("o_orderpriority") == "5-LOW") & (F.col("l_tax") >= 0.075)).alias("needs_manual_review"),
-        F.when(F.col("l_returnflag") == "A", 5).when(F.col("l_returnflag") == "N", 4).otherwise(3)
-        .alias("delivery_state_code"),
-        F.when(failed, "rejected").when(pending, "pending").when(F.col("l_returnflag") == "A", "received")
-        .otherwise("completed").alias("order_status"),
-        delivered.alias("delivery_quantity"),
-        F.floor(delivered * (1 - 2 * F.col("l_tax"))).cast("double").alias("arrival_quantity"),
-        F.to_date("l_shipdate").alias("delivery_date"),
-        F.col("o_orderpriority").alias("order_priority"),
-        _code("", "region_key").alias("province_code"),
-        F.concat(_code("", "region_key"), _code("", "c_nationkey")).alias("city_code"),
-        F.concat(_code("", "region_key"), _code("", "c_nationkey"), F.lit("01")).alias("county_code"),
-        F.concat(F.lit("L"), (F.col("c_nationkey") % 3).cast("string")).alias("hospital_level_code"),
-        F.concat(F.lit("T"), (F.col("c_nationkey") % 2).cast("string")).alias("ownership_type_code"),
-        F.col("p_type").alias("drug_category_code"),
-        F.col("p_name").alias("drug_name"),
-        F.col("c_mktsegment").alias("customer_segment"),
-        *_raw_fields(failed, pending),
+    return (
+        line.join(head, line.l_orderkey == head.o_orderkey)
+        .join(cust, head.o_custkey == cust.c_custkey)
+        .join(supp, line.l_suppkey == supp.s_suppkey)
+        .join(part, line.l_partkey == part.p_partkey)
+        .join(nation, cust.c_nationkey == nation.n_nationkey)
+        .selectExpr(*ORDER_COLUMNS)
     )
 
 
-def _raw_fields(failed: Column, pending: Column) -> list[Column]:
-    """Uncleaned text fields, as a source system would deliver them."""
-    county = F.concat((F.col("region_key") * 10000 + F.col("c_nationkey") * 100 + 1).cast("string"), F.lit(".0"))
-    city = F.concat(F.lpad((F.col("region_key") * 100 + F.col("c_nationkey")).cast("string"), 4, "0"), F.lit("00"))
-    level = F.col("c_nationkey") % 5
-    owner = F.col("c_nationkey") % 4
-    return [
-        F.when((F.col("l_tax") < 0.005) & (F.col("l_linenumber") == 6), F.lit(None).cast("string"))
-        .when((F.col("o_orderstatus") == "P") & (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7), "医院签收")
-        .when(failed & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "拒收")
-        .when(failed, "已撤销(系统)")
-        .when(pending, "待确认")
-        .when(F.col("l_returnflag") == "A", " 已收货 ")
-        .when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), "已完成")
-        .when(F.col("l_returnflag") == "N", "结算完毕")
-        .otherwise("部分入库")
-        .alias("order_status_raw"),
-        county.alias("county_code_raw"),
-        F.when(F.col("c_mktsegment") == "FURNITURE", F.lit("990100"))
-        .when(F.col("c_mktsegment") == "MACHINERY", F.lit(None).cast("string"))
-        .otherwise(city)
-        .alias("city_code_raw"),
-        F.when(F.col("p_size") >= 48, F.lit(None).cast("string"))
-        .when((F.col("p_size") >= 40) & (F.col("p_type") == "PROMO"), F.concat("p_brand", F.lit("X.0")))
-        .otherwise(F.concat(F.lit(" "), F.col("p_brand"), F.lit(".0")))
-        .alias("insurance_drug_code"),
-        F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") / 10)).otherwise(0).cast("double")
-        .alias("return_quantity"),
-        F.when(failed & (F.col("l_linenumber") == 7), F.col("l_quantity")).otherwise(0).cast("double")
-        .alias("void_quantity"),
-        F.when(F.col("p_size") % 10 > 0, (F.col("p_size") % 10).cast("double")).alias("conversion_factor"),
-        F.when(level == 0, "三级甲等").when(level == 1, "二级医院").when(level == 2, "一级").when(level == 3, "社区中心")
-        .otherwise("").alias("hospital_level_raw"),
-        F.when(owner == 0, "公立医院").when(owner == 1, "民营").when(owner == 2, "合资").alias("ownership_type_raw"),
-    ]
-
-
 def hospital_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
-        _code("H", "n_nationkey").alias("hospital_code"),
-        F.col("n_name").alias("hospital_name"),
-        _code("", "n_regionkey").alias("region_code"),
-        F.col("r_name").alias("region_name"),
-        F.concat(F.lit("L"), (F.col("n_nationkey") % 3).cast("string")).alias("hospital_level"),
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey, "left").selectExpr(
+        "concat('H', lpad(cast(n_nationkey as string), 2, '0')) as hospital_code",
+        "n_name as hospital_name",
+        f"{REGION} as region_code",
+        "r_name as region_name",
+        "concat('L', n_nationkey % 3) as hospital_level",
     )
 
 
 def manufacturer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(
-        _code("M", "n_nationkey").alias("manufacturer_code"),
-        F.concat(F.lit("MAKER "), F.col("n_name")).alias("manufacturer_name"),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "concat('M', lpad(cast(n_nationkey as string), 2, '0')) as manufacturer_code",
+        "concat('MAKER ', n_name) as manufacturer_name",
     )
 
 
 def drug_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per brand except two, so that unmapped drugs occur; the line is the brand's smallest type."""
+    """One row per brand except two, so that unmapped drugs occur; six product lines."""
     return (
         table(spark, sf_dir, "part")
-        .where(~F.col("p_brand").isin("Brand#3", "Brand#8"))
-        .groupBy(F.col("p_brand").alias("drug_code"))
-        .agg(
-            F.min("p_name").alias("drug_name"),
-            F.max("p_type").alias("drug_category"),
-            F.concat(F.lit("PL"), (F.substring(F.first("p_brand"), 7, 3).cast("int") % 6).cast("string"))
-            .alias("product_line_code"),
+        .where("p_brand not in ('Brand#3', 'Brand#8')")
+        .groupBy("p_brand")
+        .agg({"p_name": "min", "p_type": "max"})
+        .selectExpr(
+            "p_brand as drug_code",
+            "`min(p_name)` as drug_name",
+            "`max(p_type)` as drug_category",
+            "concat('PL', cast(substring(p_brand, 7) as int) % 6) as product_line_code",
+            "concat('LINE PL', cast(substring(p_brand, 7) as int) % 6) as product_line_name",
         )
-        .withColumn("product_line_name", F.concat(F.lit("LINE "), F.col("product_line_code")))
     )
 
 
