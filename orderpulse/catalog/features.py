@@ -217,7 +217,7 @@ def _(spark, sf):
 
 
 @query("feature_demand_profile_research", f"""
-WITH g AS (SELECT *, ((year(purchase_month) - year(p)) * 12 + month(purchase_month) - month(p)) * 30.4375 AS gap FROM (
+WITH g AS (SELECT *, ((year(purchase_month) - year(p)) * 12 + month(purchase_month) - month(p)) * 30.4375::DOUBLE AS gap FROM (
   SELECT *, lag(purchase_month) OVER (PARTITION BY manufacturer_code, hospital_code, drug_group ORDER BY purchase_month) AS p FROM em)),
 a AS (SELECT manufacturer_code, hospital_code, drug_group, cutoff_month, CAST(sum(order_count) AS BIGINT) AS n, count(*) AS a,
   ((year(cutoff_month) - year(min(purchase_month))) * 12 + month(cutoff_month) - month(min(purchase_month))) + 1 AS m, quantile_cont(gap, 0.5) AS med, avg(gap) AS mean, stddev_pop(gap) AS sd,

@@ -131,31 +131,37 @@ def exact_rank(
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, plus nothing else; one row per group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    c = cumulate(counts, by, value, ["_n"])
+    """Exact linear-interpolated quantiles, one row per group; `weight` holds repeat counts if rows are counted.
 
-    def at(index: Column) -> Column:
-        hit = (F.col("_n_before") <= index) & (index < F.col("_n_before") + F.col("_n"))
-        return F.max(F.when(hit, F.col(value).cast("double")))
-
-    aggs: list[Column] = []
+    Cell totals locate the cells that hold the wanted positions; only the values of those cells are ordered.
+    """
+    by = list(by)
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
+    counts = counts.withColumn("_cell", value_cell(F.col(value)))
+    group = by or [F.lit(0)]
+    cells = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(
+        *by, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"), F.col("_n").alias("_cell_n"),
+    )
+    ends = [f"{f}((_total - 1) * {float(p)!r}D)" for p in probs.values() for f in ("floor", "ceil")]
+    wanted = cells.where(" or ".join(f"(_off <= {e} and {e} < _off + _cell_n)" for e in ends)).drop("_cell_n")
+    near = null_safe_join(counts, wanted, [*by, "_cell"], "inner")
+    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.withColumn("_before", F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    aggs = []
     for name, p in probs.items():
-        pos = (F.col("_n_total") - 1) * F.lit(float(p))
-        aggs += [
-            at(F.floor(pos)).alias(f"_{name}_lo"),
-            at(F.ceil(pos)).alias(f"_{name}_hi"),
-            F.max(pos - F.floor(pos)).alias(f"_{name}_w"),
-        ]
-    wide = c.groupBy(*by).agg(*aggs)
-    return wide.select(
-        *by,
-        *[
-            (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n)
-            for n in probs
-        ],
+        pos = f"((_total - 1) * {float(p)!r}D)"
+        for end, f in (("lo", "floor"), ("hi", "ceil")):
+            hit = f"_before <= {f}{pos} and {f}{pos} < _before + _n"
+            aggs.append(F.expr(f"max(if({hit}, cast(`{value}` as double), null)) as _{name}_{end}"))
+        aggs.append(F.expr(f"max({pos} - floor{pos}) as _{name}_w"))
+    return placed.groupBy(*by).agg(*aggs).selectExpr(
+        *by, *[f"_{n}_lo + (_{n}_hi - _{n}_lo) * _{n}_w as {n}" for n in probs]
     )
 
 
