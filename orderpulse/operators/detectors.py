@@ -230,32 +230,26 @@ def default_params(detector: str, overrides: Mapping[str, object] | None = None)
     return lambda name: _literal(values[name])
 
 
-def profile_params(detector: str) -> Param:
-    """Values of the manufacturer's profile, read from the joined `_profiles` map."""
+def _param_column(detector: str, name: str) -> str:
+    return f"_p_{detector}__{name}"
 
-    def p(name: str) -> str:
-        default = DEFAULTS[detector][name]
-        own = f"try_element_at(_profiles, '{detector}')"
-        if isinstance(default, Mapping):
-            maps = f"try_element_at({own}.maps, '{name}')"
-            return f"coalesce({maps}, {_literal(default)})"
-        return f"coalesce(try_element_at({own}.numbers, '{name}'), {_literal(default)})"
 
-    return p
+def profile_params(detector: str) -> Param:
+    """Values of the manufacturer's profile, read from the columns that `pivot_profiles` adds."""
+    return lambda name: f"coalesce({_param_column(detector, name)}, {_literal(DEFAULTS[detector][name])})"
 
 
 def rule_struct(detector: str, rule: Mapping[str, str], config: bool) -> str:
     """SQL of the raw rule outcome; all rules share one struct type."""
     reason = rule["reason"]
-    profile = f"try_element_at(_profiles, '{detector}')"
     if config:
-        reason = f"case when {profile} is null then 'config_missing' else {reason} end"
+        reason = f"case when _c_{detector}_id is null then 'config_missing' else {reason} end"
     fields = {
         "detector_id": f"'{detector}'",
         "detector_family": f"'{FAMILY[detector]}'",
         "detector_version": f"'{VERSION[detector]}'",
-        "config_id": f"coalesce({profile}.config_id, '')" if config else "''",
-        "config_hash": f"coalesce({profile}.config_hash, '')" if config else "''",
+        "config_id": f"coalesce(_c_{detector}_id, '')" if config else "''",
+        "config_hash": f"coalesce(_c_{detector}_hash, '')" if config else "''",
         "reason": f"cast({reason} as string)",
         "hit": f"coalesce({rule['hit']}, false)",
         **{k: f"cast({rule[k]} as double)" for k in ("score", "confidence", "current", "baseline", "comparison", "threshold")},
@@ -304,7 +298,7 @@ def detector_results(
     names = list(detectors or RULES)
     if profiles is not None:
         snapshot = snapshot.join(
-            pivot_profiles(profiles), ["observation_date", "manufacturer_code"], "left"
+            pivot_profiles(profiles, names), ["observation_date", "manufacturer_code"], "left"
         )
     structs = []
     for d in names:
@@ -439,22 +433,23 @@ def run_config_snapshot(resolved: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-def pivot_profiles(resolved: DataFrame) -> DataFrame:
-    """One row per date and manufacturer holding a map from rule to its parsed parameters."""
-    schema = "map<string,string>"
+def pivot_profiles(resolved: DataFrame, detectors: Sequence[str] | None = None) -> DataFrame:
+    """One row per date and manufacturer with a column per rule parameter (null where no profile is valid)."""
     parsed = resolved.select(
         "observation_date", "manufacturer_code", "detector_id", "config_id", "config_hash",
-        F.from_json("parameters", schema).alias("raw"),
-    )
-    numbers = "transform_values(map_filter(raw, (k, v) -> v not like '{%'), (k, v) -> try_cast(v as double))"
-    maps = "transform_values(map_filter(raw, (k, v) -> v like '{%'), (k, v) -> from_json(v, 'map<string,double>'))"
-    one = parsed.selectExpr(
-        "observation_date", "manufacturer_code", "detector_id",
-        f"named_struct('config_id', config_id, 'config_hash', config_hash, 'numbers', {numbers}, 'maps', {maps}) as profile",
-    )
-    return one.groupBy("observation_date", "manufacturer_code").agg(
-        F.map_from_entries(F.collect_list(F.struct("detector_id", "profile"))).alias("_profiles")
+        F.from_json("parameters", "map<string,string>").alias("raw"),
     )
+    aggs = []
+    for d in detectors or RULES:
+        aggs += [f"max(if(detector_id = '{d}', config_{k}, null)) as _c_{d}_{k}" for k in ("id", "hash")]
+        for name, default in DEFAULTS[d].items():
+            text = f"if(detector_id = '{d}', try_element_at(raw, '{name}'), null)"
+            column = _param_column(d, name)
+            if isinstance(default, Mapping):
+                aggs.append(f"from_json(max({text}), 'map<string,double>') as {column}")
+            else:
+                aggs.append(f"max(try_cast({text} as double)) as {column}")
+    return parsed.groupBy("observation_date", "manufacturer_code").agg(*[F.expr(a) for a in aggs])
 
 
 def result_quality(results: DataFrame, clue_table: DataFrame, profiles: DataFrame) -> DataFrame:
