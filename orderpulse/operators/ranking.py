@@ -113,21 +113,34 @@ def exact_rank(
     total: str | None = None,
     descending: bool = True,
     spread: int = 2,
+    running: Sequence[str] = (),
 ) -> DataFrame:
     """1-based row number by (value, ties) within `by`, nulls last; `total` names the group size.
 
-    Rows that share a value are split further by the first `spread` tie columns.
+    Rows that share a value are split further by the first `spread` tie columns. Every column in `running` also
+    gets its inclusive running sum `<c>_upto` and its group sum `<c>_total`.
     """
     lead = list(ties[:spread])
-    counts = df.groupBy(*by, value, *lead).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = cumulate(counts, by, value, ["_n"], descending=descending, then=lead)
+    counts = df.groupBy(*by, value, *lead).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_m_{c}") for c in running]
+    )
+    measures = ["_n", *[f"_m_{c}" for c in running]]
+    offsets = cumulate(counts, by, value, measures, descending=descending, then=lead)
     keep = [*by, value, *lead, "_n_before"] + (["_n_total"] if total else [])
+    keep += [f"_m_{c}_{end}" for c in running for end in ("before", "total")]
     joined = null_safe_join(df, offsets.select(*keep), [*by, value, *lead], "inner")
     local = Window.partitionBy(*by, value, *lead).orderBy(*[F.col(c) for c in ties] or [F.lit(0)])
-    out = joined.withColumn(name, F.col("_n_before") + F.row_number().over(local))
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined.withColumns(
+        {
+            name: F.col("_n_before") + F.row_number().over(local),
+            **{f"{c}_upto": F.col(f"_m_{c}_before") + F.sum(c).over(upto) for c in running},
+            **{f"{c}_total": F.col(f"_m_{c}_total") for c in running},
+        }
+    )
     if total:
         out = out.withColumnRenamed("_n_total", total)
-    return out.drop("_n_before")
+    return out.drop("_n_before", *[f"_m_{c}_{end}" for c in running for end in ("before", "total")])
 
 
 def quantiles(
