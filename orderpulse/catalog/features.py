@@ -103,25 +103,22 @@ def feats(spark, sf, tiers=False):
     return A.cutoff_features(common.entity_month(spark, sf), CUTOFFS, tiers=tiers)
 
 
-def scored(spark, sf):
-    """Expanded features without rank columns, with the rule probability."""
-    f = feats(spark, sf)
-    f = f.withColumns(
-        {
-            "recency_only_baseline": F.col("months_since_last_purchase_asof_cutoff").cast("double"),
-            "frequency_decay_baseline": 1.0 - A.ratio(
-                F.col("order_count_last_3m_asof_cutoff") / 3.0, F.col("order_count_last_12m_asof_cutoff") / 12.0
-            ),
-            "interval_overdue_baseline": A.ratio_pos(
-                "months_since_last_purchase_asof_cutoff",
-                F.col("median_purchase_interval_days_asof_cutoff") / A.DAYS_PER_MONTH,
-            ),
-        }
+def expand_scored(f):
+    """Horizon-expanded features with baseline scores and the rule probability; no rank columns."""
+    f = f.selectExpr(
+        "*", "cast(months_since_last_purchase_asof_cutoff as double) as recency_only_baseline",
+        "1.0D - (order_count_last_3m_asof_cutoff / 3.0D) / nullif(order_count_last_12m_asof_cutoff / 12.0D, 0D) as frequency_decay_baseline",
+        """months_since_last_purchase_asof_cutoff / if(median_purchase_interval_days_asof_cutoff > 0,
+           median_purchase_interval_days_asof_cutoff / 30.4375D, null) as interval_overdue_baseline""",
     ).withColumn("current_interval_over_median", F.col("interval_overdue_baseline"))
     x = A.runtime_ratios(A.expand_horizons(f))
     return x.withColumn("churn_probability_H", scoring.rule_probability())
 
 
+def scored(spark, sf):
+    return expand_scored(feats(spark, sf))
+
+
 @query("feature_candidate_universe", """
 SELECT s.manufacturer_code, s.hospital_code, s.drug_group, s.cutoff_month, first_purchase_month_asof_cutoff AS first_purchase_month,
   last_purchase_month_asof_cutoff, months_since_last_purchase_asof_cutoff AS months_since_last_purchase, 'monitorable' AS candidate_policy
