@@ -104,6 +104,37 @@ def pct_rank(
     return pct_ranks(df, {value: name}, by, copies, digits)
 
 
+def rank_offsets(
+    df: DataFrame, value: str, by: Sequence[str] = (), lead: Sequence[str] = (), descending: bool = True,
+    running: Sequence[str] = (),
+) -> DataFrame:
+    """Rows (and running sums) that precede every (by, value, lead) combination, with the group totals."""
+    counts = df.groupBy(*by, value, *lead).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_m_{c}") for c in running]
+    )
+    measures = ["_n", *[f"_m_{c}" for c in running]]
+    offsets = cumulate(counts, by, value, measures, descending=descending, then=lead)
+    return offsets.select(*by, value, *lead, *[f"{m}_{end}" for m in measures for end in ("before", "total")])
+
+
+def apply_rank(
+    df: DataFrame, offsets: DataFrame, value: str, by: Sequence[str] = (), ties: Sequence[str] = (), lead: Sequence[str] = (),
+    name: str = "rank", total: str | None = None, running: Sequence[str] = (),
+) -> DataFrame:
+    joined = null_safe_join(df, offsets, [*by, value, *lead], "inner")
+    local = Window.partitionBy(*by, value, *lead).orderBy(*[F.col(c) for c in ties] or [F.lit(0)])
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined.withColumns(
+        {
+            name: F.col("_n_before") + F.row_number().over(local),
+            **({total: F.col("_n_total")} if total else {}),
+            **{f"{c}_upto": F.col(f"_m_{c}_before") + F.sum(c).over(upto) for c in running},
+            **{f"{c}_total": F.col(f"_m_{c}_total") for c in running},
+        }
+    )
+    return out.drop("_n_before", "_n_total", *[f"_m_{c}_{end}" for c in running for end in ("before", "total")])
+
+
 def exact_rank(
     df: DataFrame,
     value: str,
@@ -121,26 +152,22 @@ def exact_rank(
     gets its inclusive running sum `<c>_upto` and its group sum `<c>_total`.
     """
     lead = list(ties[:spread])
-    counts = df.groupBy(*by, value, *lead).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_m_{c}") for c in running]
-    )
-    measures = ["_n", *[f"_m_{c}" for c in running]]
-    offsets = cumulate(counts, by, value, measures, descending=descending, then=lead)
-    keep = [*by, value, *lead, "_n_before"] + (["_n_total"] if total else [])
-    keep += [f"_m_{c}_{end}" for c in running for end in ("before", "total")]
-    joined = null_safe_join(df, offsets.select(*keep), [*by, value, *lead], "inner")
-    local = Window.partitionBy(*by, value, *lead).orderBy(*[F.col(c) for c in ties] or [F.lit(0)])
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = joined.withColumns(
-        {
-            name: F.col("_n_before") + F.row_number().over(local),
-            **{f"{c}_upto": F.col(f"_m_{c}_before") + F.sum(c).over(upto) for c in running},
-            **{f"{c}_total": F.col(f"_m_{c}_total") for c in running},
-        }
-    )
-    if total:
-        out = out.withColumnRenamed("_n_total", total)
-    return out.drop("_n_before", *[f"_m_{c}_{end}" for c in running for end in ("before", "total")])
+    offsets = rank_offsets(df, value, by, lead, descending, running)
+    return apply_rank(df, offsets, value, by, ties, lead, name, total, running)
+
+
+def exact_ranks(
+    df: DataFrame, specs: Sequence[tuple[str, Sequence[str], str]], ties: Sequence[str] = (), spread: int = 2,
+    total: str | None = None,
+) -> DataFrame:
+    """Several descending ranks (value, by, name) of one frame; all offsets come from the frame as it is given, so
+    the plan grows by one branch per rank instead of doubling."""
+    lead = list(ties[:spread])
+    out = df
+    for i, (value, by, name) in enumerate(specs):
+        offsets = rank_offsets(df, value, by, lead)
+        out = apply_rank(out, offsets, value, by, ties, lead, name, total if i == 0 else None)
+    return out
 
 
 def quantiles(
