@@ -151,7 +151,7 @@ def exact_rank(
     Rows that share a value are split further by the first `spread` tie columns. Every column in `running` also
     gets its inclusive running sum `<c>_upto` and its group sum `<c>_total`.
     """
-    lead = list(ties[:spread])
+    lead = [t for t in ties if t not in by][:spread]
     offsets = rank_offsets(df, value, by, lead, descending, running)
     return apply_rank(df, offsets, value, by, ties, lead, name, total, running)
 
@@ -162,9 +162,9 @@ def exact_ranks(
 ) -> DataFrame:
     """Several descending ranks (value, by, name) of one frame; all offsets come from the frame as it is given, so
     the plan grows by one branch per rank instead of doubling."""
-    lead = list(ties[:spread])
     out = df
     for i, (value, by, name) in enumerate(specs):
+        lead = [t for t in ties if t not in by][:spread]
         offsets = rank_offsets(df, value, by, lead)
         out = apply_rank(out, offsets, value, by, ties, lead, name, total if i == 0 else None)
     return out
