@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["cleaning", "facts", "features", "detectors", "events", "rules", "evaluation", "candidates", "models", "reports"]
+FAMILIES = ["cleaning", "facts", "features", "detectors", "events", "rules", "evaluation", "candidates", "models", "reports", "sources"]
 
 for _name in FAMILIES:
     importlib.import_module(f"orderpulse.catalog.{_name}")
