@@ -139,7 +139,7 @@ cte("flagu", "SELECT *, " + " OR ".join(K.POLICY_SCORES) + " AS multi_recall_uni
 
 
 def flagged(spark, sf):
-    return K.recall_union(K.policy_scores(cand(spark, sf)))
+    return K.recall_union(cut_lineage(K.policy_scores(cand(spark, sf))))
 
 
 @query("candidates_recall_union", f"SELECT candidate_id, cutoff_month, {', '.join(K.POLICY_SCORES)}, multi_recall_union_top10 FROM flagu")

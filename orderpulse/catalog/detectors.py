@@ -9,6 +9,7 @@ from orderpulse.functions.exprs import round_all
 from orderpulse.operators import detectors as D
 from orderpulse.operators import snapshot as S
 from orderpulse.schemas import ORDER_ENTITY
+from orderpulse.session import cut_lineage
 
 KEY = ["observation_date", *ORDER_ENTITY]
 _K = "manufacturer_code, hospital_code, drug_code"
@@ -280,8 +281,13 @@ def monthly_context(spark, sf):
     )
 
 
+def results_once(spark, sf):
+    """Rule results materialised: hits, ranks and summaries read them several times."""
+    return cut_lineage(results(spark, sf))
+
+
 def clue_table(spark, sf):
-    return D.clues(results(spark, sf), monthly_context(spark, sf))
+    return D.clues(results_once(spark, sf), monthly_context(spark, sf))
 
 
 @query("detector_clues", f"""
@@ -309,7 +315,7 @@ SELECT 'run' AS run_id, observation_date, count(DISTINCT ({_K})) AS scanned_enti
 FROM res GROUP BY observation_date
 """)
 def _(spark, sf):
-    r = results(spark, sf)
+    r = results_once(spark, sf)
     return D.run_summary(r, D.clues(r, monthly_context(spark, sf)))
 
 
@@ -389,7 +395,7 @@ def _(spark, sf):
     resolved = D.resolve_profiles(profiles(spark, sf), OBSERVATION_DATES)
     some = ["purchase_interval_ipi", "low_price_warning", "first_purchase_fact"]
     resolved = resolved.where(F.col("detector_id").isin(some))
-    r = D.detector_results(snap(spark, sf), some, profiles=resolved)
+    r = cut_lineage(D.detector_results(snap(spark, sf), some, profiles=resolved))
     c = D.clues(r, monthly_context(spark, sf))
     return D.result_quality(r, c, resolved).select(
         "observation_date", "detector_id", "result_count", "config_missing_count", "clue_count",

@@ -53,14 +53,14 @@ def entity_month(events: DataFrame) -> DataFrame:
 
     Every column is an aggregate with a map-side partial, so a hot entity is reduced before the shuffle.
     """
-    order = F.struct("purchase_time", "row_uid")
+    order = "purchase_time, row_uid"
+    first = [f"min(if({c} is null, null, struct({order}, {c}))).{c} as {c}" for c in STATIC_COLUMNS]
+    status = ["order_phase_code", "delivery_state_code", "order_failure_flag"]
+    grouped = _entity_month(events, first, f"max(struct({order}, {', '.join(status)})) as _last")
+    return grouped.selectExpr("* except (_last)", *[f"_last.{c} as last_{c}_in_month" for c in status])
 
-    def first_known(c: str) -> Column:
-        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
-
-    def last(c: str, name: str) -> Column:
-        return F.max_by(F.col(c), order).alias(name)
 
+def _entity_month(events: DataFrame, first: Sequence[str], last: str) -> DataFrame:
     return events.groupBy(*ENTITY, "purchase_month").agg(
         F.count("order_detail_id").alias("order_count"),
         F.max(F.when(F.col("order_detail_id").isNotNull(), 1).otherwise(0)).alias("has_purchase"),
@@ -72,10 +72,8 @@ def entity_month(events: DataFrame) -> DataFrame:
         F.count_if(F.col("order_failure_flag") == 1).alias("failed_count"),
         F.count_if(F.col("delivery_state_code") == 5).alias("received_count"),
         F.count_if(F.col("order_terminal_flag") == 1).alias("terminal_count"),
-        *[first_known(c) for c in STATIC_COLUMNS],
-        last("order_phase_code", "last_order_phase_code_in_month"),
-        last("delivery_state_code", "last_delivery_state_code_in_month"),
-        last("order_failure_flag", "last_order_failure_flag_in_month"),
+        *[F.expr(e) for e in first],
+        F.expr(last),
     )
 
 

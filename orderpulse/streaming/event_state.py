@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -81,13 +81,7 @@ def aggregate_stream(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all waiting input into a Parquet table beside the checkpoints, and read it back."""
     spark: SparkSession = stream.sparkSession
-    base = checkpoint_dir(spark).removeprefix("file:")
-    if "://" in base:
-        import uuid
-
-        work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    else:
-        work = tempfile.mkdtemp(prefix="stream-", dir=base)
+    work = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{work}/table")
         .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
