@@ -316,10 +316,10 @@ def _(spark, sf):
 
 
 @query("feature_baseline_scores", f"""
-WITH s AS (SELECT * REPLACE (round(interval_overdue_baseline, 8) AS interval_overdue_baseline, round(frequency_decay_baseline, 8) AS frequency_decay_baseline) FROM featb)
+WITH s AS (SELECT *, round(interval_overdue_baseline, 8) AS o8, round(frequency_decay_baseline, 8) AS d8 FROM featb)
 SELECT entity_id, cutoff_month, recency_only_baseline, {rnd('frequency_decay_baseline')} AS frequency_decay_baseline,
   {rnd('interval_overdue_baseline')} AS interval_overdue_baseline,
-  {rnd(f"0.6 * ({pr('interval_overdue_baseline')}) + 0.25 * ({pr('frequency_decay_baseline')}) + 0.15 * ({pr('recency_only_baseline')})")} AS hybrid_interval_frequency_score
+  {rnd(f"0.6 * ({pr('o8')}) + 0.25 * ({pr('d8')}) + 0.15 * ({pr('recency_only_baseline')})")} AS hybrid_interval_frequency_score
 FROM s
 """)
 def _(spark, sf):
