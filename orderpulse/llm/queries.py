@@ -42,10 +42,10 @@ items AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT size FROM wins),
-at AS (
+places AS (
   SELECT row_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
   FROM (SELECT row_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)
-), hits AS (SELECT row_id, i, size, item_id FROM at JOIN (SELECT size, win, item_id FROM wins) USING (size, win)),
+), hits AS (SELECT row_id, i, size, item_id FROM places JOIN (SELECT size, win, item_id FROM wins) USING (size, win)),
 covered AS (SELECT row_id, count(DISTINCT p) AS n FROM (SELECT row_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY row_id),
 held AS (
   SELECT row_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
