@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderpulse.llm import decontaminate, embeddings, html, packing, quality, simhash
+from orderpulse.llm import decontaminate, embeddings, html, katz, packing, quality, simhash
 from orderpulse.llm.common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,13 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the Katz model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs.withColumn("held", katz.held_out(F.col("doc_id"))))
+
+
 @register
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document against every benchmark window."""
