@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderpulse.llm import decontaminate, embeddings, html, katz, packing, quality, simhash
+from orderpulse.llm import chat, decontaminate, embeddings, html, katz, packing, quality, separators, simhash
 from orderpulse.llm.common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,62 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return html.main_text(pages, html.fit(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@register
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and length of every document in the token files of `documents`, found by their end ids."""
+    end = 50256
+    blocks, names = separators.write_flat(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end)
+    return separators.documents(blocks, end).join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+@register
+def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as chosen; rejected has the last answer of the conversation with the next id instead of its own."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    last = turns.where(F.col("role") == chat.ASSISTANT).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.struct(F.col("own.text").alias("text")).alias("other"))
+    answers = last.select("pair_id", F.col("own.turn").alias("at")).join(other, "pair_id", "left")
+    replaced = F.coalesce((F.col("role") == chat.ASSISTANT) & F.col("turn").eqNullSafe(F.col("at")), F.lit(False))
+    rejected = turns.join(answers, "pair_id", "left").where(~replaced | F.col("other").isNotNull())
+    rejected = rejected.select("pair_id", "turn", "role", F.when(replaced, F.col("other.text")).otherwise(F.col("text")).alias("text"))
+    ranges = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["a"].cast("string"), s["z"].cast("string"))), ",")
+    return chat.preference_pairs(turns, rejected).withColumns({"chosen_mask": ranges("chosen_mask"), "rejected_mask": ranges("rejected_mask")})
+
+
+ORACLES["op7_preference_formatting"] = r"""
+WITH own AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS own FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+marked AS (
+  SELECT x.conv_id, x.turn, x.role, x.text, other.own.text AS answer, other.conv_id IS NOT NULL AS has_other,
+    x.role IS NOT DISTINCT FROM 'assistant' AND own.conv_id IS NOT NULL AND x.turn IS NOT DISTINCT FROM own.own.turn AS replaced
+  FROM conversations x LEFT JOIN own ON own.conv_id = x.conv_id LEFT JOIN own other ON other.conv_id = x.conv_id + 1 AND own.conv_id IS NOT NULL
+), sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT conv_id, 1, turn, role, CASE WHEN replaced THEN answer ELSE text END FROM marked WHERE conv_id IS NOT NULL AND (NOT replaced OR has_other)
+), t AS (
+  SELECT pair_id, side, role, text,
+    row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+    '<|' || replace(coalesce(role, ''), '<|', '<\|') || '|>' || chr(10) AS head,
+    replace(coalesce(text, ''), '<|', '<\|') || '<|end|>' || chr(10) AS body
+  FROM sides
+), c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
+sizes AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM t GROUP BY pair_id),
+differ AS (
+  SELECT c.pair_id, min(c.k) AS k FROM c JOIN r ON c.pair_id = r.pair_id AND c.k = r.k
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY c.pair_id
+), cut AS (SELECT pair_id, nc, nr, coalesce(k - 1, least(nc, nr)) AS n FROM sizes LEFT JOIN differ USING (pair_id)),
+rest AS (
+  SELECT t.*, n, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side ORDER BY k) AS z
+  FROM t JOIN cut USING (pair_id) WHERE k > n
+), made AS (
+  SELECT pair_id, side, string_agg(head || body, '' ORDER BY k) AS txt,
+    string_agg((z - length(body))::VARCHAR || '-' || (z - 1)::VARCHAR, ',' ORDER BY k) FILTER (role = 'assistant') AS mask
+  FROM rest GROUP BY pair_id, side
+), prompts AS (SELECT pair_id, string_agg(head || body, '' ORDER BY k) AS txt FROM t JOIN cut USING (pair_id) WHERE k <= n AND side = 0 GROUP BY pair_id)
+SELECT cut.pair_id, coalesce(p.txt, '') AS prompt, coalesce(a.txt, '') AS chosen, coalesce(b.txt, '') AS rejected,
+  coalesce(a.mask, '') AS chosen_mask, coalesce(b.mask, '') AS rejected_mask,
+  n AS prompt_turns, nc - n AS chosen_turns, nr - n AS rejected_turns, n > 0 AND a.mask IS NOT NULL AND b.mask IS NOT NULL AS usable
+FROM cut LEFT JOIN prompts p USING (pair_id) LEFT JOIN made a ON a.pair_id = cut.pair_id AND a.side = 0 LEFT JOIN made b ON b.pair_id = cut.pair_id AND b.side = 1
+"""

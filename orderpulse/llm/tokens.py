@@ -25,11 +25,12 @@ STEP = 8_000_000
 class Encoder:
     """Encodes batches of texts; `prefixed` says whether a word's ids depend on the space before it."""
 
-    def __init__(self, path: str, prefixed: bool):
+    def __init__(self, path: str, prefixed: bool, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
         self.prefixed = prefixed
         self.kept: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
@@ -124,14 +125,14 @@ class Encoder:
         return pool[where + np.arange(len(where))], count
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, prefixed: bool) -> Encoder:
+def encoder(path: str, prefixed: bool, special_as_text: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; it and its words stay from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, prefixed)
-    return _ENCODERS[path]
+    if (path, special_as_text) not in _ENCODERS:
+        _ENCODERS[path, special_as_text] = Encoder(path, prefixed, special_as_text)
+    return _ENCODERS[path, special_as_text]
 
 
 def with_end(flat: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
