@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderpulse.llm import chat, decontaminate, embeddings, html, katz, packing, quality, separators, simhash
+from orderpulse.llm import chat, decontaminate, embeddings, html, katz, packing, quality, rangecoder, separators, simhash
 from orderpulse.llm.common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,10 @@ SELECT cut.pair_id, coalesce(p.txt, '') AS prompt, coalesce(a.txt, '') AS chosen
   n AS prompt_turns, nc - n AS chosen_turns, nr - n AS rejected_turns, n > 0 AND a.mask IS NOT NULL AND b.mask IS NOT NULL AS usable
 FROM cut LEFT JOIN prompts p USING (pair_id) LEFT JOIN made a ON a.pair_id = cut.pair_id AND a.side = 0 LEFT JOIN made b ON b.pair_id = cut.pair_id AND b.side = 1
 """
+
+
+@register
+def op8_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document, read back from the token files."""
+    files = rangecoder.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return rangecoder.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
