@@ -46,6 +46,7 @@ _HINTS = frozenset(
     " related recommended recommendations widget pagination pager login search toolbar copyright disclaimer topbar skip".split()
 )
 _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+_INLINE = frozenset("a b br i em strong span img".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "head"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -153,14 +154,16 @@ def _kinds(page: Page, marks: bool) -> list[tuple]:
         node = item[2]
         if (out := node.excluded()) is not None:
             if out is not skipped:
-                found.append((f"out:{out.name if out.name in _BLOCKS else 'inline'}", None, None))
+                within = out.up is not None and out.up.inside
+                found.append(("out:within" if marked and within else f"out:{out.name if out.name in _BLOCKS else 'inline'}", None, within))
             skipped = out
             if item[0] == "tag":
                 found.append(("", item[1], None))
             continue
         skipped = None
         if item[0] == "tag":
-            found.append((f"tag:{item[1] if item[1] in _BLOCKS or item[1] in ('a', 'b', 'br', 'i', 'em', 'strong', 'span', 'img') else 'other'}", item[1], node.inside))
+            name = "within" if marked and node.inside else item[1] if item[1] in _BLOCKS or item[1] in _INLINE else "other"
+            found.append((f"tag:{name}", item[1], node.inside))
         else:
             kind = "word:outside" if marked and not node.inside else "word:link" if item[3] and not marked else "word"
             found.append((kind, item[1], node.inside))
@@ -181,15 +184,16 @@ def count(source: str | None) -> Counter:
 
 
 def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log odds of each kind, halves added; words of content stay positive, tags and all else negative."""
+    """Log odds of each kind, halves added; words of content stay positive, tags and all else negative, those within
+    marked content the least: they only part its words."""
     kinds = {k for k, _ in counts}
     n_in = sum(v for (_, i), v in counts.items() if i) + len(kinds) / 2
     n_out = sum(v for (_, i), v in counts.items() if not i) + len(kinds) / 2
     found = {}
     for kind in kinds:
         odds = math.log((counts.get((kind, True), 0) + 0.5) / n_in) - math.log((counts.get((kind, False), 0) + 0.5) / n_out)
-        found[kind] = min(3.0, max(0.5, odds)) if kind == "word" else max(-8.0, min(-0.1, odds))
-    return found
+        found[kind] = min(3.0, max(0.5, odds)) if kind == "word" else max(-8.0, min(-0.001 if kind.endswith(":within") else -0.1, odds))
+    return found | {kind: -0.001 for kind in ("tag:within", "out:within") if kind not in found}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -204,6 +208,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
+def _in_block(item: tuple) -> bool:
+    """Whether an item belongs to the block around it: a word or an inline tag."""
+    return item[0] in ("word", "word:link") or item[0].startswith("tag:") and item[1] not in _BLOCKS
+
+
 def extract(source: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, white space made single, joined by an empty line."""
     items = _kinds(Page(source), True)
@@ -215,9 +224,9 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
             scores.append(weights.get(kind, -0.5) if kind else 0.0)
     a, z = best_region(scores)
     # A block is kept whole.
-    while a > 0 and not (items[a - 1][0] != items[a][0] and items[a - 1][1] in _BLOCKS) and items[a - 1][0] in ("word", "word:link", "tag:a", "tag:b", "tag:i", "tag:em", "tag:strong", "tag:span", "tag:br", "tag:other", "tag:img"):
+    while a > 0 and z > a and _in_block(items[a]) and _in_block(items[a - 1]):
         a -= 1
-    while z < len(items) and items[z][0] in ("word", "word:link", "tag:a", "tag:b", "tag:i", "tag:em", "tag:strong", "tag:span", "tag:br", "tag:other", "tag:img"):
+    while a < z < len(items) and _in_block(items[z]):
         z += 1
     blocks, now = [], []
     for kind, text, _ in items[a:z]:
