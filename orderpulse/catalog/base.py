@@ -42,8 +42,9 @@ def _names(sql: str) -> list[str]:
 
 
 def compose(body: str) -> str:
-    """Prefix the body with the expressions it needs, dependencies first."""
+    """Prefix the body with the expressions it needs, dependencies first; a name that the body defines stays its own."""
     done: list[str] = []
+    own = set(re.findall(r"\b([a-z_0-9]+)\s+AS\s+(?:MATERIALIZED\s+)?\(\s*(?:SELECT|WITH|FROM)\b", body, flags=re.I))
 
     def visit(name: str) -> None:
         if name in done:
@@ -54,10 +55,12 @@ def compose(body: str) -> str:
         done.append(name)
 
     for name in _names(body):
-        visit(name)
+        if name not in own:
+            visit(name)
     if not done:
         return body
-    parts = ",\n".join(f"{n} AS (\n{CTES[n].strip()}\n)" for n in done)
+    # Each expression is computed once: several of them are read many times further down.
+    parts = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n].strip()}\n)" for n in done)
     body = body.strip()
     if re.match(r"with\s", body, flags=re.I):
         return f"WITH {parts},\n{body[4:].strip()}"
