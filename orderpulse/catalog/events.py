@@ -1,5 +1,7 @@
 """Cross-day event aggregates, in batch and as a stream."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orderpulse.catalog import common  # noqa: F401
@@ -8,12 +10,12 @@ from orderpulse.catalog.base import cte, query
 from orderpulse.operators import detectors as D
 from orderpulse.operators import events as W
 from orderpulse.schemas import ORDER_ENTITY
+from orderpulse.session import checkpoint_dir
 from orderpulse.sources import star
 from orderpulse.streaming import event_state as ST
 
 _K = "manufacturer_code, hospital_code, drug_code"
-_SOME = ["purchase_interval_ipi", "purchase_quantity_trend", "purchase_quantity_spike", "purchase_frequency_drop", "first_purchase_fact", "reactivated_purchase_fact"]
-cte("hit", f"SELECT DISTINCT {_K}, observation_date, detector_id FROM res WHERE hit_flag AND detector_id IN ({', '.join(repr(d) for d in _SOME)})")
+cte("hit", f"SELECT DISTINCT {_K}, observation_date, detector_id FROM res WHERE hit_flag")
 _AGG = """
 SELECT {k}, observation_date, n AS current_detector_count, ids AS current_detector_ids,
   CAST(sum(n) OVER w AS BIGINT) AS cumulative_hit_count, count(*) OVER w AS cumulative_hit_day_count,
@@ -26,8 +28,7 @@ cte("agg", _AGG.format(k=_K, src="hit", same=" AND ".join(f"h.{c} = d.{c}" for c
 
 
 def results(spark, sf):
-    base = DQ._base(spark, sf).withColumns({"drug_group": F.col("drug_code"), "data_history_start": F.lit(None).cast("date")})
-    return D.detector_results(base, _SOME)
+    return DQ.results(spark, sf)
 
 
 @query("event_normalize_hits", "SELECT * FROM hit")
@@ -96,10 +97,17 @@ def event_stream(spark, sf):
     return spark.readStream.schema(star.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def split_event_stream(spark, sf):
+    """The events in six files, dealt by event so that every day is split over them, read one file at a time."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    star.table(spark, sf, "events").repartition(6, F.xxhash64("event_id")).write.parquet(path)
+    return spark.readStream.schema(star.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("event_user_aggregates_stream", _AGG.format(k="user_id", src="ev", same="h.user_id = d.user_id"))
 def _(spark, sf):
-    out = ST.run_available(ST.aggregate_stream(event_hits(event_stream(spark, sf)), ["user_id"]))
-    return out.withColumns({c: F.to_date(c) for c in ("observation_date", "first_hit_date", "last_hit_date")}).select(*_EV_COLS)
+    out = ST.run_available(ST.aggregate_stream(event_hits(split_event_stream(spark, sf)), ["user_id"]))
+    return ST.latest_rows(out, ["user_id"]).withColumns({c: F.to_date(c) for c in ("observation_date", "first_hit_date", "last_hit_date")}).select(*_EV_COLS)
 
 
 @query("event_hits_deduplicated_stream", "SELECT * FROM ev")

@@ -40,7 +40,7 @@ FROM (SELECT manufacturer_code, hospital_code, drug_group, cutoff_month, CAST(su
   max(purchase_month) AS last_purchase_month_asof_cutoff, {', '.join(_WIN)},
   quantile_cont(gap_days, 0.5) AS median_purchase_interval_days_asof_cutoff,
   quantile_cont(gap_days, 0.75) - quantile_cont(gap_days, 0.25) AS purchase_interval_iqr_asof_cutoff,
-  avg(gap_days) AS mean_purchase_interval_days_asof_cutoff, stddev_samp(gap_days) AS std_purchase_interval_days_asof_cutoff,
+  avg(gap_days) AS mean_purchase_interval_days_asof_cutoff, stddev_samp(gap_days) AS std_purchase_interval_days_asof_cutoff, mad(gap_days::DOUBLE) AS purchase_interval_mad_days_asof_cutoff,
   (stddev_samp(purchase_quantity_sum) / nullif(avg(purchase_quantity_sum), 0)) ** 2 AS cv2_quantity_asof_cutoff, {_LAST},
   last(last_order_phase_code_in_month ORDER BY purchase_month) AS last_order_phase_code_asof_cutoff,
   last(last_delivery_state_code_in_month ORDER BY purchase_month) AS last_delivery_state_code_asof_cutoff,
@@ -448,13 +448,15 @@ def _(spark, sf):
     return round_all(s.select("candidate_id", "cutoff_month", "churn_probability_H"))
 
 
+# Two text columns are declared as numbers: only figures among their values survive the type.
 @query("quality_feature_parity", """
 SELECT 'months_since_last_purchase_asof_cutoff' AS required_feature, count(*) FILTER (months_since_last_purchase_asof_cutoff IS NULL) AS missing_before,
   count(*) FILTER (months_since_last_purchase_asof_cutoff IS NULL) AS missing_after, 'runtime_generated' AS production_imputation, 'available_from_raw_feature_engineering' AS parity_status FROM feat
 UNION ALL SELECT 'median_purchase_interval_days_asof_cutoff', count(*) FILTER (median_purchase_interval_days_asof_cutoff IS NULL), count(*) FILTER (median_purchase_interval_days_asof_cutoff IS NULL), 'runtime_generated', 'available_from_raw_feature_engineering' FROM feat
-UNION ALL SELECT 'cv2_quantity_asof_cutoff', count(*) FILTER (cv2_quantity_asof_cutoff IS NULL), count(*) FILTER (cv2_quantity_asof_cutoff IS NULL), 'runtime_generated', 'available_from_raw_feature_engineering' FROM feat
+UNION ALL SELECT 'sample_class', count(*) FILTER (sample_class IS NULL), count(*) FILTER (TRY_CAST(sample_class AS DOUBLE) IS NULL), 'runtime_generated', 'available_from_raw_feature_engineering' FROM feat
+UNION ALL SELECT 'province_code', count(*) FILTER (province_code IS NULL), count(*) FILTER (TRY_CAST(province_code AS DOUBLE) IS NULL), 'runtime_generated', 'available_from_raw_feature_engineering' FROM feat
 UNION ALL SELECT 'region_risk', 0, 0, 'schema_default', 'generated_from_schema_default'
 """)
 def _(spark, sf):
-    cols = ["months_since_last_purchase_asof_cutoff", "median_purchase_interval_days_asof_cutoff", "cv2_quantity_asof_cutoff", "region_risk"]
-    return A.parity_report(feats(spark, sf), cols, {"region_risk": 0.5})
+    types = {"months_since_last_purchase_asof_cutoff": "int", "median_purchase_interval_days_asof_cutoff": "float", "sample_class": "float", "province_code": "int", "region_risk": "float"}
+    return A.parity_report(feats(spark, sf), list(types), {"region_risk": 0.5}, types)

@@ -65,22 +65,32 @@ def _(spark, sf):
     return R.one_shot_new_terminal(CQ.entity_features(spark, sf)).select(*KEY, "hit_flag", "reason_code")
 
 
+cte("iz", f"""
+SELECT *, CASE WHEN purchase_interval_mad_days_asof_cutoff > 0 THEN (months_since_last_purchase_asof_cutoff * 30.4375 - median_purchase_interval_days_asof_cutoff) / purchase_interval_mad_days_asof_cutoff END AS z,
+  (coalesce(overdue_ratio >= 2, false) OR {_ST}) AND demand_shape_route <> 'observation_only' AS h FROM surv
+""")
+# The tail by Simpson's rule over ten deviations in 1,000 steps.
+_STEPS = "(SELECT sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(0 - (abs(z) + i / 100) ** 2 / 2)) * 0.01 / 3 / sqrt(2 * pi()) FROM range(0, 1001) t(i))"
+
+
 @query("rule_interval_overdue_p_value", f"""
-SELECT entity_id, cutoff_month, (coalesce(overdue_ratio >= 2, false) OR {_ST}) AND demand_shape_route <> 'observation_only' AS hit_flag,
-  {rnd('CASE WHEN std_purchase_interval_days_asof_cutoff > 0 THEN (months_since_last_purchase_asof_cutoff * 30.4375 - med) / std_purchase_interval_days_asof_cutoff END', 6)} AS robust_z FROM surv
+SELECT entity_id, cutoff_month, h AS hit_flag, {rnd('z', 6)} AS robust_z FROM iz
 """)
 def _(spark, sf):
     return round_all(R.interval_overdue_test(CQ.refined(spark, sf)).select(*KEY, "hit_flag", "robust_z"), 6)
 
 
-@query("rule_interval_tail_probability")
+@query("rule_interval_tail_probability", f"""
+WITH d AS (SELECT DISTINCT z FROM iz WHERE z IS NOT NULL), t AS (SELECT z, {_STEPS} AS u FROM d)
+SELECT entity_id, cutoff_month, {rnd('iz.z', 6)} AS robust_z, {rnd('CASE WHEN iz.z >= 0 THEN u ELSE 1 - u END', 6)} AS p_value FROM iz JOIN t ON iz.z = t.z
+""")
 def _(spark, sf):
-    return round_all(R.interval_overdue_test(CQ.refined(spark, sf)).where("p_value is not null").select(*KEY, "robust_z", "p_value"))
+    return round_all(R.interval_overdue_test(CQ.refined(spark, sf)).where("p_value is not null").select(*KEY, "robust_z", "p_value"), 6)
 
 
 # The binomial tail by explicit terms: counts per twelve months are small here.
 def _cdf(k, p):
-    return f"CASE WHEN o12 <= 0 THEN NULL WHEN {k} >= o12 THEN 1 ELSE (SELECT sum(exp(lgamma(o12 + 1) - lgamma(i + 1) - lgamma(o12 - i + 1) + i * ln({p}) + (o12 - i) * ln(1 - {p}))) FROM range(0, 400) t(i) WHERE i <= {k}) END"
+    return f"CASE WHEN o12 <= 0 THEN NULL WHEN {k} >= o12 THEN 1 ELSE (SELECT sum(exp(lgamma(o12 + 1) - lgamma(i + 1) - lgamma(o12 - i + 1) + i * ln({p}) + (o12 - i) * ln(1 - {p}))) FROM range(0, o12 + 1) t(i) WHERE i <= {k}) END"
 
 
 cte("rd", f"""
@@ -99,41 +109,76 @@ def _(spark, sf):
 
 
 @query("rule_evidence_ids", f"""
-SELECT entity_id, cutoff_month, substr(sha256(entity_id || '|sales_fluctuation|purchase_quantity_fluctuation_warning|' || cutoff_month || '|' ||
-  CASE WHEN r IS NULL THEN 'quantity_fields_missing' WHEN r < 0.5 THEN 'quantity_drop' WHEN r > 3 THEN 'quantity_spike' ELSE 'no_quantity_fluctuation' END), 1, 16) AS evidence_id FROM qr
+SELECT entity_id, cutoff_month, horizon, substr(sha256(entity_id || '|' || horizon || '|sales_fluctuation|purchase_quantity_fluctuation_warning|v2|' || cutoff_month || '|' || horizon || '|' ||
+  CASE WHEN r IS NULL THEN 'quantity_fields_missing' WHEN r < 0.5 THEN 'quantity_drop' WHEN r > 3 THEN 'quantity_spike' ELSE 'no_quantity_fluctuation' END
+  || '|orders_3m=' || CAST(order_count_last_3m_asof_cutoff AS BIGINT)), 1, 16) AS evidence_id FROM qr, (VALUES ('H1'), ('H3'), ('H6'), ('H12')) t(horizon)
 """)
 def _(spark, sf):
-    return R.evidence_ids(R.quantity_fluctuation(CQ.refined(spark, sf))).select(*KEY, "evidence_id")
+    s = CQ.refined(spark, sf)
+    values = s.selectExpr(*KEY, "concat('orders_3m=', cast(order_count_last_3m_asof_cutoff as bigint)) as evidence_values")
+    e = R.quantity_fluctuation(s).join(values, KEY).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in ("H1", "H3", "H6", "H12")])))
+    e = e.withColumns({"candidate_id": F.concat_ws("|", "entity_id", "horizon"), "detector_version": F.lit("v2")})
+    return R.evidence_ids(e).select(*KEY, "horizon", "evidence_id")
 
 
 @query("rule_benjamini_hochberg", f"""
-WITH t AS (SELECT entity_id, cutoff_month, round(least(p3, p6), 10) AS p FROM rd WHERE p3 IS NOT NULL),
-r AS (SELECT *, p * count(*) OVER (PARTITION BY cutoff_month) / count(*) OVER (PARTITION BY cutoff_month ORDER BY p) AS raw FROM t)
-SELECT entity_id, cutoff_month, {rnd('least(min(raw) OVER (PARTITION BY cutoff_month ORDER BY p DESC), 1)', 6)} AS fdr_q_value FROM r
+WITH t AS (SELECT entity_id, cutoff_month, horizon, round(CASE horizon WHEN 'H3' THEN p3 ELSE p6 END, 10) AS p FROM rd, (VALUES ('H3'), ('H6')) h(horizon) WHERE p3 IS NOT NULL),
+r AS (SELECT *, p * count(*) OVER (PARTITION BY cutoff_month, horizon) / count(*) OVER (PARTITION BY cutoff_month, horizon ORDER BY p) AS raw FROM t)
+SELECT entity_id, cutoff_month, horizon, {rnd('least(min(raw) OVER (PARTITION BY cutoff_month, horizon ORDER BY p DESC), 1)', 6)} AS fdr_q_value FROM r
 """)
 def _(spark, sf):
-    return round_all(R.benjamini_hochberg(R.rate_drop_test(CQ.entity_features(spark, sf)), ["cutoff_month"]).select(*KEY, "fdr_q_value"), 6)
+    # One test per window, so that the horizons differ: 3 against 9 months for H3, 6 against 6 for H6.
+    t = R.rate_drop_test(CQ.entity_features(spark, sf)).selectExpr(*KEY, "detector_name", "stack(2, 'H3', p_value_3m, 'H6', p_value_6m) as (horizon, p_value)")
+    return round_all(R.benjamini_hochberg(t, ["cutoff_month", "horizon", "detector_name"]).select(*KEY, "horizon", "fdr_q_value"), 6)
 
 
 def evidence(spark, sf):
     s = CQ.refined(spark, sf)
-    cols = [*KEY, "detector_family", "detector_name", "hit_flag"]
-    return R.terminal_loss(s).select(*cols).unionByName(R.frequency_fluctuation(s).select(*cols)).unionByName(R.quantity_fluctuation(s).select(*cols))
+    cols = [*KEY, "detector_family", "detector_name", "hit_flag", "data_quality_status"]
+    plain = [f(s).withColumn("data_quality_status", F.lit("ok")).select(*cols) for f in (R.terminal_loss, R.frequency_fluctuation, R.quantity_fluctuation, R.interval_overdue_test)]
+    out = R.rate_drop_test(CQ.entity_features(spark, sf)).select(*cols)
+    for p in plain:
+        out = out.unionByName(p)
+    return out
 
 
 cte("evd", f"""
-SELECT entity_id, cutoff_month, 'terminal_dynamic' AS detector_family, 'terminal_loss_warning' AS detector_name, {_ST} AND demand_shape_route <> 'observation_only' AS hit_flag FROM surv
-UNION ALL SELECT entity_id, cutoff_month, 'sales_fluctuation', 'purchase_frequency_fluctuation_warning', coalesce(d3 < 0.5 OR d6 < 0.6, false) FROM d36
-UNION ALL SELECT entity_id, cutoff_month, 'sales_fluctuation', 'purchase_quantity_fluctuation_warning', coalesce(r < 0.5 OR r > 3, false) FROM qr
+SELECT entity_id, cutoff_month, 'terminal_dynamic' AS detector_family, 'terminal_loss_warning' AS detector_name, {_ST} AND demand_shape_route <> 'observation_only' AS hit_flag, 'ok' AS quality FROM surv
+UNION ALL SELECT entity_id, cutoff_month, 'sales_fluctuation', 'purchase_frequency_fluctuation_warning', coalesce(d3 < 0.5 OR d6 < 0.6, false), 'ok' FROM d36
+UNION ALL SELECT entity_id, cutoff_month, 'sales_fluctuation', 'purchase_quantity_fluctuation_warning', coalesce(r < 0.5 OR r > 3, false), 'ok' FROM qr
+UNION ALL SELECT entity_id, cutoff_month, 'terminal_dynamic', 'purchase_interval_overdue_warning', h, 'ok' FROM iz
+UNION ALL SELECT entity_id, cutoff_month, 'sales_fluctuation', 'purchase_frequency_decay_rate_test', h3 OR h6, CASE WHEN least(p3, p6) IS NULL OR p3 IS NULL OR p6 IS NULL THEN 'not_evaluable' ELSE 'ok' END FROM rdh
 """)
 
 
 @query("rule_corroboration", """
-SELECT entity_id, cutoff_month, count(DISTINCT detector_family) FILTER (hit_flag) AS effective_family_count, count(*) FILTER (hit_flag) AS hit_count,
-  CASE count(DISTINCT detector_family) FILTER (hit_flag) WHEN 0 THEN 'none' WHEN 1 THEN 'single_signal' ELSE 'multi_signal' END AS corroboration_level FROM evd GROUP BY entity_id, cutoff_month
+WITH f AS (
+  SELECT *, CASE detector_name WHEN 'terminal_loss_warning' THEN 'terminal' WHEN 'purchase_interval_overdue_warning' THEN 'terminal' WHEN 'purchase_quantity_fluctuation_warning' THEN 'quantity' ELSE 'frequency' END AS fam FROM evd
+), g AS (
+  SELECT entity_id, cutoff_month, count(DISTINCT fam) FILTER (hit_flag AND quality <> 'not_evaluable') AS effective_family_count, count(*) FILTER (hit_flag) AS hit_count,
+    coalesce(bool_or(hit_flag AND detector_name = 'purchase_frequency_decay_rate_test'), false) AS tested FROM f GROUP BY entity_id, cutoff_month
+)
+SELECT entity_id, cutoff_month, effective_family_count, hit_count, CASE WHEN demand_shape_route = 'observation_only' THEN 'suppressed_by_l2' WHEN effective_family_count = 0 THEN 'none'
+  WHEN effective_family_count >= 2 THEN 'multi_signal' WHEN tested THEN 'provisional_fdr_ready' ELSE 'single_signal' END AS corroboration_level
+FROM g LEFT JOIN (SELECT entity_id, cutoff_month, demand_shape_route FROM surv) USING (entity_id, cutoff_month)
+""")
+def _(spark, sf):
+    guard = CQ.refined(spark, sf).selectExpr(*KEY, "if(demand_shape_route = 'observation_only', 'policy_caveat', 'none') as l2_guardrail")
+    return R.corroboration(evidence(spark, sf), guardrail=guard)
+
+
+@query("rule_p_value_readiness", """
+WITH t AS (
+  SELECT 'purchase_frequency_decay_rate_test' AS detector_name, least(p3, p6) AS p, CASE WHEN least(p3, p6) IS NULL THEN 'not_available' ELSE 'conditional_binomial' END AS method, least(p3, p6) IS NOT NULL AS ok FROM rdh
+  UNION ALL SELECT 'purchase_interval_overdue_warning', z, CASE WHEN z IS NULL THEN 'not_available_mad_missing' ELSE 'robust_interval_z_normal_approx' END, true FROM iz
+)
+SELECT detector_name, count(*) FILTER (ok) AS evaluated_row_count, count(p) AS p_value_available_count, count(*) - count(p) AS p_value_missing_count, count(p) AS fdr_eligible_count,
+  string_agg(DISTINCT method, ';' ORDER BY method) AS p_value_method, CASE WHEN count(p) > 0 THEN 'ready_for_future_fdr' ELSE 'partial_or_not_ready_for_fdr' END AS readiness_note FROM t GROUP BY detector_name
 """)
 def _(spark, sf):
-    return R.corroboration(evidence(spark, sf))
+    cols = ["detector_name", "p_value", "p_value_method", "fdr_eligible", "data_quality_status"]
+    e = R.rate_drop_test(CQ.entity_features(spark, sf)).select(*cols)
+    return R.p_value_readiness(e.unionByName(R.interval_overdue_test(CQ.refined(spark, sf)).withColumn("data_quality_status", F.lit("ok")).select(*cols)))
 
 
 @query("rule_closure_detectors", """

@@ -329,10 +329,10 @@ def _(spark, sf):
 
 @query("quality_backfill", f"""
 SELECT detector_id, count(*) AS published_dates, CAST(sum(n) AS BIGINT) AS result_count, CAST(sum(h) AS BIGINT) AS clue_count, min(h) AS min_daily_clue_count, max(h) AS max_daily_clue_count, 4 - count(*) AS missing_dates
-FROM (SELECT detector_id, observation_date, count(*) AS n, count(*) FILTER (hit_flag) AS h FROM res WHERE detector_id IN ({', '.join(repr(d) for d in EQ._SOME)}) GROUP BY ALL) GROUP BY detector_id
+FROM (SELECT detector_id, observation_date, count(*) AS n, count(*) FILTER (hit_flag) AS h FROM res GROUP BY ALL) GROUP BY detector_id
 """)
 def _(spark, sf):
-    return Q.backfill_validation(EQ.results(spark, sf), common.OBSERVATION_DATES, EQ._SOME)
+    return Q.backfill_validation(EQ.results(spark, sf), common.OBSERVATION_DATES, list(DQ.D.RULES))
 
 
 @query("quality_freshness", "SELECT max(order_date) AS max_order_time, count(*) AS row_count FROM ord WHERE order_date BETWEEN DATE '2001-01-01' AND DATE '2001-06-30' AND manufacturer_code = 'M01'")

@@ -74,14 +74,16 @@ def index(spark, sf):
 
 
 @query("publish_latest_component", """
-SELECT observation_date, detector_id, CASE WHEN detector_id = 'first_purchase_fact' THEN 'b1' ELSE 'b2' END AS batch_id FROM res
-WHERE detector_id IN ('purchase_interval_ipi', 'purchase_quantity_trend', 'purchase_quantity_spike', 'purchase_frequency_drop', 'first_purchase_fact', 'reactivated_purchase_fact') GROUP BY ALL
+SELECT observation_date, detector_id, CASE WHEN detector_id = 'first_purchase_fact' THEN 'b1' ELSE 'b2' END AS batch_id FROM res GROUP BY ALL
 """)
 def _(spark, sf):
     return B.latest_components(index(spark, sf)).select("observation_date", "detector_id", "batch_id")
 
 
-@query("publish_pending_components", "SELECT observation_date, 'low_price_warning' AS detector_id FROM obs UNION ALL SELECT DATE '2001-06-30', d FROM (VALUES ('low_price_warning'), ('first_purchase_fact')) t(d)")
+@query("publish_pending_components", """
+WITH want AS (SELECT observation_date, d AS detector_id FROM (SELECT observation_date FROM obs UNION ALL SELECT DATE '2001-06-30'), (VALUES ('low_price_warning'), ('first_purchase_fact')) t(d))
+SELECT * FROM want EXCEPT SELECT DISTINCT observation_date, detector_id FROM res
+""")
 def _(spark, sf):
     return B.pending_components(index(spark, sf), [*common.OBSERVATION_DATES, "2001-06-30"], ["low_price_warning", "first_purchase_fact"])
 
@@ -89,10 +91,10 @@ def _(spark, sf):
 @query("publish_split_components", """
 SELECT observation_date, detector_id, manufacturer_code, hospital_code, drug_code, 'run-' || detector_id || '-' || observation_date AS run_id,
   row_number() OVER (PARTITION BY observation_date, detector_id ORDER BY round(comparison_value, 6) DESC NULLS LAST, 'run|' || observation_date || '|' || detector_id || '|' || manufacturer_code || '|' || hospital_code || '|' || drug_code || '|' || coalesce(purchase_unit, '')) AS display_rank
-FROM res WHERE hit_flag AND detector_id IN ('purchase_interval_ipi', 'purchase_quantity_spike')
+FROM res WHERE hit_flag
 """)
 def _(spark, sf):
-    hits = EQ.results(spark, sf).where("hit_flag and detector_id in ('purchase_interval_ipi', 'purchase_quantity_spike')")
+    hits = EQ.results(spark, sf).where("hit_flag")
     hits = hits.withColumnRenamed("detector_result_id", "detector_clue_id").withColumn("detector_score", F.round("comparison_value", 6))
     return B.split_components(hits, "run").select("observation_date", "detector_id", "manufacturer_code", "hospital_code", "drug_code", "run_id", "display_rank")
 

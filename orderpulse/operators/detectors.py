@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.functions.exprs import entity_id, labels_where
-from orderpulse.operators.ranking import exact_rank
+from orderpulse.operators.ranking import sorted_rank
 from orderpulse.schemas import ORDER_ENTITY
 
 # Rule parameters.
@@ -342,9 +342,9 @@ def clues(results: DataFrame, monthly: DataFrame) -> DataFrame:
         ORDER_ENTITY, "left",
     ).withColumn("is_monthly_high_risk_entity", F.col("risk_entity_id").isNotNull())
     # Rank by score then confidence: the pair becomes one sortable number (score has 0..100, confidence 0..1 at 4 digits).
-    ranked = exact_rank(
+    ranked = sorted_rank(
         joined.withColumn("_order", F.expr("round(detector_score, 6) * 100000 + coalesce(confidence, -1D) * 0.01")),
-        "_order", ["observation_date"], ["detector_result_id"], name="display_rank", descending=True, spread=0,
+        "_order", ["observation_date"], ["detector_result_id"], name="display_rank",
     )
     return ranked.withColumnRenamed("detector_result_id", "detector_clue_id").drop("_order")
 

@@ -54,6 +54,13 @@ def sample_class(gap: Column | str, active: Column | str, max_gap: int = MAX_MON
     )
 
 
+def median_deviation(values: Column, median: Column) -> Column:
+    """Median absolute deviation of an array from its median; null for an empty one."""
+    away = F.array_sort(F.transform(values, lambda g: F.abs(g.cast("double") - median)))
+    middle = lambda k: F.get(away, F.floor((F.size(away) - k) / 2).cast("int"))
+    return (middle(1) + middle(0)) / 2
+
+
 def asof_base(entity_month: DataFrame, cutoffs: Sequence[str], max_gap: int = MAX_MONITOR_GAP_MONTHS) -> DataFrame:
     """All seen entities per cutoff: counters, windows, interval and quantity statistics, latest status."""
     hist = history(entity_month, cutoffs)
@@ -77,6 +84,8 @@ def asof_base(entity_month: DataFrame, cutoffs: Sequence[str], max_gap: int = MA
         F.max(month).alias("last_purchase_month_asof_cutoff"),
         *windows,
         F.percentile("gap_days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_gap_q"),
+        # One gap per active month: the calendar bounds the list.
+        F.collect_list("gap_days").alias("_gaps"),
         F.avg("gap_days").alias("mean_purchase_interval_days_asof_cutoff"),
         F.stddev_samp("gap_days").alias("std_purchase_interval_days_asof_cutoff"),
         F.avg("purchase_quantity_sum").alias("_q_mean"),
@@ -91,11 +100,12 @@ def asof_base(entity_month: DataFrame, cutoffs: Sequence[str], max_gap: int = MA
             "months_observed_asof_cutoff": month_gap(cutoff, "first_purchase_month_asof_cutoff") + 1,
             "median_purchase_interval_days_asof_cutoff": F.col("_gap_q")[1],
             "purchase_interval_iqr_asof_cutoff": F.col("_gap_q")[2] - F.col("_gap_q")[0],
+            "purchase_interval_mad_days_asof_cutoff": median_deviation(F.col("_gaps"), F.col("_gap_q")[1]),
             "cv2_quantity_asof_cutoff": F.pow(ratio("_q_std", "_q_mean"), 2),
             **{c: F.col(f"_latest.{c}") for c in STATIC_COLUMNS},
             **{new: F.col(f"_latest.{old}") for old, new in status.items()},
         }
-    ).drop("_gap_q", "_q_mean", "_q_std", "_latest")
+    ).drop("_gap_q", "_gaps", "_q_mean", "_q_std", "_latest")
     return out.withColumn(
         "sample_class",
         sample_class("months_since_last_purchase_asof_cutoff", "active_month_count_asof_cutoff", max_gap),
@@ -467,18 +477,33 @@ def model_frame(
     return features.select(*meta, *cols)
 
 
-def parity_report(features: DataFrame, required: Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
-    """Missing values per model column before and after the default fill, in one pass."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+def parity_report(
+    features: DataFrame, required: Sequence[str], defaults: Mapping[str, object], dtypes: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Missing values per model column before and after it takes its declared type, in one pass.
+
+    A value that the type cannot hold (text in a number, an infinite number) is missing afterwards; a column that is
+    absent takes its default, which also fills what the type makes missing.
+    """
+    lost = [c for c in required if c not in features.columns and c not in defaults]
+    if lost:
+        raise ValueError(f"cannot produce required features: {lost}")
+    spark_type = {"float": "double", "int": "double", "bool": "boolean"}
+    aggs = []
     for i, c in enumerate(required):
-        missing = F.count_if(F.col(c).isNull()) if c in features.columns else F.lit(0)
-        aggs.append(missing.alias(f"_m{i}") if c in features.columns else F.max(missing).alias(f"_m{i}"))
+        source = F.col(c) if c in features.columns else F.lit(defaults[c])
+        typed = source.cast("string").try_cast(spark_type.get((dtypes or {}).get(c, ""), "string"))
+        if (dtypes or {}).get(c) in ("float", "int"):
+            typed = F.when(~F.isnan(typed) & (F.abs(typed) != F.lit(float("inf"))), typed)
+        if c not in features.columns and defaults[c] is not None:
+            typed = F.coalesce(typed.cast("string"), F.lit(str(defaults[c])))
+        aggs += [F.count_if(source.isNull()).alias(f"_b{i}"), F.count_if(typed.isNull()).alias(f"_a{i}")]
     wide = features.agg(*aggs)
     rows = [
         F.struct(
             F.lit(c).alias("required_feature"),
-            F.col(f"_m{i}").cast("bigint").alias("missing_before"),
-            F.col(f"_m{i}").cast("bigint").alias("missing_after"),
+            F.col(f"_b{i}").cast("bigint").alias("missing_before"),
+            F.col(f"_a{i}").cast("bigint").alias("missing_after"),
             F.lit("runtime_generated" if c in features.columns else "schema_default").alias("production_imputation"),
             F.lit(
                 "available_from_raw_feature_engineering" if c in features.columns else "generated_from_schema_default"

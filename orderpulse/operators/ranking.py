@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderpulse.functions.exprs import null_safe_join
+from orderpulse.session import cut_lineage
 
 CELL_RESOLUTION = 1024
 
@@ -156,6 +157,29 @@ def exact_rank(
     return apply_rank(df, offsets, value, by, ties, lead, name, total, running)
 
 
+def sorted_rank(
+    df: DataFrame, value: str, by: Sequence[str], ties: Sequence[str], name: str = "rank", total: str | None = None,
+    descending: bool = True,
+) -> DataFrame:
+    """The row number of `exact_rank` where many rows share a value and only a fine key parts them.
+
+    The rows are dealt by sampled ranges of (by, value, ties), which are as even as the keys are distinct, and written
+    once, so that counts and numbers see the same ranges; each range then starts from the rows of those before it.
+    """
+    order = [_order(value, descending), *[F.col(c).asc() for c in ties]]
+    dealt = df.repartitionByRange(*[F.col(c).asc() for c in by], *order).withColumn("_range", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    counts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    group = list(by) or [F.lit(0)]
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        *by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("_all")
+    )
+    local = Window.partitionBy(*by, "_range").orderBy(*order)
+    out = null_safe_join(dealt, counts, [*by, "_range"], "inner").withColumn(name, F.col("_before") + F.row_number().over(local))
+    return (out.withColumn(total, F.col("_all")) if total else out).drop("_range", "_before", "_all")
+
+
 def exact_ranks(
     df: DataFrame, specs: Sequence[tuple[str, Sequence[str], str]], ties: Sequence[str] = (), spread: int = 2,
     total: str | None = None,

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_upper_tail(z: pd.Series) -> pd.Series:
-    """One-sided normal tail; SQL has no error function."""
-    return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
+def normal_upper_tail(z: str) -> str:
+    """One-sided normal tail P(Z > z) as SQL text, erfc(z / sqrt 2) / 2, to about 1e-14.
+
+    Below |z| = 3.5 the series z e^(-z^2/2) sum z^2n / (2n+1)!! (terms of one sign), beyond it the continued fraction
+    1/(z + 1/(z + 2/(z + 3/(z + ...)))).
+    """
+    x = f"abs({z})"
+    density = f"exp(-{x} * {x} / 2) / sqrt(2 * pi())"
+    series = f"""0.5D - {density} * aggregate(sequence(1, 80), named_struct('t', {x}, 's', {x}),
+        (a, n) -> named_struct('t', a.t * {x} * {x} / (2 * n + 1), 's', a.s + a.t * {x} * {x} / (2 * n + 1)), a -> a.s)"""
+    fraction = f"{density} / aggregate(reverse(sequence(1, 80)), {x}, (a, n) -> {x} + n / a)"
+    upper = f"if({x} < 3.5D, {series}, {fraction})"
+    return f"if({z} >= 0, {upper}, 1 - ({upper}))"
 
 
 def binomial_cdf(k: str, n: str, p: str) -> str:
@@ -99,18 +104,19 @@ def one_shot_new_terminal(df: DataFrame) -> DataFrame:
 
 
 def interval_overdue_test(df: DataFrame) -> DataFrame:
-    """Overdue rule with a normal-tail p-value of the robust z; the deviation stands for the MAD where known."""
+    """Overdue rule with a normal-tail p-value of (days since - median gap) / MAD of the gaps, where the MAD is above 0."""
     d = df.selectExpr(
-        "*", "months_since_last_purchase_asof_cutoff * 30.4375D as days",
-        """if(std_purchase_interval_days_asof_cutoff > 0, (months_since_last_purchase_asof_cutoff * 30.4375D - median_purchase_interval_days_asof_cutoff)
-           / std_purchase_interval_days_asof_cutoff, null) as robust_z""",
+        "*",
+        """if(purchase_interval_mad_days_asof_cutoff > 0, (months_since_last_purchase_asof_cutoff * 30.4375D - median_purchase_interval_days_asof_cutoff)
+           / greatest(purchase_interval_mad_days_asof_cutoff, 1e-9D), null) as robust_z""",
     )
     hit = f"(coalesce(overdue_ratio >= 2, false) or {_OVERDUE}) and demand_shape_route <> 'observation_only'"
     return d.selectExpr(
         "entity_id", "cutoff_month", "'terminal_dynamic' as detector_family", "'purchase_interval_overdue_warning' as detector_name",
         f"{hit} as hit_flag", f"if({hit}, {_FLOOR}, 0D) as severity", f"least({_SURE}, if(demand_shape_route = 'observation_only', 0.4D, 1D)) as confidence",
-        "robust_z", "robust_z is not null as fdr_eligible",
-    ).withColumn("p_value", normal_upper_tail("robust_z"))
+        "robust_z", "robust_z is not null as fdr_eligible", f"if(robust_z is null, null, {normal_upper_tail('robust_z')}) as p_value",
+        "if(robust_z is null, 'not_available_mad_missing', 'robust_interval_z_normal_approx') as p_value_method",
+    )
 
 
 def rate_drop_test(df: DataFrame) -> DataFrame:
@@ -133,17 +139,23 @@ def rate_drop_test(df: DataFrame) -> DataFrame:
         "hit3 or hit6 as hit_flag", "if(hit3 or hit6, sev, least(sev, 39D)) as severity",
         """least(case when greatest(b9, b6) >= 6 then 0.8D when greatest(b9, b6) >= 3 then 0.6D else 0.4D end,
            if(demand_shape_label in ('intermittent', 'lumpy'), 0.5D, 1D), if(history_sufficiency_flag <> 'history_sufficient', 0.6D, 1D)) as confidence""",
-        "least(p3, p6) as p_value",
+        "least(p3, p6) as p_value", "p3 as p_value_3m", "p6 as p_value_6m",
         """case when hit3 and hit6 then 'frequency_drop_multi_window' when hit3 then 'frequency_drop_3m_vs_previous_9m' when hit6 then 'frequency_drop_6m_vs_previous_6m'
            when ratio3 < 0.6 or ratio6 < 0.7 then 'frequency_drop_not_statistically_supported' else 'no_frequency_rate_drop' end as reason_code""",
         "coalesce(least(p3, p6) is not null, false) as fdr_eligible",
+        "if(least(p3, p6) is null, 'not_available', 'conditional_binomial') as p_value_method",
+        "if(least(p3, p6) is null, 'not_evaluable', 'ok') as data_quality_status",
     )
 
 
+#: What an evidence id is made of, in this order; fixed, ids are compared across runs.
+EVIDENCE_PARTS = ["candidate_id", "detector_family", "detector_name", "detector_version", "cutoff_month", "horizon", "reason_code", "evidence_values"]
+
+
 def evidence_ids(evidence: DataFrame) -> DataFrame:
-    parts = ["entity_id", "detector_family", "detector_name", "cutoff_month", "reason_code"]
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])
-    return evidence.withColumn("evidence_hash", F.sha2(text, 256)).withColumn("evidence_id", F.substring("evidence_hash", 1, 16))
+    """SHA-256 over the eight parts and its first 16 digits; a part that is absent or null is empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in evidence.columns else F.lit("") for c in EVIDENCE_PARTS]
+    return evidence.withColumn("evidence_hash", F.sha2(F.concat_ws("|", *parts), 256)).withColumn("evidence_id", F.substring("evidence_hash", 1, 16))
 
 
 def benjamini_hochberg(tests: DataFrame, by: list[str], q: float = 0.10, key: str = "entity_id") -> DataFrame:
@@ -170,15 +182,48 @@ def benjamini_hochberg(tests: DataFrame, by: list[str], q: float = 0.10, key: st
     return out.withColumn("fdr_pass_flag", F.col("fdr_q_value") <= q)
 
 
-def corroboration(evidence: DataFrame) -> DataFrame:
-    """none / single / multi by distinct signal families among effective hits."""
-    return evidence.groupBy("entity_id", "cutoff_month").agg(
-        F.countDistinct(F.when(F.col("hit_flag"), F.col("detector_family"))).alias("effective_family_count"),
-        F.count_if("hit_flag").alias("hit_count"),
-    ).withColumn(
-        "corroboration_level",
-        F.expr("case effective_family_count when 0 then 'none' when 1 then 'single_signal' else 'multi_signal' end"),
+# Detector, signal family it supports for recurring entities, whether its p-value goes through FDR.
+SIGNAL_FAMILIES = [
+    ("terminal_loss_warning", "terminal_dynamic", False),
+    ("purchase_frequency_fluctuation_warning", "sales_frequency", False),
+    ("purchase_quantity_fluctuation_warning", "sales_quantity", False),
+    ("purchase_interval_overdue_warning", "terminal_dynamic", False),
+    ("purchase_frequency_decay_rate_test", "sales_frequency", True),
+]
+STATISTICAL_TEST = "purchase_frequency_decay_rate_test"
+GUARDRAILS = ["peer_suppressed", "policy_caveat", "systemic_delivery_caveat", "suppressed_by_l2"]
+
+
+def corroboration(
+    evidence: DataFrame, by: list[str] | None = None, guardrail: DataFrame | None = None, fdr_applied: bool = False,
+) -> DataFrame:
+    """Level by distinct signal families among effective hits: none, single_signal, provisional_fdr_ready (one family,
+    a hit of the statistical test, FDR not applied yet), multi_signal; suppressed_by_l2 where a guardrail says so.
+
+    Detectors without a family, rows that are not evaluable and, once FDR is applied, tests that failed it don't count.
+    """
+    by = by or ["entity_id", "cutoff_month"]
+    family = F.coalesce(*[F.when(F.col("detector_name") == d, F.lit(f)) for d, f, _ in SIGNAL_FAMILIES])
+    tested = F.col("detector_name").isin([d for d, _, t in SIGNAL_FAMILIES if t])
+    hit = F.coalesce(F.col("hit_flag"), F.lit(False))
+    counts = hit & family.isNotNull()
+    if "data_quality_status" in evidence.columns:
+        counts &= F.coalesce(F.lower("data_quality_status"), F.lit("")) != "not_evaluable"
+    if fdr_applied:
+        counts &= ~tested | F.coalesce(F.col("fdr_pass_flag"), F.lit(False))
+    out = evidence.groupBy(*by).agg(
+        F.countDistinct(F.when(counts, family)).alias("effective_family_count"), F.count_if(hit).alias("hit_count"),
+        F.coalesce(F.bool_or(hit & (F.col("detector_name") == STATISTICAL_TEST)), F.lit(False)).alias("_test"),
+    )
+    if guardrail is not None:
+        out = out.join(guardrail.select(*by, "l2_guardrail"), by, "left")
+    held = F.col("l2_guardrail").isin(GUARDRAILS) if guardrail is not None else F.lit(False)
+    level = (
+        F.when(F.coalesce(held, F.lit(False)), "suppressed_by_l2").when(F.col("effective_family_count") == 0, "none")
+        .when(F.col("effective_family_count") >= 2, "multi_signal")
+        .when(F.col("_test") & F.lit(not fdr_applied), "provisional_fdr_ready").otherwise("single_signal")
     )
+    return out.withColumn("corroboration_level", level).drop("_test", "l2_guardrail")
 
 
 def closure_rules(df: DataFrame) -> DataFrame:
@@ -199,3 +244,15 @@ def family_summary(evidence: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("evaluated_count"), F.count_if("hit_flag").alias("hit_count"),
         (F.count_if("hit_flag") / F.count(F.lit(1))).alias("hit_rate"),
     )
+
+
+def p_value_readiness(evidence: DataFrame) -> DataFrame:
+    """Per detector: rows evaluated, p-values present and missing, rows fit for FDR, methods, and a note."""
+    out = evidence.groupBy("detector_name").agg(
+        F.count_if(F.coalesce(F.col("data_quality_status"), F.lit("")) != "not_evaluable").alias("evaluated_row_count"),
+        F.count("p_value").alias("p_value_available_count"), F.count_if(F.col("p_value").isNull()).alias("p_value_missing_count"),
+        F.count_if("fdr_eligible").alias("fdr_eligible_count"),
+        F.array_join(F.array_sort(F.collect_set("p_value_method")), ";").alias("p_value_method"),
+    )
+    ready = (F.col("p_value_available_count") > 0) & (F.col("fdr_eligible_count") > 0)
+    return out.withColumn("readiness_note", F.when(ready, "ready_for_future_fdr").otherwise("partial_or_not_ready_for_fdr"))

@@ -69,7 +69,7 @@ def monthly_status(candidates: DataFrame, outputs: DataFrame) -> DataFrame:
         F.count_if("hit_flag").alias("detector_hit_count"), F.expr("count_if(severity = 'high') as strong_detector_hit_count")
     )
     out = candidates.join(hits, ["candidate_id", "cutoff_month"], "left").fillna(0, ["detector_hit_count", "strong_detector_hit_count"])
-    out = out.selectExpr("*", "sample_class = 'one_shot' as is_one_shot", "sample_class = 'recurring' and p >= 0.6 as is_high_risk")
+    out = out.withColumns({"is_one_shot": F.expr("sample_class = 'one_shot'"), "is_high_risk": F.expr("sample_class = 'recurring' and p >= 0.6")})
     return out.selectExpr(
         "*", "case when is_one_shot then 'one_shot_attention' when is_high_risk then 'priority_review' when sample_class = 'recurring' then 'manual_review' else 'not_actionable' end as final_candidate_status",
         "case when is_high_risk then 'P1' when sample_class = 'recurring' then 'P2' else 'P3' end as review_priority",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderpulse.functions.exprs import labels_where
-from orderpulse.operators.ranking import exact_rank, first_rows
+from orderpulse.operators.ranking import first_rows, sorted_rank
 
 
 def apply_filters(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
@@ -55,8 +55,8 @@ def fill_shortage(top: DataFrame, pool: DataFrame, n: int, order: Sequence) -> D
 
 
 def page(df: DataFrame, score: str, number: int, size: int) -> DataFrame:
-    """One page of the ranking with the total, by exact distributed ranks."""
-    r = exact_rank(df, score, [], ["entity_id"], name="rank", total="total_count", spread=0)
+    """One page of the ranking with the total, by ranks over sampled ranges."""
+    r = sorted_rank(df, score, [], ["entity_id"], name="rank", total="total_count")
     return r.where((F.col("rank") > (number - 1) * size) & (F.col("rank") <= number * size))
 
 

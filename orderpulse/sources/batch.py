@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderpulse.operators.ranking import first_rows
+from orderpulse.operators.ranking import first_rows, sorted_rank
 from orderpulse.schemas import RAW_TABLES, REQUIRED_RAW_TABLES
 
 
@@ -73,7 +73,6 @@ def rename(df: DataFrame, mapping: Mapping[str, str], required: Sequence[str] =
 
 def scoped_orders(
     orders: DataFrame, start: str, end: str, manufacturers: Sequence[str] | None = None, top: int | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
     """Date window plus manufacturer scope: a list, or the busiest `top`; all of it pushes down to the source."""
     window = orders.where(F.col("order_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
@@ -84,7 +83,7 @@ def scoped_orders(
         best = window.where("manufacturer_code <> ''").groupBy("manufacturer_code").agg(F.count(F.lit(1)).alias("n"))
         best = best.orderBy(F.desc("n"), F.asc("manufacturer_code")).limit(top)
         out = out.join(best, "manufacturer_code", "left_semi")
-    return out.limit(limit) if limit else out
+    return out
 
 
 def project_known(orders: DataFrame, columns: Sequence[str], required: Sequence[str], **filters: object) -> DataFrame:
@@ -141,9 +140,7 @@ def pending_components(published: DataFrame, dates: Sequence[str], detectors: Se
 
 def split_components(clues: DataFrame, run_prefix: str) -> DataFrame:
     """Give every rule its own run id and re-rank its clues per date."""
-    from orderpulse.operators.ranking import exact_rank
-
-    ranked = exact_rank(clues.drop("display_rank"), "detector_score", ["observation_date", "detector_id"], ["detector_clue_id"], name="display_rank", spread=0)
+    ranked = sorted_rank(clues.drop("display_rank"), "detector_score", ["observation_date", "detector_id"], ["detector_clue_id"], name="display_rank")
     return ranked.withColumn("run_id", F.concat_ws("-", F.lit(run_prefix), "detector_id", F.col("observation_date").cast("string")))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orderpulse.session import checkpoint_dir
 
-STATE_SCHEMA = "hits long, days long, ids string, first string, last string"
+#: Days of an entity with their detectors, and how often rows were issued.
+STATE_SCHEMA = "days string, revision long"
 
 
 def output_schema(keys: Sequence[str]) -> str:
@@ -21,29 +22,35 @@ def output_schema(keys: Sequence[str]) -> str:
         ", ".join(f"{k} string" for k in keys)
         + ", observation_date string, current_detector_count long, current_detector_ids string,"
         " cumulative_hit_count long, cumulative_hit_day_count long, historical_detector_ids string,"
-        " first_hit_date string, last_hit_date string"
+        " first_hit_date string, last_hit_date string, revision long"
     )
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Add the days of this micro-batch in date order; days not after the last one are late and dropped.
+    """Merge the hits of this micro-batch into the entity's days and issue the days they change.
 
-    Only the set of (day, detector) pairs is kept while the rows stream through.
+    A part of a day, whenever it comes, joins that day; the day and those after it are issued again under a higher
+    revision, so no hit is lost and `latest_rows` gives what one batch over all hits gives. The state holds the names
+    of the detectors of each hit day: the calendar and the number of rules bound it.
     """
-    per_day: dict[str, set[str]] = {}
+    days, revision = state.get if state.exists else ("{}", 0)
+    held = {day: set(ids) for day, ids in json.loads(days).items()}
+    changed = None
     for pdf in frames:
         for day, ids in pdf.groupby("observation_date")["detector_id"]:
-            per_day.setdefault(str(day), set()).update(ids.unique())
-    hits, days, ids, first, last = state.get if state.exists else (0, 0, "[]", "", "")
-    seen = set(json.loads(ids))
+            day, new = str(day), set(ids.unique())
+            if not new <= held.get(day, set()):
+                held.setdefault(day, set()).update(new)
+                changed = day if changed is None else min(day, changed)
     rows = []
-    for day in sorted(d for d in per_day if d > last):
-        now = per_day[day]
-        hits, days, first, last = hits + len(now), days + 1, first or day, day
-        seen |= now
-        rows.append((*key, day, len(now), "|".join(sorted(now)), hits, days, "|".join(sorted(seen)), first, day))
-    if rows:
-        state.update((hits, days, json.dumps(sorted(seen)), first, last))
+    if changed is not None:
+        revision, hits, seen, order = revision + 1, 0, set(), sorted(held)
+        for number, day in enumerate(order, 1):
+            hits += len(held[day])
+            seen |= held[day]
+            if day >= changed:
+                rows.append((*key, day, len(held[day]), "|".join(sorted(held[day])), hits, number, "|".join(sorted(seen)), order[0], day, revision))
+        state.update((json.dumps({day: sorted(ids) for day, ids in held.items()}), revision))
     yield pd.DataFrame(rows)
 
 
@@ -67,7 +74,7 @@ def hit_stream(stream: DataFrame, keys: Sequence[str], time: str, delay: str) ->
 
 
 def aggregate_stream(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One output row per entity and new hit day, from keyed state whose size is one entry per detector name."""
+    """Rows per entity and hit day, issued again whenever a hit changes them; `latest_rows` keeps the valid ones."""
     columns = [*keys, "observation_date", *[c.split()[0] for c in output_schema([]).strip(", ").split(", ")[1:]]]
     narrow = hits.where(F.coalesce(F.col("hit_flag"), F.lit(False))).select(
         *[F.col(k).cast("string").alias(k) for k in keys],
@@ -78,10 +85,17 @@ def aggregate_stream(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all waiting input into a Parquet table beside the checkpoints, and read it back."""
+def latest_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the highest revision for each entity and day."""
+    rest = [c for c in rows.columns if c not in (*keys, "observation_date", "revision")]
+    best = rows.groupBy(*keys, "observation_date").agg(F.max(F.struct("revision", *rest)).alias("best"))
+    return best.select(*keys, "observation_date", *[F.col(f"best.{c}").alias(c) for c in rest])
+
+
+def run_available(stream: DataFrame, mode: str = "append", work: str | None = None) -> DataFrame:
+    """Process all waiting input into a Parquet table below `work`, by default beside the checkpoints, and read it back."""
     spark: SparkSession = stream.sparkSession
-    work = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = work or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{work}/table")
         .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
