@@ -26,78 +26,84 @@ from orderpulse.llm.common import settle
 from orderpulse.llm.tokens import encoder, with_end
 
 #: Ids of a block, blocks coded side by side, and ids after which a segment ends with its document.
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 2048, 4096
 SEGMENT = BLOCK * LANES
+#: Ids must be below this bound: a range of 2^32 then still parts the rarest id of the rarest class.
+BOUND = 1 << 19
 _U, _I = np.uint64, np.int64
-_SLOTS1, _SLOTS2, _CLASSES, _SCALE, _REFRESH = 1024, 2048, 128, 12, 64
-_ONE = 1 << _SCALE
-_LEAST = _U(1 << 32)
+_SLOTS1, _SLOTS2, _CLASSES, _ROW, _REFRESH = 512, 1024, 80, 128, 64
+_ONE = 4096
+#: The odds approach these bounds, never 0 or 1, so that every case keeps a share of the range.
+_SELDOM, _OFTEN2, _OFTEN1 = 32, 3840, 3072
+_LEAST, _LOW = _U(1 << 32), _U((1 << 32) - 1)
+_12, _32 = _U(12), _U(32)
 
 
 class Model:
     """The adaptive state of `lanes` blocks."""
 
     def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.one, self.two = self.rows * _SLOTS1, self.rows * _SLOTS2
+        rows = np.arange(lanes)
+        self.one, self.two, self.state, self.table = rows * _SLOTS1, rows * _SLOTS2, rows * 32, rows * _ROW
         # What followed: (id + 1) * 4 + confidence.
-        self.after1, self.after2 = np.zeros(lanes * _SLOTS1, _I), np.zeros(lanes * _SLOTS2, _I)
-        self.hit2, self.hit1 = np.full(lanes * 32, _ONE // 4, _I), np.full(lanes * 32, _ONE // 4, _I)
-        self.state = self.rows * 32
-        self.counts = np.ones((lanes, _CLASSES), _I)
-        self.prev1, self.prev2 = np.zeros(lanes, _I), np.zeros(lanes, _I)
+        self.after1, self.after2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)
+        self.odds2, self.odds1 = np.full(lanes * 32, _ONE // 4, np.int32), np.full(lanes * 32, _ONE // 4, np.int32)
+        self.counts = np.ones(lanes * _ROW, np.int32)
+        # What lies beyond the classes is above every share, for the search.
+        self.cum = np.full(lanes * _ROW, _ONE + 1, np.int32)
+        self.cum[self.table] = 0
+        self.last1, self.last2 = np.zeros(lanes, _I), np.zeros(lanes, _I)
         self.step = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        """Cumulative order-0 frequencies that sum to `_ONE`, none of them zero."""
-        self.counts[self.counts.sum(axis=1) > 16 * _ONE] //= 2
-        total = self.counts.sum(axis=1, keepdims=True)
-        cum = np.cumsum(self.counts, axis=1) * (_ONE - _CLASSES) // total + np.arange(1, _CLASSES + 1)
-        self.cum = np.zeros((len(total), _CLASSES + 1), _I)
-        self.cum[:, 1:] = cum
-        self.cum[:, -1] = _ONE
+        """Cumulative order-0 frequencies that sum to `_ONE`, none below 4."""
+        counts = self.counts.reshape(-1, _ROW)[:, :_CLASSES]
+        total = counts.sum(axis=1, keepdims=True)
+        cum = self.cum.reshape(-1, _ROW)
+        cum[:, 1:_CLASSES + 1] = np.cumsum(counts, axis=1, dtype=_I) * (_ONE - 4 * _CLASSES) // total + 4 * np.arange(1, _CLASSES + 1)
+        if total.max() > 16 * _ONE:
+            counts[(total > 16 * _ONE)[:, 0]] //= 2
+            np.maximum(counts, 1, out=counts)
 
     def predict(self, k: int) -> None:
-        """Slots, predicted ids and odds of the first k lanes."""
-        p1, p2 = self.prev1[:k], self.prev2[:k]
-        self.at1 = self.one[:k] + (p1 * 40503 >> 4) % _SLOTS1
-        self.at2 = self.two[:k] + ((p1 * 40503 + p2 * 25717) >> 3) % _SLOTS2
+        """Predictions e1 and e2 and the shares f2 and f1 of the first k lanes."""
+        mixed = self.last1[:k] * 40503
+        self.at1 = (mixed >> 4 & _SLOTS1 - 1) + self.one[:k]
+        self.at2 = (mixed + self.last2[:k] >> 3 & _SLOTS2 - 1) + self.two[:k]
         self.e1, self.e2 = self.after1[self.at1], self.after2[self.at2]
-        self.id1, self.id2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
-        self.at = self.state[:k] + (self.e2 & 3) * 4 + (self.e1 & 3) + 16 * (self.e1 >> 2 == self.e2 >> 2)
-        h2 = self.hit2[self.at]
-        self.f2 = np.minimum(np.maximum(h2, 16), _ONE - 64)
-        self.f1 = np.maximum((_ONE - self.f2) * self.hit1[self.at] >> _SCALE, 8)
-
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, plain: np.ndarray, classes: np.ndarray) -> None:
-        at = self.at
-        self.hit2[at] += (np.where(hit2, _ONE, 0) - self.hit2[at]) >> 5
-        no2 = at[~hit2]
-        self.hit1[no2] += (np.where(hit1[~hit2], _ONE, 0) - self.hit1[no2]) >> 5
-        for after, where, e in ((self.after1, self.at1, self.e1), (self.after2, self.at2, self.e2)):
-            sure = e & 3
-            same = e >> 2 == x + 1
-            after[where] = np.where(same, e + (sure < 3), np.where(sure > 0, e - 1, (x + 1) << 2))
-        self.counts[plain, classes] += 24
+        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
+        self.at = self.state[:k] + (self.c2 * 4 + self.c1 + ((self.e1 ^ self.e2) < 4) * 16)
+        self.f2, self.odds = self.odds2[self.at], self.odds1[self.at]
+        self.f1 = (_ONE - self.f2) * self.odds >> 12
+
+    def update(self, x: np.ndarray, coded: np.ndarray, same2: np.ndarray, same1: np.ndarray, plain: np.ndarray) -> None:
+        """x: the ids; coded: (id + 1) * 4; plain: places of the classes of ids that neither order predicted."""
+        self.odds2[self.at] = self.f2 + (np.where(same2, _OFTEN2, _SELDOM) - self.f2 >> 5)
+        self.odds1[self.at] = self.odds + np.where(same2, 0, np.where(same1, _OFTEN1, _SELDOM) - self.odds >> 5)
+        self.after2[self.at2] = np.where(same2, self.e2 + (self.c2 < 3), np.where(self.c2 > 0, self.e2 - 1, coded))
+        self.after1[self.at1] = np.where(same1, self.e1 + (self.c1 < 3), np.where(self.c1 > 0, self.e1 - 1, coded))
+        self.counts[plain] += 24
         k = len(x)
-        self.prev2[:k] = self.prev1[:k]
-        self.prev1[:k] = x
+        self.last2[:k] = self.last1[:k] * 25717
+        self.last1[:k] = x
         self.step += 1
-        if self.step % _REFRESH == 0 or self.step < 16:
+        if self.step % _REFRESH == 0 or self.step in (8, 16, 32):
             self._refresh()
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    """Bit lengths of numbers from 1 up to 2^33."""
-    return np.frexp(x.astype(np.float64))[1].astype(_I)
+def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of ids (bit length of id + 4 and the two bits after the first) and the number of low bits left."""
+    y = ids.astype(np.int32) + 4
+    low = np.frexp(y.astype(np.float64))[1].astype(np.int32) - 3
+    return low * 4 + (y >> low & 3), low
 
 
-def _class_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of ids (bit length of id + 4 and the two bits after the first) and the number of low bits left."""
-    y = x + 4
-    low = _bits(y) - 3
-    return low * 4 + ((y >> low) & 3), low
+def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose upper word is decided, or whose range must be cut to decide it, and which of them are cut."""
+    same = (low ^ (low + width)) < _LEAST
+    go = np.flatnonzero(same | (width < _LEAST))
+    return go, ~same[go]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -111,51 +117,56 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     return found
 
 
+def _matrix(blocks: list[np.ndarray], longest: int) -> np.ndarray:
+    """Row t holds the ids at place t of all blocks."""
+    ids = np.zeros((len(blocks), longest), np.int32)
+    for k, b in enumerate(blocks):
+        if len(b) and int(b.max()) >= BOUND:
+            raise ValueError(f"ids must be below {BOUND}")
+        ids[k, :len(b)] = b
+    return np.ascontiguousarray(ids.T)
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Blocks of falling lengths."""
     lanes, longest = len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((longest, lanes), np.uint32)
-    for k, b in enumerate(blocks):
-        ids[:len(b), k] = b
+    ids = _matrix(blocks, longest)
     model = Model(lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out, end = np.zeros((lanes, longest * 3 // 2 + 8), np.uint32), np.zeros(lanes, _I)
-
-    def code(who, cum: np.ndarray, freq: np.ndarray, shift) -> None:
-        """Narrow the lanes `who` to [cum, cum + freq) of 2^shift."""
-        r = width[who] >> shift
-        l, w = low[who] + r * cum.astype(_U), r * freq.astype(_U)
-        same = (l ^ (l + w)) < _LEAST
-        small = w < _LEAST
-        go = np.flatnonzero(same | small)
-        if len(go):
-            lg, wg = l[go], w[go]
-            wg = np.where(same[go], wg, (~lg + _U(1)) & (_LEAST - _U(1)))
-            rows = go if isinstance(who, slice) else who[go]
-            out[rows, end[rows]] = lg >> _U(32)
-            end[rows] += 1
-            l[go], w[go] = lg << _U(32), wg << _U(32)
-        low[who], width[who] = l, w
-
+    space = longest * 3 // 2 + 8
+    out, end = np.zeros(lanes * space, np.uint32), np.arange(lanes) * space
     for t in range(longest):
         k = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t))
-        x = ids[t, :k].astype(_I)
+        x = ids[t, :k]
         model.predict(k)
-        hit2 = model.id2 == x
-        hit1 = (model.id1 == x) & ~hit2
+        coded = (x + 1) * 4
+        same2, same1 = (model.e2 ^ coded) < 4, (model.e1 ^ coded) < 4
         f2, f1 = model.f2, model.f1
-        code(slice(0, k), np.where(hit2, 0, np.where(hit1, f2, f2 + f1)), np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1)), _U(_SCALE))
-        plain = np.flatnonzero(~(hit2 | hit1))
+        known = same2 | same1
+        begin = np.where(same2, 0, np.where(same1, f2, f2 + f1))
+        share = np.where(same2, f2, np.where(same1, f1, _ONE - f2 - f1))
+        r = width[:k] >> _12
+        l, w = low[:k] + r * begin.astype(_U), r * share.astype(_U)
+        plain = np.flatnonzero(~known)
         classes, bits = _class_of(x[plain])
-        if len(plain):
-            cum = model.cum[plain, classes]
-            code(plain, cum, model.cum[plain, classes + 1] - cum, _U(_SCALE))
-            code(plain, (x[plain] + 4) & ((1 << bits) - 1), np.ones(len(plain), _I), bits.astype(_U))
-        model.update(x, hit2, hit1, plain, classes)
-    rows = np.arange(lanes)
-    out[rows, end], out[rows, end + 1] = low >> _U(32), low & (_LEAST - _U(1))
-    return [out[k, :end[k] + 2].astype("<u4").tobytes() for k in range(lanes)]
+        places = model.table[plain] + classes
+        cum = model.cum[places]
+        r = w[plain] >> _12
+        part = r * (model.cum[places + 1] - cum).astype(_U) >> bits.astype(_U)
+        l[plain] += r * cum.astype(_U) + part * (x[plain] + 4 & (1 << bits) - 1).astype(_U)
+        w[plain] = part
+        go, cut = _settled(l, w)
+        if len(go):
+            lg, wg = l[go], w[go]
+            wg[cut] = (~lg[cut] + _U(1)) & _LOW
+            out[end[go]] = lg >> _32
+            end[go] += 1
+            l[go], w[go] = lg << _32, wg << _32
+        low[:k], width[:k] = l, w
+        model.update(x, coded, same2, same1, places)
+    out[end], out[end + 1] = low >> _32, low & _LOW
+    return [out[k * space:end[k] + 2].astype("<u4").tobytes() for k in range(lanes)]
 
 
 def decode(blocks: list[bytes], sizes: list[int]) -> list[np.ndarray]:
@@ -171,57 +182,60 @@ def decode(blocks: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 def _decode(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     lanes, longest = len(blocks), int(sizes[0])
-    data = np.zeros((lanes, max(len(b) for b in blocks) // 4 + 3), np.uint32)
+    space = max(len(b) for b in blocks) // 4 + 3
+    data = np.zeros((lanes, space), np.uint32)
     for k, b in enumerate(blocks):
         data[k, :len(b) // 4] = np.frombuffer(b, "<u4")
-    ids = np.zeros((longest, lanes), np.uint32)
+    data, at = data.ravel(), np.arange(lanes) * space
+    last = at + space - 1
+    ids = np.zeros((longest, lanes), np.int32)
     model = Model(lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    value, at = data[:, 0].astype(_U) << _U(32) | data[:, 1].astype(_U), np.full(lanes, 2, _I)
-
-    def narrow(who, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        l, w = low[who] + r * cum.astype(_U), r * freq.astype(_U)
-        same = (l ^ (l + w)) < _LEAST
-        small = w < _LEAST
-        go = np.flatnonzero(same | small)
-        if len(go):
-            lg, wg = l[go], w[go]
-            wg = np.where(same[go], wg, (~lg + _U(1)) & (_LEAST - _U(1)))
-            rows = go if isinstance(who, slice) else who[go]
-            value[rows] = value[rows] << _U(32) | data[rows, np.minimum(at[rows], data.shape[1] - 1)]
-            at[rows] += 1
-            l[go], w[go] = lg << _U(32), wg << _U(32)
-        low[who], width[who] = l, w
-
+    value = data[at].astype(_U) << _32 | data[at + 1].astype(_U)
+    at = at + 2
     for t in range(longest):
         k = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t))
         model.predict(k)
-        f2, f1, every = model.f2, model.f1, slice(0, k)
-        r = width[every] >> _U(_SCALE)
-        off = value[every] - low[every]
-        hit2 = off < r * f2.astype(_U)
-        hit1 = ~hit2 & (off < r * (f2 + f1).astype(_U))
-        narrow(every, r, np.where(hit2, 0, np.where(hit1, f2, f2 + f1)), np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1)))
-        x = np.where(hit2, model.id2, model.id1)
-        plain = np.flatnonzero(~(hit2 | hit1))
-        classes = plain
-        if len(plain):
-            r = width[plain] >> _U(_SCALE)
-            part = np.minimum((value[plain] - low[plain]) // r, _U(_ONE - 1)).astype(_I)
-            # Sixteen classes at a time, then one at a time.
-            coarse = (model.cum[plain, 16::16][:, :-1] <= part[:, None]).sum(axis=1) * 16
-            fine = model.cum[plain[:, None], coarse[:, None] + np.arange(1, 17)] <= part[:, None]
-            classes = coarse + fine.sum(axis=1)
-            cum = model.cum[plain, classes]
-            narrow(plain, r, cum, model.cum[plain, classes + 1] - cum)
-            bits = classes >> 2
-            r = width[plain] >> bits.astype(_U)
-            rest = np.minimum(((value[plain] - low[plain]) // r).astype(_I), (1 << bits) - 1)
-            narrow(plain, r, rest, np.ones(len(plain), _I))
-            x[plain] = ((4 | classes & 3) << bits | rest) - 4
+        f2, f1 = model.f2, model.f1
+        r = width[:k] >> _12
+        l, v = low[:k], value[:k]
+        off = v - l
+        in2 = off < r * f2.astype(_U)
+        known = off < r * (f2 + f1).astype(_U)
+        begin = np.where(in2, 0, np.where(known, f2, f2 + f1))
+        share = np.where(in2, f2, np.where(known, f1, _ONE - f2 - f1))
+        l, w = l + r * begin.astype(_U), r * share.astype(_U)
+        x = (np.where(in2, model.e2, model.e1) >> 2) - 1
+        plain = np.flatnonzero(~known)
+        r = w[plain] >> _12
+        rest = v[plain] - l[plain]
+        share = np.minimum(rest // r, _U(_ONE - 1)).astype(np.int32)
+        base = model.table[plain]
+        places = base.copy()
+        for step in (64, 32, 16, 8, 4, 2, 1):
+            places += step * (model.cum[places + step] <= share)
+        cum = model.cum[places]
+        bits = (places - base >> 2).astype(np.int32)
+        part = r * (model.cum[places + 1] - cum).astype(_U) >> bits.astype(_U)
+        rest -= r * cum.astype(_U)
+        tail = np.minimum((rest // part).astype(np.int32), (1 << bits) - 1)
+        l[plain] += r * cum.astype(_U) + part * tail.astype(_U)
+        w[plain] = part
+        x[plain] = ((4 | (places - base).astype(np.int32) & 3) << bits | tail) - 4
+        go, cut = _settled(l, w)
+        if len(go):
+            lg, wg = l[go], w[go]
+            wg[cut] = (~lg[cut] + _U(1)) & _LOW
+            here = at[go]
+            value[go] = value[go] << _32 | data[np.minimum(here, last[go])]
+            at[go] = here + 1
+            l[go], w[go] = lg << _32, wg << _32
+        low[:k], width[:k] = l, w
         ids[t, :k] = x
-        model.update(x, hit2, hit1, plain, classes)
-    return [ids[:n, k].copy() for k, n in enumerate(sizes)]
+        coded = (x + 1) * 4
+        model.update(x, coded, (model.e2 ^ coded) < 4, (model.e1 ^ coded) < 4, places)
+    ids = np.ascontiguousarray(ids.T).astype(np.uint32)
+    return [ids[k, :n].copy() for k, n in enumerate(sizes)]
 
 
 _FILE = "file int, segment long, doc_ids array<long>, sizes array<long>, blocks array<struct<n:int,crc:long,data:binary>>"

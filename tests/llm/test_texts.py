@@ -246,10 +246,12 @@ def test_separators(spark, tmp_path):
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 49408, n).astype(np.uint32) for n in (1, 2, 5, 100, 4096, 777)]
-    blocks += [np.full(4096, 7, np.uint32), rng.integers(0, 1 << 32, 500, dtype=np.uint64).astype(np.uint32), np.array([0, 0xFFFFFFFF, 0, 1, 3, 4], np.uint32), np.tile(np.arange(5, dtype=np.uint32), 700)]
+    blocks += [np.full(4096, 7, np.uint32), rng.integers(0, rangecoder.BOUND, 500).astype(np.uint32), np.array([0, rangecoder.BOUND - 1, 0, 1, 3, 4], np.uint32), np.tile(np.arange(5, dtype=np.uint32), 700)]
     raw = rangecoder.encode(blocks)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, rangecoder.decode(raw, [len(b) for b in blocks])))
-    assert len(raw[6]) < 100 and len(raw[4]) < 2.1 * 4096
+    assert len(raw[6]) < 200 and len(raw[4]) < 2.1 * 4096
+    with pytest.raises(ValueError, match="below"):
+        rangecoder.encode([np.array([rangecoder.BOUND], np.uint32)])
     # Blocks don't depend on what is coded beside them.
     assert rangecoder.encode([blocks[4]])[0] == raw[4] and np.array_equal(rangecoder.decode([raw[3]], [100])[0], blocks[3])
 
