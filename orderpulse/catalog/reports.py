@@ -62,13 +62,44 @@ def evidence_rows(spark, sf):
 
 @query("status_evidence_aggregate", """
 SELECT entity_id, cutoff_month, count(*) FILTER (hit_flag) AS detector_hit_count, bool_or(hit_flag AND detector_name = 'terminal_loss_warning') AS terminal_loss_hit,
-  bool_or(hit_flag AND detector_name = 'purchase_frequency_fluctuation_warning') AS frequency_hit, bool_or(hit_flag AND detector_name = 'purchase_quantity_fluctuation_warning') AS quantity_hit FROM evd GROUP BY ALL
+  bool_or(hit_flag AND detector_name = 'purchase_frequency_fluctuation_warning') AS frequency_hit, bool_or(hit_flag AND detector_name = 'purchase_quantity_fluctuation_warning') AS quantity_hit FROM evd
+WHERE detector_name IN ('terminal_loss_warning', 'purchase_frequency_fluctuation_warning', 'purchase_quantity_fluctuation_warning') GROUP BY ALL
 """)
 def _(spark, sf):
     return T.aggregate_evidence(evidence_rows(spark, sf)[1]).select("entity_id", "cutoff_month", "detector_hit_count", "terminal_loss_hit", "frequency_hit", "quantity_hit")
 
 
-@query("status_recurring_decision")
+cte("conf3", """
+SELECT entity_id, cutoff_month, least(coalesce(survival_confidence, 0), CASE WHEN history_sufficiency_flag <> 'history_sufficient' THEN 0.6 ELSE 1 END, CASE WHEN demand_shape_label IN ('intermittent', 'lumpy') THEN 0.6 ELSE 1 END) AS ct,
+  CASE WHEN order_count_last_12m_asof_cutoff > 0 THEN least(CASE WHEN history_sufficiency_flag = 'history_sufficient' THEN 0.8 ELSE 0.6 END, CASE WHEN order_count_last_12m_asof_cutoff < 3 THEN 0.4 ELSE 1 END, CASE WHEN demand_shape_label = 'lumpy' THEN 0.5 ELSE 1 END) END AS cf,
+  CASE WHEN historical_avg_monthly_quantity_asof_cutoff <> 0 THEN least(purchase_count_asof_cutoff / 6, 0.8, CASE WHEN demand_shape_label = 'lumpy' THEN 0.5 ELSE 1 END) END AS cq FROM surv
+""")
+
+
+@query("status_recurring_decision", """
+WITH e AS (
+  SELECT entity_id, cutoff_month, bool_or(hit_flag AND detector_name = 'terminal_loss_warning') AS t, bool_or(hit_flag AND detector_name = 'purchase_frequency_fluctuation_warning') AS f,
+    bool_or(hit_flag AND detector_name = 'purchase_quantity_fluctuation_warning') AS q FROM evd GROUP BY ALL
+), j AS (
+  SELECT s.*, m.horizon, m.p, m.p * m.v AS prio, e.t, e.f, e.q, greatest(CASE WHEN e.t THEN ct END, CASE WHEN e.f THEN cf END, CASE WHEN e.q THEN cq END) AS best,
+    coalesce(survival_state IN ('materially_overdue', 'likely_churn_interval'), false) AS late
+  FROM (SELECT entity_id, cutoff_month, survival_state, survival_confidence, demand_shape_route, demand_shape_label, history_sufficiency_flag FROM surv) s
+  JOIN mfa m USING (entity_id, cutoff_month) JOIN e USING (entity_id, cutoff_month) JOIN conf3 USING (entity_id, cutoff_month) WHERE m.horizon = 'H6' AND m.sample_class = 'recurring'
+), lim AS (SELECT quantile_cont(p * v, 0.8) AS x FROM mfa WHERE horizon = 'H6' AND sample_class = 'recurring'),
+st AS (
+  SELECT *, coalesce(prio >= (SELECT x FROM lim), false) AS big, CASE WHEN p IS NULL OR prio IS NULL OR demand_shape_route = 'unknown' THEN 'insufficient'
+    WHEN coalesce(t AND late AND survival_confidence >= 0.7 AND demand_shape_route <> 'observation_only' AND best >= 0.6, false) THEN 'strong'
+    WHEN coalesce((t AND survival_confidence < 0.7) OR (survival_state = 'slightly_overdue' AND (f OR q)) OR (f AND q) OR late, false) THEN 'medium' ELSE 'weak' END AS evidence_strength FROM j
+), fin AS (
+  SELECT *, CASE WHEN p IS NULL OR prio IS NULL THEN 'not_actionable' WHEN demand_shape_route = 'observation_only' OR survival_state = 'low_confidence_lumpy' OR demand_shape_label = 'lumpy' THEN 'observation_only'
+    WHEN late AND evidence_strength IN ('strong', 'medium') THEN 'priority_review'
+    WHEN survival_state IN ('slightly_overdue', 'materially_overdue', 'likely_churn_interval') OR demand_shape_label = 'erratic' OR (big AND evidence_strength IN ('weak', 'insufficient')) THEN 'manual_review'
+    WHEN history_sufficiency_flag <> 'history_sufficient' OR survival_confidence < 0.5 OR demand_shape_route = 'unknown' THEN 'low_confidence_watch' ELSE 'manual_review' END AS final_candidate_status FROM st
+)
+SELECT entity_id, cutoff_month, evidence_strength, final_candidate_status, CASE WHEN final_candidate_status = 'priority_review' AND evidence_strength = 'strong' AND big THEN 'P0'
+  WHEN final_candidate_status IN ('priority_review', 'manual_review') AND evidence_strength IN ('medium', 'strong') AND big THEN 'P1'
+  WHEN final_candidate_status IN ('observation_only', 'low_confidence_watch') AND big THEN 'P2' ELSE 'P3' END AS review_priority FROM fin
+""")
 def _(spark, sf):
     s, ev = evidence_rows(spark, sf)
     rows = EV.all_rows(spark, sf).where("horizon = 'H6' and sample_class = 'recurring'").selectExpr("entity_id", "cutoff_month", "horizon", "p", "p * v as prio")
@@ -250,12 +281,16 @@ def _(spark, sf):
     return EQ.results(spark, sf).where("hit_flag and manufacturer_code = 'M01' and hospital_code = 'H02'").select("observation_date", "detector_id", "severity")
 
 
-@query("serve_detector_runs", "SELECT observation_date, detector_id, count(*) AS result_count, count(*) FILTER (hit_flag) AS clue_count FROM res WHERE detector_id IN ('purchase_interval_ipi', 'purchase_quantity_trend', 'purchase_quantity_spike', 'purchase_frequency_drop', 'first_purchase_fact', 'reactivated_purchase_fact') GROUP BY ALL")
+@query("serve_detector_runs", "SELECT observation_date, detector_id, count(*) AS result_count, count(*) FILTER (hit_flag) AS clue_count FROM res GROUP BY ALL")
 def _(spark, sf):
     return EQ.results(spark, sf).groupBy("observation_date", "detector_id").agg(F.count(F.lit(1)).alias("result_count"), F.count_if("hit_flag").alias("clue_count"))
 
 
-@query("serve_page_payload")
+@query("serve_page_payload", """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY manufacturer_code ORDER BY p DESC NULLS LAST, entity_id, horizon) AS i FROM mst)
+SELECT manufacturer_code, count(*) AS row_count, '[' || string_agg('{"entity_id":"' || entity_id || '","horizon":"' || horizon || '"}', ',' ORDER BY p DESC, entity_id, horizon) || ']' AS payload
+FROM t WHERE i <= 10 GROUP BY manufacturer_code
+""")
 def _(spark, sf):
     return G.payload(base_rows(spark, sf), ["manufacturer_code"], ["entity_id", "horizon"], 10)
 

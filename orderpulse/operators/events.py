@@ -48,6 +48,15 @@ def event_aggregates(results: DataFrame, keys: Sequence[str] = ORDER_ENTITY) ->
     )
 
 
+def aggregate_range(results: DataFrame, start: str, end: str, keys: Sequence[str] = ORDER_ENTITY, detectors: Sequence[str] | None = None) -> DataFrame:
+    """Aggregates over a range of days from published components: of each (day, detector) only the newest batch counts."""
+    inside = results.where(F.col(DAY).between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    if detectors:
+        inside = inside.where(F.col("detector_id").isin(list(detectors)))
+    newest = inside.groupBy(DAY, "detector_id").agg(F.max("batch_id").alias("batch_id"))
+    return event_aggregates(inside.join(newest, [DAY, "detector_id", "batch_id"], "left_semi"), keys)
+
+
 def validate_aggregates(agg: DataFrame, keys: Sequence[str] = ORDER_ENTITY) -> DataFrame:
     """Counts of broken invariants: duplicate keys, wrong set sizes, history gaps, falling counters."""
     order = Window.partitionBy(*keys).orderBy(DAY)

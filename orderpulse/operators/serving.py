@@ -83,6 +83,6 @@ def resolve_context(registry: DataFrame, requested: str) -> DataFrame:
 
 def payload(df: DataFrame, key: Sequence[str], columns: Sequence[str], n: int) -> DataFrame:
     """JSON page per key holding its best n rows."""
-    top = first_rows(df, key, [F.desc_nulls_last("p"), F.asc("entity_id")], n)
+    top = first_rows(df, key, [F.desc_nulls_last("p"), F.asc("entity_id"), *[F.asc(c) for c in columns]], n)
     rows = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("_s"), *columns)))
     return top.groupBy(*key).agg(F.count(F.lit(1)).alias("row_count"), F.to_json(F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in columns]))).alias("payload"))

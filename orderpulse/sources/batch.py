@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,15 +115,49 @@ def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     flat.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
-def publish_components(results: DataFrame, path: str, published: DataFrame | None = None) -> DataFrame:
-    """Write new (date, rule) partitions once; those already published are skipped. Returns what was written.
+COMPONENT = ["observation_date", "detector_id"]
 
-    Dynamic partitions are appended in one job, and a component that exists is filtered out by an anti join.
+
+def published_components(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows published below a path, or None before the first publication."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def publish_components(results: DataFrame, path: str) -> DataFrame:
+    """Write the (date, rule) components that the path does not hold yet, each once; counts of what was written.
+
+    What is there is looked up first, so a rerun or a resumed backfill publishes nothing twice. The key list is one
+    pair per date and rule.
     """
-    key = ["observation_date", "detector_id"]
-    new = results.join(published.select(*key).distinct(), key, "left_anti") if published is not None else results
-    new.write.mode("append").partitionBy(*key).parquet(path)
-    return new.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    spark = results.sparkSession
+    before = published_components(spark, path)
+    new = results.join(before.select(*COMPONENT).distinct(), COMPONENT, "left_anti") if before is not None else results
+    held = [] if before is None else [tuple(r) for r in before.select(*COMPONENT).distinct().collect()]
+    new.write.mode("append").partitionBy(*COMPONENT).parquet(path)
+    after = published_components(spark, path)
+    if after is None:
+        return spark.createDataFrame([], results.select(*COMPONENT).schema.add("rows", "long"))
+    counts = after.groupBy(*COMPONENT).agg(F.count(F.lit(1)).alias("rows"))
+    if not held:
+        return counts
+    old = spark.createDataFrame(held, before.select(*COMPONENT).schema)
+    return counts.join(old, COMPONENT, "left_anti")
+
+
+def backfill(compute: Callable[[list[str], list[str]], DataFrame], path: str, spark: SparkSession, dates: Sequence[str], detectors: Sequence[str]) -> DataFrame:
+    """Publish what is missing of a range of dates and rules; `compute(dates, rules)` is asked for nothing else."""
+    before = published_components(spark, path)
+    index = before.select(*COMPONENT).distinct() if before is not None else empty(spark, T.StructType().add("observation_date", T.DateType()).add("detector_id", T.StringType()))
+    missing = [(str(d), r) for d, r in pending_components(index, dates, detectors).collect()]
+    if not missing:
+        return publish_components(before.limit(0), path) if before is not None else index.withColumn("rows", F.lit(0).cast("long"))
+    wanted = compute(sorted({d for d, _ in missing}), sorted({r for _, r in missing}))
+    return publish_components(wanted, path)
 
 
 def latest_components(index: DataFrame) -> DataFrame:

@@ -85,42 +85,111 @@ def test_status_lifecycle(spark):
     assert got == [(60, 5, False), (60, 5, False), (0, 0, True), (0, 0, True), (0, 0, True)]
 
 
-HITS = [
-    ("2025-01-01", "m1", "h1", "d1", "a", True), ("2025-01-01", "m1", "h1", "d1", "a", True), ("2025-01-02", "m1", "h1", "d1", "a", True),
-    ("2025-01-02", "m1", "h1", "d1", "b", True), ("2025-01-03", "m1", "h1", "d1", "b", True), ("2025-01-02", "m2", "h1", "d1", "a", True),
-    ("2025-01-03", "m2", "h1", "d1", "b", False),
-]
+KEYS = ["manufacturer_code", "hospital_code", "drug_code"]
 
 
-def hit_frame(spark):
-    return spark.createDataFrame(HITS, "observation_date string, manufacturer_code string, hospital_code string, drug_code string, detector_id string, hit_flag boolean")
+def hit_rows():
+    """Two shops over a spring week; day, shop, rule, hit. Friday's rules of shop K come in two parts, Monday's late."""
+    week = ["2023-04-03", "2023-04-05", "2023-04-07"]
+    return [
+        (week[1], "K", "stock", True), (week[2], "K", "price", True), (week[2], "K", "rhythm", True), (week[2], "K", "stock", True),
+        (week[0], "K", "rhythm", True), (week[0], "K", "price", False), (week[2], "L", "price", True), (week[2], "L", "price", True), (week[1], "L", "stock", False),
+    ]
+
+
+def hit_frame(spark, rows=None):
+    full = [(day, f"maker-{shop}", f"site-{shop}", "item", rule, hit) for day, shop, rule, hit in (rows or hit_rows())]
+    return spark.createDataFrame(full, "observation_date string, manufacturer_code string, hospital_code string, drug_code string, detector_id string, hit_flag boolean")
+
+
+def by_hand(rows):
+    """{(shop, day): (rules of the day, hits so far, days so far, rules so far)} counted one by one."""
+    found = {}
+    for shop in {r[1] for r in rows}:
+        seen, hits, days = set(), 0, 0
+        for day in sorted({r[0] for r in rows if r[1] == shop and r[3]}):
+            now = sorted({r[2] for r in rows if r[0] == day and r[1] == shop and r[3]})
+            seen, hits, days = seen | set(now), hits + len(now), days + 1
+            found[f"maker-{shop}", day] = ("|".join(now), hits, days, "|".join(sorted(seen)))
+    return found
 
 
-def test_event_aggregates_batch_equals_stream(spark, tmp_path):
-    batch_rows = events.event_aggregates(hit_frame(spark)).toPandas()
-    m1 = batch_rows[batch_rows.manufacturer_code == "m1"].set_index("observation_date")
-    assert list(m1.loc["2025-01-02", ["current_detector_count", "cumulative_hit_count", "cumulative_hit_day_count"]]) == [2, 3, 2]
-    assert list(m1.loc["2025-01-03", ["current_detector_count", "cumulative_hit_count"]]) == [1, 4]
+def counted(frame):
+    return {(r.manufacturer_code, str(r.observation_date)): (r.current_detector_ids, r.cumulative_hit_count, r.cumulative_hit_day_count, r.historical_detector_ids) for r in frame.collect()}
 
-    # One file per day, one file per micro-batch.
-    h = hit_frame(spark)
-    for i, day in enumerate(["2025-01-01", "2025-01-02", "2025-01-03"]):
-        h.where(F.col("observation_date") == day).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    keys = ["manufacturer_code", "hospital_code", "drug_code"]
-    out = event_state.run_available(event_state.aggregate_stream(stream, keys)).toPandas()
-    cols = [c for c in out.columns]
-    a = out[cols].astype(str).sort_values(cols).reset_index(drop=True)
-    b = batch_rows[cols].astype(str).sort_values(cols).reset_index(drop=True)
-    pd.testing.assert_frame_equal(a, b)
+
+def test_event_aggregates_in_batch(spark):
+    want = by_hand(hit_rows())
+    assert want["maker-K", "2023-04-07"] == ("price|rhythm|stock", 5, 3, "price|rhythm|stock")
+    assert counted(events.event_aggregates(hit_frame(spark))) == want
+
+
+@pytest.mark.parametrize("parts", [[[0], [1, 2], [3, 5], [4, 6], [7, 8]], [[4, 5], [0, 8], [1, 2, 3, 6, 7]], [[1], [6, 3], [0], [2, 7], [4]]])
+def test_stream_keeps_split_and_late_days(spark, tmp_path, parts):
+    """Each part is a file and a micro-batch of its own; days are split over files and come out of order."""
+    rows = hit_rows()
+    for part in parts:
+        hit_frame(spark, [rows[k] for k in part]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(hit_frame(spark).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = event_state.run_available(event_state.aggregate_stream(stream, KEYS), work=str(tmp_path / "work"))
+    assert counted(event_state.latest_rows(out, KEYS)) == by_hand([rows[k] for part in parts for k in part])
 
 
 def test_event_state_merge_equals_batch(spark):
     h, state = hit_frame(spark), None
-    for day in ["2025-01-01", "2025-01-02", "2025-01-03"]:
+    for day in ["2023-04-03", "2023-04-05", "2023-04-07"]:
         state = events.merge_state(state, h.where(F.col("observation_date") == day))
-    got = {r.manufacturer_code: (r.cumulative_hit_count, r.cumulative_hit_day_count, sorted(r.historical_ids)) for r in state.collect()}
-    assert got == {"m1": (4, 3, ["a", "b"]), "m2": (1, 1, ["a"])}
+    got = {r.manufacturer_code: (r.cumulative_hit_count, r.cumulative_hit_day_count, "|".join(sorted(r.historical_ids))) for r in state.collect()}
+    want = by_hand(hit_rows())
+    assert got == {"maker-K": want["maker-K", "2023-04-07"][1:], "maker-L": want["maker-L", "2023-04-07"][1:]}
+
+
+def test_range_aggregates_take_the_newest_batch(spark):
+    rows = hit_rows()
+    h = hit_frame(spark).withColumn("observation_date", F.to_date("observation_date")).withColumn("batch_id", F.lit("b1"))
+    newer = h.where("detector_id = 'price' and manufacturer_code = 'maker-L'").withColumn("batch_id", F.lit("b2"))
+    got = events.aggregate_range(h.unionByName(newer), "2023-04-05", "2023-04-07")
+    kept = [r for r in rows if r[0] >= "2023-04-05" and not (r[0] == "2023-04-07" and r[2] == "price" and r[1] == "K")]
+    assert counted(got) == by_hand(kept)
+
+
+def test_category_codes_cover_all_categories(spark):
+    rows = [(f"c{k:04d}",) for k in range(700)] + [("c0005",), ("c0007",), ("c0007",), (None,)]
+    got = {r.c: r.c_code for r in cleaning.category_codes(spark.createDataFrame(rows, "c string"), "c").collect()}
+    assert len(got) == 701 and got["c0007"] == 1 and got["c0005"] == 2 and got["c0000"] == 3 and got[None] == 701
+
+
+def test_interval_overdue_uses_the_deviation(spark):
+    gaps = [10.0, 30.0, 20.0, 60.0]  # median 25, deviations 15, 5, 5, 35, their median 10
+    frame = spark.createDataFrame([("e", 4.0, gaps), ("f", 4.0, [9.0, 9.0])], "entity_id string, months_since_last_purchase_asof_cutoff double, gaps array<double>")
+    frame = frame.withColumn("median_purchase_interval_days_asof_cutoff", F.when(F.col("entity_id") == "e", 25.0).otherwise(9.0))
+    frame = frame.withColumn("purchase_interval_mad_days_asof_cutoff", features.median_deviation(F.col("gaps"), F.col("median_purchase_interval_days_asof_cutoff")))
+    frame = frame.selectExpr("*", "date'2024-01-31' as cutoff_month", "2.5D as overdue_ratio", "'x' as demand_shape_route", "'slightly_overdue' as survival_state", "0.9D as survival_confidence", "'history_sufficient' as history_sufficiency_flag", "'smooth' as demand_shape_label")
+    got = {r.entity_id: r for r in research_rules.interval_overdue_test(frame).collect()}
+    assert got["e"].robust_z == pytest.approx((4 * 30.4375 - 25) / 10)
+    assert got["e"].p_value == pytest.approx(0.5 * math.erfc(got["e"].robust_z / math.sqrt(2)), rel=1e-9)
+    assert got["f"].robust_z is None and got["f"].p_value is None and not got["f"].fdr_eligible
+
+
+def test_evidence_id_parts(spark):
+    import hashlib
+
+    row = ("c|H3", "fam", "det", "v2", "2024-01-31", "H3", "why", None)
+    frame = spark.createDataFrame([row], ", ".join(f"{c} string" for c in research_rules.EVIDENCE_PARTS))
+    got = research_rules.evidence_ids(frame).collect()[0]
+    want = hashlib.sha256(b"c|H3|fam|det|v2|2024-01-31|H3|why|").hexdigest()
+    assert got.evidence_hash == want and got.evidence_id == want[:16]
+
+
+def test_corroboration_levels(spark):
+    test, interval, freq, fact = "purchase_frequency_decay_rate_test", "purchase_interval_overdue_warning", "purchase_frequency_fluctuation_warning", "new_terminal_detection"
+    rows = [("none", freq, False, "ok", True), ("fact", fact, True, "ok", True), ("one", interval, True, "ok", True), ("ready", test, True, "ok", False), ("same", test, True, "ok", True),
+            ("same", freq, True, "ok", True), ("two", interval, True, "ok", True), ("two", freq, True, "ok", True), ("blind", interval, True, "not_evaluable", True), ("held", interval, True, "ok", True)]
+    ev = spark.createDataFrame([(e, 1, d_, h, q, f) for e, d_, h, q, f in rows], "entity_id string, cutoff_month int, detector_name string, hit_flag boolean, data_quality_status string, fdr_pass_flag boolean")
+    guard = spark.createDataFrame([("held", 1, "policy_caveat"), ("one", 1, "none")], "entity_id string, cutoff_month int, l2_guardrail string")
+    level = lambda **k: {r.entity_id: r.corroboration_level for r in research_rules.corroboration(ev, guardrail=guard, **k).collect()}
+    assert level() == {"none": "none", "fact": "none", "one": "single_signal", "ready": "provisional_fdr_ready", "same": "provisional_fdr_ready", "two": "multi_signal", "blind": "none", "held": "suppressed_by_l2"}
+    assert level(fdr_applied=True)["ready"] == "none" and level(fdr_applied=True)["same"] == "single_signal"
 
 
 def test_binomial_cdf(spark):
@@ -134,8 +203,11 @@ def test_binomial_cdf(spark):
 
 def test_normal_tail(spark):
     df = spark.createDataFrame([(0.0,), (1.6448536269514722,), (None,)], "z double")
-    got = [r.p for r in df.select(research_rules.normal_upper_tail("z").alias("p")).collect()]
-    assert got[0] == pytest.approx(0.5) and got[1] == pytest.approx(0.05) and got[2] is None
+    z = [-40.0, -8.3, -3.51, -3.49, -1.0, 0.0, 0.3, 1.6448536269514722, 3.49, 3.51, 7.0, 30.0, None]
+    df = spark.createDataFrame([(x,) for x in z], "z double")
+    got = {r.z: r.p for r in df.selectExpr("z", research_rules.normal_upper_tail("z") + " as p").collect()}
+    for x in z[:-1]:
+        assert got[x] == pytest.approx(0.5 * math.erfc(x / math.sqrt(2)), rel=1e-9, abs=1e-300)
 
 
 def test_benjamini_hochberg_brute_force(spark):
@@ -171,7 +243,7 @@ def test_raw_batch_reader(spark, tmp_path):
 def test_result_table_is_immutable(spark, tmp_path):
     df = hit_frame(spark)
     batch.write_result(df, str(tmp_path / "t"), ["observation_date"])
-    assert spark.read.parquet(str(tmp_path / "t")).count() == len(HITS)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == len(hit_rows())
     with pytest.raises(Exception):
         batch.write_result(df, str(tmp_path / "t"), ["observation_date"])
 
@@ -179,6 +251,16 @@ def test_result_table_is_immutable(spark, tmp_path):
 def test_publish_skips_existing_components(spark, tmp_path):
     df = hit_frame(spark).withColumn("observation_date", F.to_date("observation_date"))
     path = str(tmp_path / "p")
-    batch.publish_components(df.where("observation_date < date'2025-01-02'"), path)
-    batch.publish_components(df, path, spark.read.parquet(path))
-    assert spark.read.parquet(path).count() == len(HITS)
+    first = batch.publish_components(df.where("observation_date < date'2023-04-05'"), path)
+    assert {(str(r.observation_date), r.detector_id): r.rows for r in first.collect()} == {("2023-04-03", "rhythm"): 1, ("2023-04-03", "price"): 1}
+    second = {(str(r.observation_date), r.detector_id): r.rows for r in batch.publish_components(df, path).collect()}
+    assert second["2023-04-07", "price"] == 3 and ("2023-04-03", "price") not in second
+    assert spark.read.parquet(path).count() == len(hit_rows())
+    asked = []
+
+    def compute(dates, rules):
+        asked.append((dates, rules))
+        return df.where(F.col("observation_date").cast("string").isin(dates) & F.col("detector_id").isin(rules))
+
+    assert batch.backfill(compute, path, spark, ["2023-04-03", "2023-04-05"], ["price", "stock"]).count() == 0
+    assert asked == [(["2023-04-03", "2023-04-05"], ["price", "stock"])] and spark.read.parquet(path).count() == len(hit_rows())

@@ -60,3 +60,20 @@ def test_tercile_matches_equal_width_cut(spark):
         d = spark.range(1, n + 1).select(F.col("id"), ranking.tercile(F.col("id"), F.lit(n)).alias("t")).toPandas()
         want = pd.qcut(pd.Series(range(1, n + 1)).rank(method="first"), 3, labels=["low", "mid", "high"])
         assert list(d.sort_values("id")["t"]) == list(want.astype(str))
+
+
+def test_sorted_rank_splits_one_value(spark):
+    """Two hundred thousand rows of one score in one group: no task holds more than a share of them."""
+    from pyspark.sql import functions as F
+
+    from orderpulse.operators import ranking
+
+    df = spark.range(200_000).selectExpr("'g' as g", "7.0D as score", "lpad(cast(id * 7919 % 200000 as string), 6, '0') as k")
+    out = ranking.sorted_rank(df, "score", ["g"], ["k"], total="n")
+    assert out.where("rank <> cast(k as long) + 1 or n <> 200000").count() == 0
+    sizes = [r["count"] for r in df.repartitionByRange(F.col("g").asc(), F.col("score").desc(), F.col("k").asc()).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 60_000
+    tied = spark.createDataFrame([(1, "b"), (1, "a"), (3, "z"), (None, "q")], "v int, k string")
+    got = {r.k: r.rank for r in ranking.sorted_rank(tied, "v", [], ["k"]).collect()}
+    want = {r.k: r.rank for r in ranking.exact_rank(tied, "v", [], ["k"]).collect()}
+    assert got == want == {"z": 1, "a": 2, "b": 3, "q": 4}
