@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         where = np.flatnonzero(w)
         yield pd.DataFrame({"at": where, "w": w[where]})
 
-    found = rows.mapInPandas(extract, "h long, y double, at array<long>, value array<float>").coalesce(1).mapInPandas(learn, "at long, w double")
+    found = rows.mapInPandas(extract, "h long, y double, at array<long>, value array<float>").repartition(1).mapInPandas(learn, "at long, w double")
     weights = np.zeros((1 << BITS) + 1)
     # One number for each of the 2^BITS positions at most.
     for at, w in found.toLocalIterator():
