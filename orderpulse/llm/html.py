@@ -242,7 +242,9 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most `sample` pages; only the counts of some 150 kinds reach the driver."""
-    some = pages.select("page_id", "html").where("html is not null").orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample)
+    hashed = pages.where("html is not null").select("html", F.xxhash64("page_id", "html").alias("h"))
+    # The sample's pages are named first, so that only hashes are ordered; equal pages are learnt from as often as they come.
+    some = hashed.join(F.broadcast(hashed.select("h").distinct().orderBy("h").limit(sample)), "h")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
