@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderpulse.llm.common import settle
-from orderpulse.llm.tokens import encoder, with_end
+from orderpulse.llm.tokens import encoder, slices, with_end
 
 CAPACITY = 1024
 #: Rests that a task holds before it packs what it can; a rest is less than a window.
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY, w
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             flat, lengths = with_end(*enc.encode(batch.column("text")), end)
             at = 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), lengths.tolist(), strict=True):

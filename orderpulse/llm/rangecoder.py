@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderpulse.llm.common import settle
-from orderpulse.llm.tokens import encoder, with_end
+from orderpulse.llm.tokens import encoder, slices, with_end
 
 #: Ids of a block, blocks coded side by side, and ids after which a segment ends with its document.
-BLOCK, LANES = 2048, 4096
+BLOCK, LANES = 1024, 4096
 SEGMENT = BLOCK * LANES
 #: Ids must be below this bound: a range of 2^32 then still parts the rarest id of the rarest class.
 BOUND = 1 << 19
 _U, _I = np.uint64, np.int64
-_SLOTS1, _SLOTS2, _CLASSES, _ROW, _REFRESH = 512, 1024, 80, 128, 64
+_SLOTS1, _SLOTS2, _CLASSES, _ROW, _REFRESH = 256, 512, 80, 128, 64
 _ONE = 4096
 #: The odds approach these bounds, never 0 or 1, so that every case keeps a share of the range.
 _SELDOM, _OFTEN2, _OFTEN1 = 32, 3840, 3072
@@ -47,10 +47,10 @@ class Model:
         self.one, self.two, self.state, self.table = rows * _SLOTS1, rows * _SLOTS2, rows * 32, rows * _ROW
         # What followed: (id + 1) * 4 + confidence.
         self.after1, self.after2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)
-        self.odds2, self.odds1 = np.full(lanes * 32, _ONE // 4, np.int32), np.full(lanes * 32, _ONE // 4, np.int32)
+        self.odds2, self.odds1 = np.full(lanes * 32, _ONE // 4, _I), np.full(lanes * 32, _ONE // 4, _I)
         self.counts = np.ones(lanes * _ROW, np.int32)
         # What lies beyond the classes is above every share, for the search.
-        self.cum = np.full(lanes * _ROW, _ONE + 1, np.int32)
+        self.cum = np.full(lanes * _ROW, _ONE + 1, _I)
         self.cum[self.table] = 0
         self.last1, self.last2 = np.zeros(lanes, _I), np.zeros(lanes, _I)
         self.step = 0
@@ -92,11 +92,11 @@ class Model:
             self._refresh()
 
 
-def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of ids (bit length of id + 4 and the two bits after the first) and the number of low bits left."""
+def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of ids (bit length of id + 4 and the two bits after the first), the number of low bits left, and these."""
     y = ids.astype(np.int32) + 4
-    low = np.frexp(y.astype(np.float64))[1].astype(np.int32) - 3
-    return low * 4 + (y >> low & 3), low
+    low = np.frexp(y.astype(np.float32))[1] - 3
+    return (low * 4 + (y >> low & 3)).astype(_I), low.astype(_U), (y & (1 << low) - 1).astype(_U)
 
 
 def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +137,8 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     space = longest * 3 // 2 + 8
     out, end = np.zeros(lanes * space, np.uint32), np.arange(lanes) * space
     for t in range(longest):
+        if t % _REFRESH == 0:
+            ahead_class, ahead_bits, ahead_low = _class_of(ids[t:t + _REFRESH])
         k = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t))
         x = ids[t, :k]
         model.predict(k)
@@ -147,14 +149,14 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         begin = np.where(same2, 0, np.where(same1, f2, f2 + f1))
         share = np.where(same2, f2, np.where(same1, f1, _ONE - f2 - f1))
         r = width[:k] >> _12
-        l, w = low[:k] + r * begin.astype(_U), r * share.astype(_U)
+        l, w = low[:k] + r * begin.view(_U), r * share.view(_U)
         plain = np.flatnonzero(~known)
-        classes, bits = _class_of(x[plain])
-        places = model.table[plain] + classes
+        at = t % _REFRESH
+        places = model.table[plain] + ahead_class[at, plain]
         cum = model.cum[places]
         r = w[plain] >> _12
-        part = r * (model.cum[places + 1] - cum).astype(_U) >> bits.astype(_U)
-        l[plain] += r * cum.astype(_U) + part * (x[plain] + 4 & (1 << bits) - 1).astype(_U)
+        part = r * (model.cum[places + 1] - cum).view(_U) >> ahead_bits[at, plain]
+        l[plain] += r * cum.view(_U) + part * ahead_low[at, plain]
         w[plain] = part
         go, cut = _settled(l, w)
         if len(go):
@@ -200,28 +202,29 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         r = width[:k] >> _12
         l, v = low[:k], value[:k]
         off = v - l
-        in2 = off < r * f2.astype(_U)
-        known = off < r * (f2 + f1).astype(_U)
+        in2 = off < r * f2.view(_U)
+        known = off < r * (f2 + f1).view(_U)
         begin = np.where(in2, 0, np.where(known, f2, f2 + f1))
         share = np.where(in2, f2, np.where(known, f1, _ONE - f2 - f1))
-        l, w = l + r * begin.astype(_U), r * share.astype(_U)
+        l, w = l + r * begin.view(_U), r * share.view(_U)
         x = (np.where(in2, model.e2, model.e1) >> 2) - 1
         plain = np.flatnonzero(~known)
         r = w[plain] >> _12
         rest = v[plain] - l[plain]
-        share = np.minimum(rest // r, _U(_ONE - 1)).astype(np.int32)
+        share = np.minimum(rest // r, _U(_ONE - 1)).view(_I)
         base = model.table[plain]
         places = base.copy()
         for step in (64, 32, 16, 8, 4, 2, 1):
             places += step * (model.cum[places + step] <= share)
         cum = model.cum[places]
-        bits = (places - base >> 2).astype(np.int32)
-        part = r * (model.cum[places + 1] - cum).astype(_U) >> bits.astype(_U)
-        rest -= r * cum.astype(_U)
-        tail = np.minimum((rest // part).astype(np.int32), (1 << bits) - 1)
-        l[plain] += r * cum.astype(_U) + part * tail.astype(_U)
+        classes = places - base
+        bits = classes >> 2
+        begin = r * cum.view(_U)
+        part = r * (model.cum[places + 1] - cum).view(_U) >> bits.view(_U)
+        tail = np.minimum(((rest - begin) // part).view(_I), (1 << bits) - 1)
+        l[plain] += begin + part * tail.view(_U)
         w[plain] = part
-        x[plain] = ((4 | (places - base).astype(np.int32) & 3) << bits | tail) - 4
+        x[plain] = ((4 | classes & 3) << bits | tail) - 4
         go, cut = _settled(l, w)
         if len(go):
             lg, wg = l[go], w[go]
@@ -261,7 +264,7 @@ def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataF
                 ["file", "segment", "doc_ids", "sizes", "blocks"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             flat, lengths = with_end(*enc.encode(batch.column("text")), end)
             names, at = batch.column("doc_id").to_pylist(), np.concatenate([[0], np.cumsum(lengths)])
             first = 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderpulse.llm.common import settle
-from orderpulse.llm.tokens import encoder, with_end
+from orderpulse.llm.tokens import encoder, slices, with_end
 
 #: Ids of a block, and blocks of a group of the scan.
 BLOCK, GROUP = 1 << 18, 1024
@@ -45,7 +45,7 @@ def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK, prefixe
                 ["file", "at", "ids", "doc_id"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             flat, _ = with_end(*enc.encode(batch.column("text")), end)
             left = np.concatenate([left, flat.astype("<u4")])
             full = [left[k:k + block].tobytes() for k in range(0, len(left) - len(left) % block, block)]

@@ -8,6 +8,7 @@ hold a special token, goes to the library whole.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,9 @@ import pyarrow.compute as pc
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]"
 _AWKWARD = rf"(?:^|{_SPACE}) | (?:$|{_SPACE})|<\|"
 #: Words whose ids a worker keeps, some 200 bytes each, in either of two generations.
-KEPT = 500_000
+KEPT = 300_000
 #: Bytes of text that are encoded at once, but at least one text.
-STEP = 8_000_000
+STEP = 4_000_000
 
 
 class Encoder:
@@ -27,13 +28,17 @@ class Encoder:
 
     def __init__(self, path: str, prefixed: bool, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.prefixed = prefixed
         self.kept: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.model, self.folds = self.tokenizer.model, '"Lowercase"' in self.tokenizer.to_str()
+        # How the byte-level alphabet writes the space and the characters below U+0100.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xA1, 0x100))}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -47,38 +52,46 @@ class Encoder:
         kept, old = self.kept[before], self.old[before]
         found = list(map(kept.get, words))
         missing = [k for k, x in enumerate(found) if x is None]
-        new: dict[str, bytes] = {}
+        new: dict[str, bytes] = {"": b""}
+        others: dict[str, None] = {}
+        parts = {}
         for k in missing:
             word = words[k]
             if (x := old.get(word)) is not None:
                 kept[word] = found[k] = x
                 continue
             core, tail = self._parts(word)
-            new[before + core] = b""
-            new[tail] = b""
-        names = list(new)
+            parts[k] = core, tail
+            if core not in new:
+                # Letters below U+0100 are one word to either vocabulary, and no normal form or case rule joins them.
+                if core.isalpha() and max(core) < "\u0100":
+                    new[core] = np.array([t.id for t in self.model.tokenize((before + core).translate(self.written))], self.dtype).tobytes()
+                else:
+                    others[core] = None
+            if tail and tail not in new:
+                new[tail] = self._whole([tail])[0]
+        names = list(others)
         for k in range(0, len(names), 4096):
             some = names[k:k + 4096]
-            new.update(zip(some, self._whole(some), strict=True))
-        for k in missing:
-            if found[k] is None:
-                core, tail = self._parts(words[k])
-                kept[words[k]] = found[k] = new[before + core] + new[tail]
+            new.update(zip(some, self._whole([before + w for w in some]), strict=True))
+        for k, (core, tail) in parts.items():
+            kept[words[k]] = found[k] = new[core] + new[tail]
         return found
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        core = word.rstrip(".,")
-        return (core, word[len(core):]) if core and core[-1].isalpha() else (word, "")
+    def _parts(self, word: str) -> tuple[str, str]:
+        core, tail = word.rstrip(".,"), ""
+        if core and core[-1].isalpha():
+            tail = word[len(core):]
+        else:
+            core = word
+        return (core.lower() if self.folds and core and core.isalpha() and max(core) < "\u0100" else core), tail
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has. Null counts as empty."""
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = np.flatnonzero(np.diff(sizes // STEP)) + 1
-        found = [self._encode(texts.slice(a, z - a)) for a, z in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+        found = [self._encode(texts.slice(a, z - a)) for a, z in _cuts(texts, STEP)]
         return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +138,19 @@ class Encoder:
         return pool[where + np.arange(len(where))], count
 
 
+def _cuts(texts: pa.Array, step: int) -> list[tuple[int, int]]:
+    sizes = np.cumsum(pc.binary_length(pc.fill_null(texts, "")).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = (np.flatnonzero(np.diff(sizes // step)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(texts)], strict=True)) if len(texts) else []
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `step` bytes of text, so that a task's memory doesn't follow the batch size."""
+    for batch in batches:
+        for a, z in _cuts(batch.column(column), step):
+            yield batch.slice(a, z - a)
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
