@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderpulse.functions.exprs import null_safe_join
-from orderpulse.operators.ranking import cumulate, exact_rank
+from orderpulse.operators.ranking import cumulate, exact_rank, exact_ranks
 from orderpulse.schemas import ENTITY
+from orderpulse.session import cut_lineage
 
 K_VALUES: list[int | str] = [10, 20, 50, 100, "top_1_pct", "top_5_pct", "top_10_pct"]
 
@@ -105,8 +106,8 @@ def value_metrics(
     base = df.select(*by, score, *ties, F.col(y).cast("double").alias("_y"), F.col(p).alias("_p"), F.col(value).alias("_v")).withColumn(
         "_gain", F.expr("_y * _v")
     )
-    r = exact_rank(base, score, by, ties, name="_r", total="_n")
-    r = exact_rank(r, "_gain", by, ties, name="_ideal")
+    # Both ranks and the sums read one materialised frame instead of deriving it six times.
+    r = exact_ranks(cut_lineage(base), [(score, by, "_r"), ("_gain", by, "_ideal")], ties, total="_n")
     aggs = [F.max("_n").alias("n"), F.sum("_gain").alias("gain"), F.expr("sum(_p * _v) as loss")]
     for i, k in enumerate(ks):
         top, ideal = f"_r <= {_k(k, '_n')}", f"_ideal <= {_k(k, '_n')}"

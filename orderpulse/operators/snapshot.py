@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orderpulse.functions.exprs import date_array, entity_id, null_safe_join
 from orderpulse.operators.ranking import quantiles
 from orderpulse.schemas import ORDER_ENTITY
+from orderpulse.session import cut_lineage
 
 OBS = "observation_date"
 RECENT_DAYS = 90
@@ -205,8 +206,11 @@ def market_reference(rows: DataFrame, dates: Sequence[str], quantile: float = MA
 
 
 def detector_snapshot(orders: DataFrame, dates: Sequence[str]) -> DataFrame:
-    """One row per entity and observation date with everything the rules read."""
-    rows = prepared(orders)
+    """One row per entity and observation date with everything the rules read.
+
+    Eight branches read the prepared rows; they are written once, so that the source is scanned and joined once.
+    """
+    rows = cut_lineage(prepared(orders))
     base = base_snapshot(rows, dates)
     start = rows.agg(F.min("order_date")).scalar()
     out = base.join(current_facts(rows, dates), [OBS, *ORDER_ENTITY], "left")
