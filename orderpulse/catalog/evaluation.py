@@ -557,13 +557,3 @@ def _(spark, sf):
     per = round_all(E.full_metrics(f, BY))
     macro = per.groupBy("horizon").agg(F.sum("row_count").alias("row_count"), *[F.avg(c).alias(c) for c in cols])
     return pooled.unionByName(round_all(macro.select("horizon", F.lit("macro_by_cutoff").alias("metric_level"), "row_count", *cols)))
-
-
-@query("metric_before_after_calibration", f"""
-WITH c AS (SELECT *, greatest(least(0.1 + 0.8 * p, 1), 0) AS q FROM mf), b AS (SELECT horizon, cutoff_month, avg((p - y) * (p - y)) AS b0, avg((q - y) * (q - y)) AS b1 FROM c GROUP BY ALL)
-SELECT horizon, cutoff_month, {rnd('b0')} AS brier_raw, {rnd('b1')} AS brier_calibrated, {rnd('b1 - b0')} AS brier_delta, CASE WHEN b1 - b0 < -0.0001 THEN 'improved' WHEN b1 - b0 > 0.0001 THEN 'worse' ELSE 'stable' END AS effect FROM b
-""")
-def _(spark, sf):
-    f = frame(spark, sf).withColumn("q", F.expr("greatest(least(0.1D + 0.8D * p, 1D), 0D)"))
-    b = f.groupBy(*BY).agg(F.expr("avg((p - y) * (p - y)) as brier_raw"), F.expr("avg((q - y) * (q - y)) as brier_calibrated")).withColumn("brier_delta", F.expr("brier_calibrated - brier_raw"))
-    return round_all(b.withColumn("effect", F.expr("case when brier_delta < -0.0001 then 'improved' when brier_delta > 0.0001 then 'worse' else 'stable' end")))

@@ -76,7 +76,7 @@ SELECT entity_id, cutoff_month, least(coalesce(survival_confidence, 0), CASE WHE
 """)
 
 
-@query("status_recurring_decision", """
+cte("rdec", """
 WITH e AS (
   SELECT entity_id, cutoff_month, bool_or(hit_flag AND detector_name = 'terminal_loss_warning') AS t, bool_or(hit_flag AND detector_name = 'purchase_frequency_fluctuation_warning') AS f,
     bool_or(hit_flag AND detector_name = 'purchase_quantity_fluctuation_warning') AS q FROM evd GROUP BY ALL
@@ -100,7 +100,9 @@ SELECT entity_id, cutoff_month, evidence_strength, final_candidate_status, CASE
   WHEN final_candidate_status IN ('priority_review', 'manual_review') AND evidence_strength IN ('medium', 'strong') AND big THEN 'P1'
   WHEN final_candidate_status IN ('observation_only', 'low_confidence_watch') AND big THEN 'P2' ELSE 'P3' END AS review_priority FROM fin
 """)
-def _(spark, sf):
+
+
+def recurring_decision(spark, sf):
     s, ev = evidence_rows(spark, sf)
     rows = EV.all_rows(spark, sf).where("horizon = 'H6' and sample_class = 'recurring'").selectExpr("entity_id", "cutoff_month", "horizon", "p", "p * v as prio")
     keep = ["entity_id", "cutoff_month", "survival_state", "survival_confidence", "demand_shape_route", "demand_shape_label", "history_sufficiency_flag"]
@@ -109,6 +111,11 @@ def _(spark, sf):
     return d.select("entity_id", "cutoff_month", "evidence_strength", "final_candidate_status", "review_priority")
 
 
+@query("status_recurring_decision", "SELECT * FROM rdec")
+def _(spark, sf):
+    return recurring_decision(spark, sf)
+
+
 @query("result_risk_cards", """
 WITH c AS (SELECT o.*, row_number() OVER (PARTITION BY o.candidate_id ORDER BY detector_name) AS i FROM mout o WHERE hit_flag)
 SELECT 'card_primary_' || candidate_id AS risk_card_id, candidate_id, risk_level AS card_level, true AS is_primary FROM mst

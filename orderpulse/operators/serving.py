@@ -42,6 +42,41 @@ def top_entities(df: DataFrame, n: int, strategy: str, threshold: float | None =
     return top
 
 
+#: Weights of the ascending percent ranks of probability, overdue interval, frequency loss and business priority.
+MIXED_WEIGHTS = {"p": 0.5, "overdue": 0.2, "decay": 0.2, "loss": 0.1}
+
+
+def top_entities_mixed(df: DataFrame, n: int, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """Top n per manufacturer by a weighted sum of percent ranks over all rows; missing values rank as 0, ties by entity."""
+    weights = weights or MIXED_WEIGHTS
+    out = df.withColumns({f"_s_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in weights})
+    for c in weights:
+        out = sorted_rank(out, f"_s_{c}", [], ["entity_id"], name=f"_r_{c}", total="_n", descending=False).drop(f"_s_{c}")
+        out = out.withColumn(f"_r_{c}", F.col(f"_r_{c}") / F.col("_n")).drop("_n")
+    score = sum((F.lit(w) * F.col(f"_r_{c}") for c, w in weights.items()), F.lit(0.0))
+    ranked = out.withColumn("ranking_score", F.round(score, 9)).drop(*[f"_r_{c}" for c in weights])
+    return first_rows(ranked, ["manufacturer_code"], [F.desc("ranking_score"), F.asc("entity_id")], n)
+
+
+def typed_sort(df: DataFrame, column: str, kind: str, descending: bool, tie: str) -> DataFrame:
+    """Rows in the order of a column read as a date or a number; what cannot be read comes last, ties by `tie`."""
+    typed = F.col(column).cast("string").try_cast({"date": "date", "number": "double"}[kind])
+    return df.orderBy(typed.desc_nulls_last() if descending else typed.asc_nulls_last(), F.asc(tie))
+
+
+#: Names a caller may sort clues by, and their columns.
+CLUE_SORTS = {"detector_score": "detector_score", "confidence": "confidence", "risk_probability": "monthly_risk_probability", "loss_value": "monthly_loss_value", "created_at": "created_at"}
+
+
+def sorted_clues(clues: DataFrame, by: str, descending: bool = True) -> DataFrame:
+    """Clues by a known measure, nulls last, then by display rank and day; by display rank where the measure is absent."""
+    column = CLUE_SORTS.get(by)
+    rest = [F.asc_nulls_last("display_rank"), F.asc_nulls_last("observation_date")]
+    if column is None or column not in clues.columns:
+        return clues.orderBy(*rest)
+    return clues.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), *rest)
+
+
 def fill_shortage(top: DataFrame, pool: DataFrame, n: int, order: Sequence) -> DataFrame:
     """Complete manufacturers that returned fewer than n rows from another pool."""
     have = top.groupBy("manufacturer_code").agg(F.count(F.lit(1)).alias("_have"))
