@@ -149,6 +149,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: int =
     for batch in batches:
         for a, z in _cuts(batch.column(column), step):
             yield batch.slice(a, z - a)
+            pa.default_memory_pool().release_unused()
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
