@@ -241,7 +241,7 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     return [ids[k, :n].copy() for k, n in enumerate(sizes)]
 
 
-_FILE = "file int, segment long, doc_ids array<long>, sizes array<long>, blocks array<struct<n:int,crc:long,data:binary>>"
+_FILE = "file int, segment long, first long, doc_ids array<long>, sizes array<long>, blocks array<struct<n:int,crc:long,data:binary>>"
 
 
 def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataFrame:
@@ -252,7 +252,7 @@ def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, file, segment = encoder(path, prefixed), TaskContext.get().partitionId(), 0
-        ids, sizes, held, total = [], [], [], 0
+        ids, sizes, held, total, before = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             flat = np.concatenate(held)
@@ -260,8 +260,8 @@ def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataF
             coded = [{"n": len(b), "crc": zlib.crc32(b.astype("<u4").tobytes()), "data": d} for b, d in zip(blocks, encode(blocks), strict=True)]
             kind = pa.list_(pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("data", pa.binary())]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int32()), pa.array([segment], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([coded], kind)],
-                ["file", "segment", "doc_ids", "sizes", "blocks"],
+                [pa.array([file], pa.int32()), pa.array([segment], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([coded], kind)],
+                ["file", "segment", "first", "doc_ids", "sizes", "blocks"],
             )
 
         for batch in slices(batches):
@@ -279,7 +279,7 @@ def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataF
                 first = last
                 if total >= SEGMENT:
                     yield row()
-                    segment, ids, sizes, held, total = segment + 1, [], [], [], 0
+                    segment, before, ids, sizes, held, total = segment + 1, before + total, [], [], [], 0
         if ids:
             yield row()
 
@@ -288,18 +288,16 @@ def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataF
 
 def read(files: DataFrame) -> DataFrame:
     """Rows (file, segment, place, doc_id, start, n_tokens, ids): every document, start counted over all files."""
-    totals = files.select("file", "segment", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
-    inner = Window.partitionBy("file").orderBy("segment")
-    per_file = totals.groupBy("file").agg(F.sum("n").alias("all"))
-    # One row per file.
-    outer = per_file.select("file", (F.sum("all").over(Window.orderBy("file")) - F.col("all")).alias("before"))
-    begin = totals.withColumn("within", F.sum("n").over(inner) - F.col("n")).join(outer, "file").select("file", "segment", (F.col("before") + F.col("within")).alias("begin"))
+    totals = files.select("file", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
+    # One row for each task that wrote a file.
+    begin = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("begin"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 file, segment, names, sizes, blocks = (row.column(c)[0] for c in ("file", "segment", "doc_ids", "sizes", "blocks"))
+                first = row.column("first")[0].as_py()
                 parts = blocks.values
                 found = decode([d.as_buffer().to_pybytes() for d in parts.field("data")], parts.field("n").to_pylist())
                 for number, (ids, crc) in enumerate(zip(found, parts.field("crc").to_pylist(), strict=True)):
@@ -310,9 +308,9 @@ def read(files: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(n)])
                 raw = flat.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file.as_py()] * len(n), pa.int32()), pa.array([segment.as_py()] * len(n), pa.int64()), names.values, pa.array(at[:-1]), pa.array(n), pa.array([raw[4 * a:4 * z] for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                    [pa.array([file.as_py()] * len(n), pa.int32()), pa.array([segment.as_py()] * len(n), pa.int64()), names.values, pa.array(at[:-1] + first), pa.array(n), pa.array([raw[4 * a:4 * z] for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())],
                     ["file", "segment", "doc_id", "place", "n_tokens", "ids"],
                 )
 
-    decoded = files.select("file", "segment", "doc_ids", "sizes", "blocks").mapInArrow(work, "file int, segment long, doc_id long, place long, n_tokens long, ids binary")
-    return decoded.join(begin, ["file", "segment"]).select("file", "segment", "doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", "ids")
+    decoded = files.select("file", "segment", "first", "doc_ids", "sizes", "blocks").mapInArrow(work, "file int, segment long, doc_id long, place long, n_tokens long, ids binary")
+    return decoded.join(F.broadcast(begin), "file").select("file", "segment", "doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", "ids")

@@ -8,6 +8,8 @@ hold a special token, goes to the library whole.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,11 @@ import pyarrow.compute as pc
 #: White space in the widest sense, as a regular expression of Arrow; wider than any tokenizer's only costs time.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]"
 _AWKWARD = rf"(?:^|{_SPACE}) | (?:$|{_SPACE})|<\|"
+#: A word of letters below U+0100, which are one word to either vocabulary and which no normal form or case rule joins,
+#: and the marks after it, which are another; an apostrophe may begin a word of its own and is left to the library.
+_PLAIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: Words whose ids a worker keeps, some 200 bytes each, in either of two generations.
-KEPT = 300_000
+KEPT = 500_000
 #: Bytes of text that are encoded at once, but at least one text.
 STEP = 4_000_000
 
@@ -39,53 +44,49 @@ class Encoder:
         # How the byte-level alphabet writes the space and the characters below U+0100.
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xA1, 0x100))}
+        self.marks: dict[str, bytes] = {}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of each word with `before` in front of it. Full stops and commas after a letter are a word of their own."""
+        """Ids of each word with `before` in front of it."""
         if len(self.kept[before]) > KEPT:
             # The older half goes; what is met again comes back from it.
             self.old[before], self.kept[before] = self.kept[before], {}
-        kept, old = self.kept[before], self.old[before]
+        kept, old, marks = self.kept[before], self.old[before], self.marks
+        lead, tokenize, code = before.translate(self.written), self.model.tokenize, "H" if self.dtype is np.uint16 else "I"
         found = list(map(kept.get, words))
-        missing = [k for k, x in enumerate(found) if x is None]
-        new: dict[str, bytes] = {"": b""}
-        others: dict[str, None] = {}
-        parts = {}
-        for k in missing:
-            word = words[k]
-            if (x := old.get(word)) is not None:
-                kept[word] = found[k] = x
+        new: dict[str, bytes] = {}
+        others = []
+        for k, x in enumerate(found):
+            if x is not None:
                 continue
-            core, tail = self._parts(word)
-            parts[k] = core, tail
-            if core not in new:
-                # Letters below U+0100 are one word to either vocabulary, and no normal form or case rule joins them.
-                if core.isalpha() and max(core) < "\u0100":
-                    new[core] = np.array([t.id for t in self.model.tokenize((before + core).translate(self.written))], self.dtype).tobytes()
-                else:
-                    others[core] = None
-            if tail and tail not in new:
-                new[tail] = self._whole([tail])[0]
-        names = list(others)
-        for k in range(0, len(names), 4096):
-            some = names[k:k + 4096]
-            new.update(zip(some, self._whole([before + w for w in some]), strict=True))
-        for k, (core, tail) in parts.items():
-            kept[words[k]] = found[k] = new[core] + new[tail]
+            word = words[k]
+            if (x := old.get(word)) is None:
+                plain = _PLAIN(word)
+                if plain is None:
+                    others.append(k)
+                    continue
+                core, tail = plain.groups()
+                if self.folds:
+                    core = core.lower()
+                if (x := new.get(core)) is None:
+                    x = new[core] = array(code, [t.id for t in tokenize(lead + (core if core.isascii() else core.translate(self.written)))]).tobytes()
+                if tail:
+                    if tail not in marks:
+                        if len(marks) > KEPT:
+                            marks.clear()
+                        marks[tail] = self._whole([tail])[0]
+                    x += marks[tail]
+            kept[word] = found[k] = x
+        for a in range(0, len(others), 4096):
+            some = others[a:a + 4096]
+            for k, x in zip(some, self._whole([before + words[k] for k in some]), strict=True):
+                kept[words[k]] = found[k] = x
         return found
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        core, tail = word.rstrip(".,"), ""
-        if core and core[-1].isalpha():
-            tail = word[len(core):]
-        else:
-            core = word
-        return (core.lower() if self.folds and core and core.isalpha() and max(core) < "\u0100" else core), tail
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has. Null counts as empty."""
         texts = pc.fill_null(texts, "")
