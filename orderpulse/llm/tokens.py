@@ -23,7 +23,7 @@ _AWKWARD = rf"(?:^|{_SPACE}) | (?:$|{_SPACE})|<\|"
 #: and the marks after it, which are another; an apostrophe may begin a word of its own and is left to the library.
 _PLAIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: Words whose ids a worker keeps, some 200 bytes each, in either of two generations.
-KEPT = 500_000
+KEPT = 350_000
 #: Bytes of text that are encoded at once, but at least one text.
 STEP = 4_000_000
 
