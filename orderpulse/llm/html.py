@@ -1,8 +1,9 @@
 """HTML extraction: words score positive, tags negative, and a linear scan keeps the best contiguous region.
 
-A page becomes a sequence of words and tags. What is never content by its element (menus, headers, footers, sidebars,
-forms, scripts, styles) or by its class, id or role (adverts, notices, reader comments, ...) counts as one tag however
-long it is. Weights are the log odds of each kind of word and tag inside and outside the marked content (`article` or
+A page becomes a sequence of words and tags. What is never content by its element (menus, footers, sidebars, scripts,
+styles) counts as one tag however long it is. So does what a form or a hint of its class, id or role (adverts, notices,
+reader comments, ...) sets apart, but only while all of that is a minor share of the page's words: the largest such
+elements, likely wrappers, become strongly negative tags until it is, and the scan decides about their words. Weights are the log odds of each kind of word and tag inside and outside the marked content (`article` or
 `main`) of pages that mark it; those pages also teach pages that don't. The blocks of the best region are joined.
 
 Defined cases: a null or empty html, or one without content, gives an empty text; a null url or id is returned as it
@@ -12,6 +13,7 @@ is; rows that repeat are extracted as often as they come; without marked pages t
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -46,36 +48,59 @@ _HINTS = frozenset(
     " related recommended recommendations widget pagination pager login search toolbar copyright disclaimer topbar skip".split()
 )
 _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Parts of a class or id that say what a page has or is like, not what the element is ('no-sidebar', 'ad-hoc').
+_STATES = frozenset("no not non has have with without on off open closed enabled disabled hoc".split())
+#: Elements of running text: a hint in a longer name ('related-work') says nothing there.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 dt dd blockquote pre em strong b i figcaption".split())
+#: Weight of the tags of an element that a hint doesn't exclude, where none was learnt.
+_HINT = -4.0
 _INLINE = frozenset("a b br i em strong span img".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "head"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _named(name: str, values: str) -> set[str]:
+    """The parts of classes and ids that may be hints of an element of this name."""
+    found: set[str] = set()
+    for value in values.split():
+        parts = {p.lower() for p in _PART.findall(value)}
+        if not parts & _STATES and (name not in _RUNNING or parts <= _HINTS | _COMMENTS | {"header"}):
+            found |= parts
+    return found
+
+
 class Element:
-    """An open or closed element: whether it is out, by its kind or by a hint, and what it holds."""
+    """An open or closed element: whether it is out by its kind, whether a hint sets it apart, and what it holds."""
 
-    __slots__ = ("name", "up", "out", "hinted", "marked", "content", "inside", "link", "outermost")
+    __slots__ = ("name", "up", "out", "hard", "hinted", "kept", "key", "comment", "marked", "content", "inside", "link", "words", "outermost")
 
     def __init__(self, name: str, up: "Element | None", attributes: str):
-        self.name, self.up, self.content, self.outermost = name, up, False, ()
+        self.name, self.up, self.content, self.outermost, self.words, self.kept = name, up, False, (), 0, False
         found = {m[0].lower(): (m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
-        parts = {p.lower() for p in _PART.findall(found.get("class", "") + " " + found.get("id", ""))} if found else set()
-        comment = bool(parts & _COMMENTS)
+        self.key = (name, found.get("class", ""))
+        parts = _named(name, found.get("class", "") + " " + found.get("id", "")) if found else set()
+        comment = bool(parts & _COMMENTS) and name not in ("html", "body")
         inside = up is not None and up.inside
-        self.marked = name in ("article", "main") and not comment
+        self.comment = comment or up is not None and up.comment
+        self.marked = name in ("article", "main") and not self.comment
         self.inside = inside or self.marked
         self.link = name == "a" or up is not None and up.link and name not in _BLOCKS
         hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
         hint = bool(parts & _HINTS) or ("header" in parts and not inside) or found.get("role", "").lower() in _ROLES or name in _NEVER or (name == "header" and not inside)
-        self.out = bool(hidden) or comment or name in _OUT
+        self.out = bool(hidden) or name in _OUT
+        self.hard = self.out or up is not None and up.hard
         # A wrapper with a hint is not out if it holds the marked content.
-        self.hinted = hint and name not in ("html", "body", "main", "article")
+        self.hinted = comment or hint and name not in ("html", "body", "main", "article")
         if self.marked:
             node = up
             while node is not None and not node.out and not node.content:
                 node.content = True
                 node = node.up
 
+    def apart(self) -> bool:
+        """Whether a hint may exclude it."""
+        return self.hinted and not self.content and not self.kept
+
     def excluded(self) -> "Element | None":
         """The outermost element around it that is out; to be asked when the page is read."""
         way, node = [], self
@@ -84,7 +109,7 @@ class Element:
             node = node.up
         found = None if node is None else node.outermost
         for node in reversed(way):
-            node.outermost = found = found or (node if node.out or node.hinted and not node.content else None)
+            node.outermost = found = found or (node if node.out or node.apart() else None)
         return found
 
 
@@ -95,6 +120,7 @@ class Page:
         self.items: list[tuple] = []
         self.open: Counter = Counter()
         self.node = Element("", None, "")
+        self.elements = [self.node]
         at = 0
         source = source or ""
         for m in _MARKUP.finditer(source):
@@ -108,6 +134,57 @@ class Page:
                 continue
             self._tag(name.lower(), bool(m[2] or m[5]), m[4] or m[7] or "")
         self._text(source[at:])
+        if any(e.apart() and not e.hard for e in self.elements):
+            self._keep_wrappers()
+
+    def _keep_wrappers(self) -> None:
+        """Keeps the largest elements that are set apart until the others hold a minor share of the words outside links
+        of the marked content or, without marks, of the page. Elements of one name and class are kept together; reader
+        comments only where there is nothing else."""
+        texts = [(i[2], len(i[1].split())) for i in self.items if i[0] == "text" and not i[3] and not i[2].hard]
+        others = [t for t in texts if not t[0].comment]
+        comments = not any(n for _, n in others)
+        texts = texts if comments else others
+        marked = any(n and e.inside for e, n in texts)
+        total = 0
+        for e, n in texts:
+            if e.inside or not marked:
+                e.words += n
+                total += n
+        # Elements come after those that hold them.
+        for e in reversed(self.elements[1:]):
+            e.up.words += e.words
+        around: dict[int, int] = {}
+        within: dict[int, list[Element]] = {0: []}
+        alike: dict[tuple, list[Element]] = {}
+        for e in self.elements:
+            up = around.get(id(e.up), 0)
+            around[id(e)] = up
+            if e.apart() and not e.hard and (e.inside or not marked) and (comments or not e.comment):
+                within[up].append(e)
+                within[id(e)] = []
+                around[id(e)] = id(e)
+                alike.setdefault(e.key, []).append(e)
+        heap: list[tuple] = []
+        outer: set[int] = set()
+        left, number, enter = 0, 0, within[0]
+        while True:
+            while enter:
+                e = enter.pop()
+                if e.kept:
+                    enter.extend(within[id(e)])
+                else:
+                    outer.add(id(e))
+                    left, number = left + e.words, number + 1
+                    heapq.heappush(heap, (-e.words, number, e))
+            if not left or 2 * left < total:
+                return
+            key = heapq.heappop(heap)[2].key
+            for e in alike.pop(key, ()):
+                e.kept = True
+                if id(e) in outer:
+                    left -= e.words
+                    enter.extend(within[id(e)])
 
     def _text(self, raw: str) -> None:
         if raw:
@@ -138,6 +215,7 @@ class Page:
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._close(name, {"ul", "ol", "menu", "dl", "table"} if name != "tr" else {"table"})
         element = Element(name, self.node, attributes)
+        self.elements.append(element)
         if name not in _VOID and not attributes.rstrip().endswith("/"):
             self.node = element
             self.open[name] += 1
@@ -162,7 +240,7 @@ def _kinds(page: Page, marks: bool) -> list[tuple]:
             continue
         skipped = None
         if item[0] == "tag":
-            name = "within" if marked and node.inside else item[1] if item[1] in _BLOCKS or item[1] in _INLINE else "other"
+            name = "within" if marked and node.inside else "hint" if node.kept else item[1] if item[1] in _BLOCKS or item[1] in _INLINE else "other"
             found.append((f"tag:{name}", item[1], node.inside))
         else:
             kind = "word:outside" if marked and not node.inside else "word:link" if item[3] and not marked else "word"
@@ -221,7 +299,7 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
         if kind.startswith("word"):
             scores.append(len(text.split()) * weights.get(kind, 0.5 if kind == "word" else -0.5))
         else:
-            scores.append(weights.get(kind, -0.5) if kind else 0.0)
+            scores.append(weights.get(kind, _HINT if kind == "tag:hint" else -0.5) if kind else 0.0)
     a, z = best_region(scores)
     # A block is kept whole.
     while a > 0 and z > a and _in_block(items[a]) and _in_block(items[a - 1]):

@@ -120,6 +120,26 @@ def test_html(spark):
     assert html.extract("<div class='text'><p>works without weights</p></div>", {}) == "works without weights"
 
 
+_BODY = "<h1>The long title of this page</h1>" + "".join(f"<p>Paragraph {k} has some words of the body here.</p>" for k in range(4))
+_TEXT = "The long title of this page\n\n" + "\n\n".join(f"Paragraph {k} has some words of the body here." for k in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content no-sidebar">%s</div>', '<div class="page-with-sidebar">%s</div>', '<div id="main-widget">%s</div>', '<div class="col related-posts-on">%s</div>',
+    '<form id="aspnetForm"><div class="sidebar"><p>some left words</p></div><fieldset>%s</fieldset></form>', '<body class="comments-open"><div>%s</div></body>', '<main><form>%s</form></main>',
+    '<div class="widget">%s</div><div class="cookie-notice">we use them</div>', '<div>%s</div><div id="comments"><p>' + "a reader says " * 90 + "</p></div>", '<article>%s<div class="ad">buy now</div></article>',
+])
+def test_html_hints_leave_the_main_text(page):
+    """A hint or a form around the main text doesn't empty the page; what it sets apart beside the main text stays out."""
+    assert html.extract(page % _BODY, {}) == _TEXT
+
+
+def test_html_hints_in_running_text_and_in_parts():
+    assert html.extract('<article><p class="ad-hoc">An ad-hoc list.</p><h2 id="related-work">Related work</h2><p>is old</p></article>', {"word": 3.0}) == "An ad-hoc list.\n\nRelated work\n\nis old"
+    part = '<div class="widget"><p>%s words that fill a part of the page</p></div>'
+    assert html.extract("".join(part % x for x in "abc") + '<div class="ad">d</div>', {"word": 3.0}) == "\n\n".join(f"{x} words that fill a part of the page" for x in "abc")
+
+
 def test_best_region_is_the_best():
     rng = np.random.default_rng(2)
     for _ in range(200):
