@@ -1,6 +1,7 @@
 """Token counts by separator scan: documents of flat unindexed token files, found by their end id.
 
-A file is a row of ids of fixed width, cut into blocks. Each block is searched at once; what is left over at its bounds
+A file is nothing but ids of fixed width, cut into blocks by its size alone. Tasks read the bytes of their blocks, each
+of which is searched at once; what is left over at its bounds
 is stitched by a prefix scan over the blocks' sums (ids, ends, last end), first inside groups of blocks, then over the
 groups, so that no task holds a file's blocks. Every end closes a document; ids after the last end of a file are a
 document that is not ended.
@@ -16,67 +17,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import settle
+from orderpulse.llm.common import settle, shared_path
 from orderpulse.llm.tokens import encoder, slices, with_end
 
 #: Ids of a block, and blocks of a group of the scan.
 BLOCK, GROUP = 1 << 18, 1024
 
 
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it (file:/x or file:///x, hdfs://, s3a://, ...), and its own path."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
+
+
 def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK, prefixed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Token files of the documents, one for each partition, and the documents' names in their order.
+    """Flat token files of the documents in the shared folder, one for each partition: blocks (file, block, ids) as
+    `read_flat` finds them there, and the documents' names (file, ordinal, doc_id) in their order.
 
-    Blocks are rows (file, block, ids little-endian), names are rows (file, ordinal, doc_id); both are written once.
-    Special tokens in a text are ordinary text, so that only document ends give the end id.
+    The files hold little-endian ids and nothing else. Special tokens in a text are ordinary text, so that only document
+    ends give the end id. What an attempt of a task left that didn't finish is not read.
     """
+    spark = docs.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_path(spark, "flat"))
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = store.makeQualified(folder)
+    store.mkdirs(folder)
+    target = folder.toString()
+    width = 2 if max(encoder(path, prefixed, True).dtype(0).itemsize * 8, end.bit_length()) <= 16 else 4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, file, number, ordinal = encoder(path, prefixed, True), TaskContext.get().partitionId(), 0, 0
-        left = np.zeros(0, "<u4")
-
-        def rows(blocks: list[bytes], names: pa.Array | None, first: int) -> pa.RecordBatch:
-            n = 0 if names is None else len(names)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file] * (len(blocks) + n), pa.int32()), pa.array([*range(number - len(blocks), number), *range(first, first + n)], pa.int64()), pa.array([*blocks, *[None] * n], pa.binary()), pa.array([*[None] * len(blocks), *([] if names is None else names.to_pylist())], pa.int64())],
-                ["file", "at", "ids", "doc_id"],
-            )
-
+        task = TaskContext.get()
+        enc, file, ordinal, out = encoder(path, prefixed, True), task.partitionId(), 0, None
+        name = f"{file}-{task.taskAttemptId()}.bin"
+        kind = pa.schema([("file", pa.int32()), ("at", pa.int64()), ("name", pa.string()), ("doc_id", pa.int64())])
+        store, at = _filesystem(f"{target}/{name}")
         for batch in slices(batches):
-            flat, _ = with_end(*enc.encode(batch.column("text")), end)
-            left = np.concatenate([left, flat.astype("<u4")])
-            full = [left[k:k + block].tobytes() for k in range(0, len(left) - len(left) % block, block)]
-            left = left[len(left) - len(left) % block:]
-            number += len(full)
-            yield rows(full, batch.column("doc_id"), ordinal)
-            ordinal += batch.num_rows
-        if len(left):
-            number += 1
-            yield rows([left.tobytes()], None, 0)
-
-    written = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "file int, at long, ids binary, doc_id long"), "tokens")
-    blocks = written.where("ids is not null").select(F.col("file").cast("string").alias("file"), F.col("at").alias("block"), "ids")
-    return blocks, written.where("ids is null").select(F.col("file").cast("string").alias("file"), F.col("at").alias("ordinal"), "doc_id")
-
-
-def read_flat(spark: SparkSession, paths: list[str] | str, width: int = 4, block: int = BLOCK) -> DataFrame:
-    """Blocks (file, block, ids) of flat binary files of little-endian ids of `width` bytes, each below 2 GB."""
-    files = spark.read.format("binaryFile").load(paths).where("length > 0")
+            out = out or store.open_output_stream(at)
+            flat, lengths = enc.encode(batch.column("text"))
+            flat, _ = with_end(flat.astype(f"<u{width}", copy=False), lengths, end)
+            out.write(np.ascontiguousarray(flat))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int32()), pa.array(range(ordinal, ordinal + n), pa.int64()), pa.nulls(n, pa.string()), batch.column("doc_id")], schema=kind)
+            ordinal += n
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([0], pa.int64()), pa.array([name]), pa.nulls(1, pa.int64())], schema=kind)
+
+    written = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "file int, at long, name string, doc_id long"), "names")
+    done = written.where("name is not null").select(F.col("file").cast("string").alias("file"), "name")
+    files = flat_files(spark, target).withColumn("name", F.element_at(F.split("path", "/"), -1)).join(done, "name").select("file", "path", "length")
+    return scan_flat(files, width, block), written.where("name is null").select(F.col("file").cast("string").alias("file"), F.col("at").alias("ordinal"), "doc_id")
+
+
+def flat_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Rows (path, length) of files of any size; nothing of their content is read."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
+
+
+def scan_flat(files: DataFrame, width: int = 4, block: int = BLOCK) -> DataFrame:
+    """Blocks (file, block, ids) of flat files (file, path, length) of little-endian ids of `width` bytes. Blocks are
+    dealt to all tasks, and each task reads the bytes of its own blocks only."""
+    step = block * width
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = files.select("file", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, source = None, None
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                raw = content.as_buffer()
-                if raw.size % width:
-                    raise ValueError(f"{name} holds {raw.size} bytes, no whole number of ids of {width} bytes")
-                ids = np.frombuffer(raw, f"<u{width}")
-                for k in range(0, len(ids), block):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // block], pa.int64()), pa.array([ids[k:k + block].astype("<u4").tobytes()], pa.binary())], ["file", "block", "ids"])
-
-    return files.select("path", "content").mapInArrow(work, "file string, block long, ids binary")
+            for file, path, length, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if length % width:
+                    raise ValueError(f"{path} holds {length} bytes, no whole number of ids of {width} bytes")
+                if path != opened:
+                    if source is not None:
+                        source.close()
+                    store, at = _filesystem(path)
+                    opened, source = path, store.open_input_file(at)
+                size = min(step, length - number * step)
+                raw = source.read_at(size, number * step)
+                if len(raw) != size:
+                    raise ValueError(f"{path} gave {len(raw)} bytes of {size} at {number * step}")
+                ids = np.frombuffer(raw, f"<u{width}").astype("<u4", copy=False)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["file", "block", "ids"])
+        if source is not None:
+            source.close()
+
+    return each.repartition(spread, "path", "block").sortWithinPartitions("path", "block").mapInArrow(work, "file string, block long, ids binary")
+
+
+def read_flat(spark: SparkSession, paths: list[str] | str, width: int = 4, block: int = BLOCK) -> DataFrame:
+    """Blocks (file, block, ids) of flat binary files of little-endian ids of `width` bytes, of any size."""
+    return scan_flat(flat_files(spark, paths).select(F.col("path").alias("file"), "path", "length"), width, block)
 
 
 def documents(blocks: DataFrame, end: int) -> DataFrame:

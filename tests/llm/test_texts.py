@@ -263,6 +263,33 @@ def test_separators(spark, tmp_path):
         separators.read_flat(spark, str(tmp_path / "d.bin"), 2).collect()
 
 
+def test_flat_files_beyond_two_gigabytes(spark, tmp_path):
+    """A file of 5 GB, all hole but for three ends, is read by byte ranges in many tasks."""
+    size, ends = 5 << 30, [10, (1 << 30) + 3, (5 << 28) - 2]
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)
+        for k in ends:
+            f.seek(4 * k)
+            f.write(np.array([7], "<u4").tobytes())
+    read = separators.read_flat(spark, str(tmp_path), 4, 1 << 24)
+    assert read.select(F.spark_partition_id()).distinct().count() > 4
+    got = sorted(tuple(r)[1:] for r in separators.documents(read, 7).collect())
+    at = [0, *(k + 1 for k in ends), size // 4]
+    assert got == [(k, at[k], at[k + 1] - at[k], k < 3) for k in range(4)]
+
+
+def test_token_files_are_flat(spark, tmp_path, monkeypatch):
+    """The query's files are ids on disk and nothing else, and other attempts' files are not read."""
+    monkeypatch.setattr(separators, "shared_path", lambda *_: str(tmp_path / "flat"))
+    rows, docs = frame(spark, ODD + ["tail"])
+    blocks, names = separators.write_flat(docs, BYTE, 50256, 7)
+    files = list((tmp_path / "flat").glob("*.bin"))
+    ids = np.concatenate([np.fromfile(f, "<u2") for f in files])
+    assert sorted(ids.tolist()) == sorted(x for _, d in coded(BYTE, rows, 50256, True) for x in d)
+    (tmp_path / "flat" / "0-999999.bin").write_bytes(b"abc")
+    assert separators.documents(blocks, 50256).join(names, ["file", "ordinal"]).count() == len(rows)
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 49408, n).astype(np.uint32) for n in (1, 2, 5, 100, 4096, 777)]
