@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the weights are learnt from, by hash of their id.
+#: Pages that the weights are learnt from, by hash of their id and text, of those with a tag that marks content.
 SAMPLE = 2000
+_MARKS = r"(?i)<(?:article|main)[\s/>]"
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)"
@@ -319,8 +320,9 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most `sample` pages; only the counts of some 150 kinds reach the driver."""
-    hashed = pages.where("html is not null").select("html", F.xxhash64("page_id", "html").alias("h"))
+    """Weights from at most `sample` pages with an `article` or `main` tag; only the counts of some 150 kinds reach the driver."""
+    # Only pages that mark content teach, so that the sample is taken from those, however rare they are.
+    hashed = pages.where(F.col("html").rlike(_MARKS)).select("html", F.xxhash64("page_id", "html").alias("h"))
     # The sample's pages are named first, so that only hashes are ordered; equal pages are learnt from as often as they come.
     some = hashed.join(F.broadcast(hashed.select("h").distinct().orderBy("h").limit(sample)), "h")
 

@@ -140,6 +140,15 @@ def test_html_hints_in_running_text_and_in_parts():
     assert html.extract("".join(part % x for x in "abc") + '<div class="ad">d</div>', {"word": 3.0}) == "\n\n".join(f"{x} words that fill a part of the page" for x in "abc")
 
 
+def test_html_sample_is_of_marked_pages(spark):
+    """Two marked pages among 300 teach a sample of two."""
+    plain = [(k, f"<div><p>unmarked page {k} of some words, no &lt;article></p><articles>x</articles></div>") for k in range(300)]
+    marked = [(k, f"<nav>menu</nav><ARTICLE class=a><p>marked page {k} of some words</p></ARTICLE>") for k in (300, 301)]
+    make = lambda rows: spark.createDataFrame(rows, "page_id long, html string")
+    found = html.fit(make(plain + marked), 2)
+    assert found == html.fit(make(marked)) and found["word"] > 0.5 and "out:nav" in found
+
+
 def test_best_region_is_the_best():
     rng = np.random.default_rng(2)
     for _ in range(200):
