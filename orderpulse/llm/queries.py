@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderpulse.llm import chat, decontaminate, embeddings, html, katz, packing, quality, rangecoder, separators, simhash
+from orderpulse.llm import chat, decontaminate, embeddings, html, katz, packing, quality, rangecoder, separators, simhash, spelling
 from orderpulse.llm.common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,49 @@ def op8_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document, read back from the token files."""
     files = rangecoder.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
     return rangecoder.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents that occurs twice or more."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE bits(i, v, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS steps FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+), counted AS (SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY id, run),
+bytes AS (
+  SELECT run, c, flatten(list_transform(string_split(id || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END)) AS b
+  FROM counted
+), hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a // 256, steps[xor(a % 256, x) + 1])), 4294967295) AS h
+  FROM bytes, crc
+), made AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed
+), vocabulary AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, n, length(word) AS len, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+holes AS (SELECT word, n, len, i, substring(word, 1, i - 1) AS head, substring(word, i + 1) AS tail FROM places),
+shorter AS (SELECT DISTINCT v.word AS a, v.n AS a_n, h.word AS b, h.n AS b_n FROM holes h JOIN vocabulary v ON v.word = h.head || h.tail),
+near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.len = b.len AND a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION ALL SELECT a, b, b_n FROM shorter UNION ALL SELECT b, a, a_n FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top_n FROM near GROUP BY word
+), top AS (SELECT near.word, min(other) AS top FROM near JOIN best ON near.word = best.word AND other_n = top_n GROUP BY near.word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top_n >= 10 * n THEN top END AS form, CASE WHEN top_n >= 10 * n THEN top_n END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word) LEFT JOIN top USING (word)
+), chain(word, cur, step) AS (
+  SELECT word, word, 0 FROM forms UNION ALL SELECT chain.word, f.form, step + 1 FROM chain JOIN forms f ON f.word = chain.cur WHERE f.form IS NOT NULL
+), roots AS (SELECT word, arg_max(cur, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)
+"""
