@@ -1,7 +1,8 @@
-"""The registered queries of the ten operators, one for each, with SQL counterparts where SQL can express them."""
+"""The registered queries of the numbered operators, one for each, with SQL counterparts where SQL can express them."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderpulse.llm import chat, decontaminate, embeddings, html, katz, packing, quality, rangecoder, separators, simhash, spelling
+from orderpulse.llm import chat, decontaminate, embeddings, html, katz, licenses, packing, quality, rangecoder, separators, simhash, spelling, whitening
 from orderpulse.llm.common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,3 +248,52 @@ forms AS (
 ), roots AS (SELECT word, arg_max(cur, step) AS root FROM chain GROUP BY word)
 SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)
 """
+
+
+@register
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _license_sql() -> str:
+    """Every template as a regular expression over words with a space in front; phrases by comparing lists of words."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    cut = lambda text: re.findall("[0-9a-z]+", text.lower())
+
+    def expression(text: str) -> str:
+        parts = re.split(r"<<(optional|end|any \d+)>>", text)
+        write = lambda part: "(?:" if part == "optional" else ")?" if part == "end" else f"(?: [^ ]+){{0,{part[4:]}}}"
+        return "".join(write(part) if k % 2 else "".join(f" {w}" for w in cut(part)) for k, part in enumerate(parts)) + "( |$)"
+
+    def mandatory(text: str) -> int:
+        depth = size = 0
+        for k, part in enumerate(re.split(r"<<(optional|end|any \d+)>>", text)):
+            depth += (part == "optional") - (part == "end") if k % 2 else 0
+            size += len(cut(part)) if not k % 2 and not depth else 0
+        return size
+
+    base = ", ".join(f"({quoted(label)}, {cut(text)!r})" for text, label in licenses.BASE)
+    rules = ", ".join(f"({quoted(label)}, {quoted(expression(text))}, {mandatory(text)})" for text, label in [*licenses.BASE, *licenses.TEMPLATES])
+    return rf"""
+WITH phrases(label, p) AS (VALUES {base}), rules(label, rule, size) AS (VALUES {rules}),
+docs AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), places AS (SELECT k, label, i FROM (SELECT k, label, w, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM docs, phrases) WHERE w[i:i + len(p) - 1] = p),
+counted AS (SELECT k, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY k),
+matched AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(size) AS size FROM docs, rules WHERE regexp_matches(' ' || array_to_string(w, ' '), rule) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce(counted.labels, '') AS base_labels, coalesce(matched.labels, '') AS labels, coalesce(size / (size + 4.0)::DOUBLE, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN counted USING (k) LEFT JOIN matched USING (k)
+"""
+
+
+ORACLES["op12_license_scan"] = _license_sql()
+
+
+@register
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector, fitted on all different ones."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
