@@ -527,11 +527,6 @@ def fold_rows(spark, sf):
     return f.where("cutoff_month <= train_end or cutoff_month = test_cutoff").withColumn("split", F.expr("if(cutoff_month = test_cutoff, 'test', 'train')"))
 
 
-@query("metric_rolling_origin", "WITH u AS (SELECT mf.*, fold FROM mf, fold WHERE cutoff_month = test_cutoff)\n" + _FULL("u", "fold, horizon"))
-def _(spark, sf):
-    return round_all(E.full_metrics(fold_rows(spark, sf).where("split = 'test'"), ["fold", "horizon"]))
-
-
 @query("metric_fold_distribution", f"""
 SELECT fold, CASE WHEN cutoff_month = test_cutoff THEN 'test' ELSE 'train' END AS split, horizon, count(*) AS row_count, count(DISTINCT entity_id) AS entity_count, CAST(sum(y) AS BIGINT) AS positive_count
 FROM mf, fold WHERE cutoff_month <= train_end OR cutoff_month = test_cutoff GROUP BY ALL

@@ -105,7 +105,7 @@ def _(spark, sf):
     from orderpulse.plans import training as TR
 
     rows = cut_lineage(EV.frame(spark, sf))
-    models = TR.train_per_horizon(rows, "cutoff_month <= date'1999-12-31'", ["H3", "H6"])
+    models = TR.train_per_horizon(rows, "cutoff_month <= date'1999-12-31'", ["H3", "H6", "H12"])
     s = TR.score_per_horizon(rows.where("cutoff_month > date'1999-12-31'"), models)
     return round_all(full_metrics(s.select("horizon", "y", F.col("model_probability").alias("p")), ["horizon"]), 4)
 
