@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.functions.exprs import labels_where
+from orderpulse.functions.exprs import labels_where, null_safe_join
 from orderpulse.operators.ranking import first_rows, sorted_rank
 
 
@@ -77,6 +77,34 @@ def sorted_clues(clues: DataFrame, by: str, descending: bool = True) -> DataFram
     return clues.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), *rest)
 
 
+def typed_places(df: DataFrame, column: str, kind: str, descending: bool, ties: Sequence[str], by: Sequence[str] = (), name: str = "place") -> DataFrame:
+    """Every row with its place in the order of `typed_sort`, per group; rows of any number, dealt by sampled ranges."""
+    typed = F.col(column).cast("string").try_cast({"date": "date", "number": "double"}[kind])
+    number = F.unix_date(typed).cast("double") if kind == "date" else typed
+    return _places(df, number, descending, ties, by, name)
+
+
+def _places(df: DataFrame, number: Column, descending: bool, ties: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
+    """Places by a number whose nulls come last: a rank of the rows that have one, then of the others behind them."""
+    marked = df.withColumns({"_value": number, "_unread": number.isNull().cast("int")})
+    groups = [*by, "_unread"]
+    ranked = sorted_rank(marked.withColumn("_value", F.coalesce("_value", F.lit(0.0))), "_value", groups, ties, name="_place", total="_size", descending=descending)
+    ahead = marked.where("_unread = 0").groupBy(*by).agg(F.count(F.lit(1)).alias("_ahead"))
+    joined = null_safe_join(ranked, ahead, list(by)) if by else ranked.withColumn("_ahead", ahead.scalar())
+    return joined.withColumn(name, F.col("_place") + F.when(F.col("_unread") == 1, F.coalesce("_ahead", F.lit(0))).otherwise(0)).drop("_value", "_unread", "_place", "_size", "_ahead")
+
+
+#: What tells clues of one rank and day apart.
+CLUE_TIES = ["detector_id", "manufacturer_code", "hospital_code", "drug_code", "purchase_unit"]
+
+
+def clue_places(clues: DataFrame, by: str, descending: bool = True, name: str = "place") -> DataFrame:
+    """Every clue with its place in the order of `sorted_clues`."""
+    column = CLUE_SORTS.get(by)
+    number = F.col(column).cast("double") if column in clues.columns else F.lit(None).cast("double")
+    return _places(clues, number, descending, ["display_rank", "observation_date", *CLUE_TIES], [], name)
+
+
 def fill_shortage(top: DataFrame, pool: DataFrame, n: int, order: Sequence) -> DataFrame:
     """Complete manufacturers that returned fewer than n rows from another pool."""
     have = top.groupBy("manufacturer_code").agg(F.count(F.lit(1)).alias("_have"))
