@@ -183,3 +183,122 @@ WITH r AS (SELECT horizon, label_die AS y, row_number() OVER (PARTITION BY horiz
 def _(spark, sf):
     rows = recurring(spark, sf)
     return round_all(BF.policy_overlap(rows, {"probability": "p", "business": "prio"}, "label_die", ties=TIES), 6)
+
+
+# Closure: status, bundle, contract tables and their checks.
+cte("clst", """
+WITH g AS (
+  SELECT m.*, entity_id || '|' || horizon AS candidate_id, CASE WHEN sample_class = 'one_shot' OR history_sufficiency_flag = 'history_insufficient' THEN 'hidden_data_insufficient'
+    WHEN history_sufficiency_flag = 'history_sufficient' AND demand_shape_label NOT IN ('intermittent', 'lumpy', 'cold_start', 'unknown') AND p >= 0.45 THEN 'probability_allowed'
+    WHEN history_sufficiency_flag = 'history_medium' OR demand_shape_label IN ('intermittent', 'lumpy') OR p < 0.45 THEN 'risk_band_only' ELSE 'observation_only' END AS lvl FROM mfa m
+), j AS (
+  SELECT g.*, survival_state, coalesce(hn, 0) AS hn, coalesce(sn, 0) AS sn, CASE WHEN sample_class = 'one_shot' THEN 'one_shot' WHEN g.demand_shape_label = 'lumpy' OR lvl = 'observation_only' THEN 'demand_shape_observation' ELSE 'recurring_business_priority' END AS candidate_type
+  FROM g LEFT JOIN (SELECT entity_id, cutoff_month, survival_state FROM surv) s USING (entity_id, cutoff_month)
+    LEFT JOIN (SELECT candidate_id AS cid, cutoff_month AS cm, count(*) FILTER (hit_flag) AS hn, count(*) FILTER (hit_flag AND severity = 'high') AS sn FROM mouta GROUP BY ALL) o ON o.cid = g.candidate_id AND o.cm = g.cutoff_month
+), c AS (SELECT *, CASE WHEN candidate_type = 'one_shot' THEN 1 WHEN candidate_type = 'demand_shape_observation' THEN 2 WHEN lvl = 'hidden_data_insufficient' THEN 3 WHEN sn > 0 AND lvl IN ('probability_allowed', 'risk_band_only') THEN 4 WHEN hn > 0 THEN 5 ELSE 6 END AS k FROM j)
+SELECT c.*, ['one_shot_attention', 'observation_only', 'not_actionable', 'priority_review', 'manual_review', 'low_confidence_watch'][k] AS final_candidate_status, ['P2', 'P2', 'P3', 'P0', 'P1', 'P2'][k] AS review_priority,
+  ['weak', 'weak', 'insufficient', 'strong', 'medium', 'weak'][k] AS evidence_strength, k <= 3 AS data_quality_warning_flag, 're_' || strftime(cutoff_month, '%Y%m') || '_' || candidate_id AS risk_entity_id FROM c
+""")
+cte("clhit", "SELECT c.risk_entity_id, o.candidate_id, o.detector_name, o.severity, 'rc_' || risk_entity_id || '_' || detector_name AS risk_card_id, row_number() OVER (PARTITION BY risk_entity_id ORDER BY detector_name) AS i FROM mouta o JOIN clst c USING (candidate_id, cutoff_month) WHERE hit_flag")
+
+
+def closure(spark, sf):
+    from orderpulse.catalog import candidates as CQ
+    from orderpulse.operators import candidates as K
+    from orderpulse.operators import closure as C
+
+    out = cut_lineage(outputs(spark, sf))
+    gated = K.availability_gate(candidates(spark, sf))
+    survival = CQ.refined(spark, sf).select("entity_id", "cutoff_month", "survival_state")
+    return cut_lineage(C.closure_status(gated, survival, out)), out
+
+
+@query("closure_status", "SELECT candidate_id, cutoff_month, candidate_type, final_candidate_status, review_priority, evidence_strength, data_quality_warning_flag, hn AS detector_hit_count, sn AS strong_detector_hit_count, lvl AS probability_display_level, survival_state FROM clst")
+def _(spark, sf):
+    return closure(spark, sf)[0].select(
+        "candidate_id", "cutoff_month", "candidate_type", "final_candidate_status", "review_priority", "evidence_strength", "data_quality_warning_flag", "detector_hit_count", "strong_detector_hit_count", "probability_display_level", "survival_state")
+
+
+@query("closure_bundles", f"""
+WITH d AS (SELECT candidate_id, cutoff_month, string_agg(detector_name || '=' || severity, ';' ORDER BY detector_name) AS detectors, count(*) AS n FROM mouta WHERE hit_flag GROUP BY ALL)
+SELECT 'bundle|' || candidate_id AS bundle_id, candidate_id, cutoff_month, candidate_type, final_candidate_status, CASE WHEN lvl = 'probability_allowed' THEN {rnd('p', 6)} END AS probability, survival_state,
+  coalesce(detectors, '') AS detectors, coalesce(n, 0)::INTEGER AS detector_count, 4 AS forbidden_count FROM clst LEFT JOIN d USING (candidate_id, cutoff_month)
+""")
+def _(spark, sf):
+    from orderpulse.operators import closure as C
+
+    status, out = closure(spark, sf)
+    b = C.read_bundles(C.evidence_bundles(status, out))
+    named = F.array_join(F.transform("detectors", lambda x: F.concat(x["detector_name"], F.lit("="), x["severity"])), ";")
+    return round_all(b.select("bundle_id", "candidate_id", "cutoff_month", "candidate_type", "final_candidate_status", "probability", "survival_state", named.alias("detectors"),
+                              F.size("detectors").alias("detector_count"), F.size("forbidden_claims").alias("forbidden_count")), 6)
+
+
+def tables(spark, sf):
+    from orderpulse.operators import closure as C
+
+    return C.closure_tables(*closure(spark, sf))
+
+
+_LEVEL = "CASE k WHEN 4 THEN 'orange' WHEN 5 THEN 'yellow' WHEN 1 THEN 'attention' WHEN 2 THEN 'observation' ELSE 'insufficient' END"
+cte("clent", f"SELECT risk_entity_id, candidate_id, {_E}, horizon, strftime(cutoff_month, '%Y-%m') AS report_month, {_LEVEL} AS risk_level, final_candidate_status, k = 1 AS is_one_shot, k = 2 AS is_observation, k = 4 AS is_high_risk FROM clst")
+
+
+@query("closure_risk_entities", "SELECT e.*, 1 + coalesce(n, 0) AS risk_card_count FROM clent e LEFT JOIN (SELECT risk_entity_id, count(*) AS n FROM clhit WHERE i <= 4 GROUP BY ALL) USING (risk_entity_id)")
+def _(spark, sf):
+    return tables(spark, sf)["risk_entities"].select("risk_entity_id", "candidate_id", *ENTITY, "horizon", "report_month", "risk_level", "final_candidate_status", "is_one_shot", "is_observation", "is_high_risk", "risk_card_count")
+
+
+@query("closure_risk_cards", """
+SELECT 'rc_' || risk_entity_id || '_primary' AS risk_card_id, risk_entity_id, CASE WHEN is_one_shot THEN 'one_shot_attention' WHEN is_observation THEN 'demand_shape_observation' ELSE 'primary_risk' END AS card_type, risk_level AS card_level,
+  'primary' AS source_detector_name, true AS is_primary, 0 AS evidence_count FROM clent
+UNION ALL SELECT risk_card_id, risk_entity_id, 'evidence', CASE severity WHEN 'high' THEN 'orange' ELSE 'yellow' END, detector_name, false, 1 FROM clhit WHERE i <= 4
+""")
+def _(spark, sf):
+    return tables(spark, sf)["risk_cards"].drop("candidate_id")
+
+
+@query("closure_card_evidence", "SELECT 'ev_' || risk_card_id || '_' || severity AS evidence_id, risk_card_id, risk_entity_id, candidate_id, detector_name AS evidence_type, severity AS evidence_level, detector_name || ': ' || severity AS evidence_text FROM clhit WHERE i <= 4")
+def _(spark, sf):
+    return tables(spark, sf)["risk_card_evidence"]
+
+
+_COUNTS = "count(*) AS risk_entity_count, count(*) FILTER (is_high_risk) AS high_risk_count, count(*) FILTER (is_observation) AS observation_count, count(*) FILTER (is_one_shot) AS one_shot_count"
+
+
+@query("closure_aggregates", f"SELECT 'hospital' AS level, report_month, hospital_code AS code, {_COUNTS} FROM clent GROUP BY ALL UNION ALL SELECT 'drug', report_month, drug_group, {_COUNTS} FROM clent GROUP BY ALL")
+def _(spark, sf):
+    t = tables(spark, sf)
+    side = lambda name, c, level: t[name].withColumnRenamed(c, "code").withColumn("level", F.lit(level)).drop("tenant_id")
+    return side("hospital_aggregates", "hospital_code", "hospital").unionByName(side("drug_aggregates", "drug_group", "drug"))
+
+
+@query("closure_monthly_reports", f"SELECT 'monthly_' || report_month AS monthly_report_id, report_month, {_COUNTS}, count(DISTINCT hospital_code) AS key_hospital_count, count(DISTINCT drug_group) AS key_drug_count FROM clent GROUP BY report_month")
+def _(spark, sf):
+    return tables(spark, sf)["monthly_reports"].drop("tenant_id")
+
+
+CHECKS = {
+    "risk_entities": {"no_auto_dispatch": "not auto_dispatch_allowed", "has_primary_card": "risk_card_count >= 1", "at_most_five_cards": "risk_card_count <= 5", "status_known": "final_candidate_status is not null"},
+    "risk_cards": {"level_known": "card_level is not null", "rule_card_has_evidence": "is_primary or evidence_count > 0"},
+    "risk_card_evidence": {"text_not_empty": "length(evidence_text) > 0", "no_forbidden_text": "not exists(array('guaranteed churn', 'confirmed lost customer', 'automatic dispatch', 'exact churn date'), x -> contains(lower(evidence_text), x))"},
+    "hospital_aggregates": {"parts_within_total": "high_risk_count + observation_count + one_shot_count <= risk_entity_count"},
+    "monthly_reports": {"id_matches_month": "monthly_report_id = concat('monthly_', report_month)"},
+}
+UNIQUE = {"risk_entities": ["risk_entity_id"], "risk_cards": ["risk_card_id"], "risk_card_evidence": ["evidence_id"]}
+CHILDREN = [("risk_cards", "risk_entity_id", "risk_entities"), ("risk_card_evidence", "risk_card_id", "risk_cards")]
+TOTALS = [("hospital_aggregates", "risk_entity_count", "risk_entities"), ("risk_entities", "risk_card_count", "risk_cards"), ("risk_cards", "evidence_count", "risk_card_evidence")]
+_SIZES = {
+    "risk_entities": "(SELECT count(*) FROM clent)", "risk_cards": "(SELECT (SELECT count(*) FROM clent) + count(*) FROM clhit WHERE i <= 4)", "risk_card_evidence": "(SELECT count(*) FROM clhit WHERE i <= 4)",
+    "hospital_aggregates": "(SELECT count(*) FROM (SELECT DISTINCT report_month, hospital_code FROM clent))", "monthly_reports": "(SELECT count(DISTINCT report_month) FROM clent)",
+}
+_NAMES = [(t, c) for t, cs in CHECKS.items() for c in ["has_rows", *cs]] + [(t, "unique_" + "_".join(k)) for t, k in UNIQUE.items()] + [(c, f"{k}_in_{p}") for c, k, p in CHILDREN] + [(t, f"{c}_adds_up_to_{o}") for t, c, o in TOTALS]
+
+
+@query("closure_validation", "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS check_name, CAST({_SIZES[t]} AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS violations, true AS passed" for t, c in _NAMES))
+def _(spark, sf):
+    from orderpulse.operators import closure as C
+
+    made = tables(spark, sf)
+    made["risk_entities"] = cut_lineage(made["risk_entities"])
+    return C.run_checks({t: made[t] for t in CHECKS}, CHECKS, UNIQUE, CHILDREN, TOTALS)
