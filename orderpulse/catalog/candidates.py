@@ -281,6 +281,16 @@ def _(spark, sf):
     return round_all(e.withColumn("lift_vs_rest", F.expr("round(lift_vs_rest + 1.3e-9D, 6)")))
 
 
+_PAIRS = [(a, b) for i, a in enumerate(_POLS) for b in _POLS[i + 1:]]
+
+
+@query("candidates_policy_overlap", " UNION ALL ".join(
+    f"""SELECT {_G}, '{a}' AS policy, '{b}' AS other_policy, count(*) FILTER ({a} AND {b}) AS overlap_count, count(*) FILTER ({a} OR {b}) AS union_count, {rnd(f'count(*) FILTER ({a} AND {b}) / nullif(count(*) FILTER ({a} OR {b}), 0)', 6)} AS jaccard,
+  {rnd(f'count(*) FILTER ({a} AND {b}) / nullif(count(*) FILTER ({a}), 0)', 6)} AS share_of_policy FROM flagu GROUP BY {_G}""" for a, b in _PAIRS))
+def _(spark, sf):
+    return round_all(K.policy_overlap(flagged(spark, sf), _POLS), 6)
+
+
 @query("candidates_policy_recommendation", f"""
 WITH m AS (SELECT policy, avg(recall) AS r, avg(lift_vs_rest) AS l, avg(candidate_rate) AS c FROM peval GROUP BY policy)
 SELECT policy, {rnd('r', 6)} AS mean_recall, {rnd('l', 6)} AS mean_lift, {rnd('c', 6)} AS mean_rate, row_number() OVER (ORDER BY round(r, 6) DESC, round(l, 6) DESC, policy) = 1 AS is_recommended FROM m

@@ -72,7 +72,7 @@ def _values(rows):
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
-_WORDS = _values([(w, *g[1:]) for g in C.STATUS_LIFECYCLE for w in g[0].split()])
+_WORDS = _values([(w, *g[1:]) for g in C.STATUS_LIFECYCLE for w in g[0]])
 _STATUS_SQL = f"""
 WITH words AS (SELECT * FROM (VALUES {_WORDS}) t(word, order_phase_code, order_phase_label, delivery_state_code,
   delivery_state_label, order_terminal_flag, order_failure_flag, needs_manual_review)),

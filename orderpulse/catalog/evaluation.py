@@ -477,16 +477,6 @@ def _(spark, sf):
     return round_all(E.share_table(frame(spark, sf), "demand_shape_label"))
 
 
-@query("metric_score_parity", f"""
-SELECT count(*) AS matched_rows, {rnd('max(abs(a - b))')} AS max_abs_diff, {rnd('avg(abs(a - b))')} AS mean_abs_diff, {rnd('corr(a, b)')} AS correlation
-FROM (SELECT p AS a, least(greatest(p * 0.9 + 0.02, 0), 1) AS b FROM mfa)
-""")
-def _(spark, sf):
-    a = all_rows(spark, sf).select("entity_id", *BY, "p")
-    b = a.withColumn("p", F.expr("least(greatest(p * 0.9D + 0.02D, 0D), 1D)"))
-    return round_all(E.score_parity(a, b, ["entity_id", *BY], "p").select("matched_rows", "max_abs_diff", "mean_abs_diff", "correlation"))
-
-
 @query("metric_bin_risk_flags", f"""
 WITH b AS (SELECT {_G}, {_BIN} AS bin, count(*) AS c, avg(y) AS a FROM mf GROUP BY ALL), s AS (SELECT *, a - lag(a) OVER (PARTITION BY {_G} ORDER BY bin) AS s FROM b),
 t AS (SELECT *, lag(s) OVER (PARTITION BY {_G} ORDER BY bin) AS ps FROM s)

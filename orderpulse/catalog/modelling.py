@@ -264,3 +264,24 @@ def _(spark, sf):
     scored = TR.score_per_horizon(rows.where("split = 'test'"), models)
     auc = E.roc_auc(scored.select("horizon", "y", F.col("model_probability").alias("p")), ["horizon"]).selectExpr("horizon", "roc_auc > 0.5 as beats_chance")
     return sizes.join(auc, "horizon").join(shares, "horizon").select("horizon", "train_rows", F.col("train_positives").cast("long"), "test_rows", F.col("test_positives").cast("long"), "beats_chance", "importances_sum_to_one")
+
+
+@query("metric_score_parity", f"""WITH {_CALSQL},
+va AS (SELECT entity_id, cutoff_month, horizon, p AS a FROM mf WHERE cutoff_month <= DATE '2000-06-30'),
+vb AS (SELECT entity_id, cutoff_month, horizon, round({score_sql(FEATURES)}, 9) AS b FROM cf JOIN cm USING (horizon) WHERE split <> 'train')
+SELECT horizon, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS matched_rows, count(*) FILTER (b IS NULL) AS runtime_only, count(*) FILTER (a IS NULL) AS reference_only, count(*) FILTER (a <> b) AS differing_rows,
+  {rnd('max(abs(a - b))', 6)} AS max_abs_diff, {rnd('avg(abs(a - b))', 6)} AS mean_abs_diff, {rnd('corr(a, b)', 6)} AS correlation
+FROM va FULL JOIN vb USING (entity_id, cutoff_month, horizon) GROUP BY horizon""")
+def _(spark, sf):
+    """Two stored batches that overlap in part: rule scores up to one cutoff, scores of a trained model after another."""
+    import uuid
+
+    from orderpulse.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark)}/orderpulse/score-batches-{uuid.uuid4().hex}"
+    key = ["entity_id", "cutoff_month", "horizon"]
+    rows = cut_lineage(EV.frame(spark, sf))
+    E.publish_scores(rows.where("cutoff_month <= date'2000-06-30'").select(*key, F.col("p").alias("score")), path, "rule-v1")
+    trained = R.trained_scores(R.with_folds(rows, _CAL), ["horizon"])
+    E.publish_scores(trained.select(*key, F.col("raw").alias("score")), path, "model-v1")
+    return round_all(E.batch_parity(E.read_scores(spark, path, "rule-v1"), E.read_scores(spark, path, "model-v1"), key, "score", ["horizon"]), 6)

@@ -472,6 +472,20 @@ def _(spark, sf):
     return N.select_manufacturers(N.entity_aggregate(common.orders(spark, sf)), 5, 100)
 
 
+@query("audit_choice_pairs", """
+WITH c AS (
+  SELECT hospital_code, drug_code, sum(order_count) FILTER (manufacturer_code IN (SELECT manufacturer_code FROM mansel)) AS selected_mfg_order_count, count(DISTINCT manufacturer_code) FILTER (manufacturer_code IN (SELECT manufacturer_code FROM mansel)) AS k,
+    count(DISTINCT manufacturer_code) AS all_manufacturer_count, sum(order_count) AS all_pair_order_count FROM ea GROUP BY ALL),
+r AS (SELECT *, all_manufacturer_count > k AS sub, row_number() OVER (PARTITION BY all_manufacturer_count > k ORDER BY selected_mfg_order_count DESC, all_manufacturer_count DESC, hospital_code, drug_code) AS selection_rank,
+  count(*) FILTER (all_manufacturer_count > k) OVER () AS subs, count(*) FILTER (all_manufacturer_count <= k) OVER () AS rest FROM c WHERE k > 0)
+SELECT hospital_code, drug_code, CAST(selected_mfg_order_count AS BIGINT) AS selected_mfg_order_count, k AS selected_mfg_entity_count, all_manufacturer_count, CAST(all_pair_order_count AS BIGINT) AS all_pair_order_count, sub AS has_manufacturer_substitution, selection_rank
+FROM r WHERE CASE WHEN sub THEN selection_rank <= greatest(300, 400 - rest) ELSE selection_rank <= 400 - least(subs, 300) END
+""")
+def _(spark, sf):
+    e = N.entity_aggregate(common.orders(spark, sf))
+    return N.select_choice_pairs(e, N.select_manufacturers(e, 5, 100), 400).drop("all_pair_entity_count", "choice_set_selection_reason")
+
+
 @query("audit_extract_coverage", f"""
 WITH e AS (SELECT order_count, manufacturer_code IN (SELECT manufacturer_code FROM mansel) AS m, manufacturer_code || '|' || hospital_code || '|' || drug_code IN (SELECT entity_id FROM strat) AS s FROM ea)
 SELECT scope, count(*) FILTER (k) AS entity_count, CAST(coalesce(sum(order_count) FILTER (k), 0) AS BIGINT) AS row_count, {rnd('coalesce(sum(order_count) FILTER (k), 0) / sum(order_count)')} AS row_coverage

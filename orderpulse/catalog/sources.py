@@ -38,6 +38,21 @@ def views(spark, sf):
     return B.create_views(RQ.unit_orders(spark, sf).drop("product_line_code"), star.product_line_mapping(spark, sf))
 
 
+@query("view_canonical_orders", f"""
+SELECT order_id, drug_code, org_code, order_date AS order_time, purchase_qty, {rnd('purchase_amount', 6)} AS purchase_amount, {rnd('purchase_amount / nullif(purchase_qty, 0)', 6)} AS purchase_price, manufacturer_code AS manufacturer,
+  delivery_qty, delivery_date AS delivery_time, receipt_qty, NULL::DATE AS receipt_time FROM uo JOIN (SELECT row_uid, manufacturer_code FROM ord) USING (row_uid)
+""")
+def _(spark, sf):
+    maker = common.orders(spark, sf).select("row_uid", F.col("manufacturer_code").alias("manufacturer"))
+    B.create_views(RQ.unit_orders(spark, sf).join(maker, "row_uid"), star.product_line_mapping(spark, sf))
+    return round_all(spark.table("v_canonical_orders"), 6)
+
+
+@query("view_unit_order_events", f"SELECT order_id, org_code, m.product_line_code, product_line_name, o.drug_code, order_date AS order_time, purchase_qty, {rnd('purchase_amount', 6)} AS purchase_amount FROM uo o JOIN drug m ON o.drug_code = m.drug_code")
+def _(spark, sf):
+    return round_all(views(spark, sf).table("v_unit_order_events"), 6)
+
+
 @query("view_unit_monthly", """
 SELECT o.org_code, m.product_line_code, date_trunc('month', order_date)::DATE AS month_start, count(DISTINCT order_id) AS order_count, count(DISTINCT o.drug_code) AS active_drug_count, sum(purchase_qty) AS purchase_qty
 FROM uo o JOIN drug m ON o.drug_code = m.drug_code GROUP BY o.org_code, m.product_line_code, date_trunc('month', order_date)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpulse.operators.ranking import first_rows, quantiles
+from orderpulse.operators.ranking import first_rows, quantiles, sorted_rank
 from orderpulse.schemas import ENTITY
 
 
@@ -90,6 +90,30 @@ def select_manufacturers(entities: DataFrame, n: int, min_rows: int, cap: float
     return kept.orderBy(F.desc("rows"), F.asc("manufacturer_code")).limit(n)
 
 
+def select_choice_pairs(entities: DataFrame, manufacturers: DataFrame, max_pairs: int, substitution_share: float = 0.75) -> DataFrame:
+    """Hospital-drug pairs that the chosen manufacturers touch, those with other manufacturers beside them first.
+
+    Up to `substitution_share` of `max_pairs` go to pairs with substitution, the rest to pairs without, and what is
+    then left to further pairs with substitution. Order: orders of the chosen manufacturers, number of manufacturers,
+    codes. Pairs are counted in one pass with partial sums, so that a hospital or drug of any size is one row per task.
+    """
+    pair = ["hospital_code", "drug_code"]
+    chosen = entities.join(F.broadcast(manufacturers.select("manufacturer_code", F.lit(1).alias("_in"))), "manufacturer_code", "left")
+    counted = chosen.groupBy(*pair).agg(
+        F.sum(F.when(F.col("_in") == 1, F.col("order_count"))).alias("selected_mfg_order_count"), F.countDistinct(F.when(F.col("_in") == 1, F.col("manufacturer_code"))).alias("selected_mfg_entity_count"),
+        F.countDistinct("manufacturer_code").alias("all_manufacturer_count"), F.sum("order_count").alias("all_pair_order_count"), F.count(F.lit(1)).alias("all_pair_entity_count"),
+    ).where("selected_mfg_entity_count > 0")
+    pairs = counted.withColumn("has_manufacturer_substitution", F.col("all_manufacturer_count") > F.col("selected_mfg_entity_count")).withColumn("_fewer", -F.col("all_manufacturer_count"))
+    ranked = sorted_rank(pairs, "selected_mfg_order_count", ["has_manufacturer_substitution"], ["_fewer", *pair], name="selection_rank", total="_size")
+    sub = F.col("has_manufacturer_substitution")
+    size = lambda c: ranked.agg(F.coalesce(F.max(F.when(c, F.col("_size"))), F.lit(0))).scalar()
+    first = int(max_pairs * substitution_share)
+    room_with, room_without = F.greatest(F.lit(first), F.lit(max_pairs) - F.col("_without")), F.lit(max_pairs) - F.least(F.col("_with"), F.lit(first))
+    kept = ranked.withColumns({"_with": size(sub), "_without": size(~sub)}).where(F.col("selection_rank") <= F.when(sub, room_with).otherwise(room_without))
+    reason = F.when(sub, "selected_manufacturer_hospital_drug_with_other_manufacturer_context").otherwise("selected_manufacturer_hospital_drug_single_manufacturer_context")
+    return kept.withColumn("choice_set_selection_reason", reason).drop("_fewer", "_size", "_with", "_without")
+
+
 def extract_coverage(entities: DataFrame, manufacturers: DataFrame, sample: DataFrame) -> DataFrame:
     """Entities and rows covered by the manufacturer scope, the sample, and either."""
     e = entities.withColumn("entity_id", F.concat_ws("|", "manufacturer_code", "hospital_code", "drug_code"))

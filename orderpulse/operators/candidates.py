@@ -243,6 +243,26 @@ def policy_evaluation(flagged: DataFrame, policies: Sequence[str], by: Sequence[
     return wide.selectExpr(*by, f"inline(array({rows}))")
 
 
+def policy_overlap(flagged: DataFrame, policies: Sequence[str], by: Sequence[str] = GROUP) -> DataFrame:
+    """Shared rows of every two policies per group: overlap, union, Jaccard share and share of the first one's rows.
+
+    Each row carries its policies as the bits of one number; rows are counted per number once, and all pairs are sums
+    over those few counts (2 to the power of the policies at most), whatever the number of rows.
+    """
+    bits = " + ".join(f"if(coalesce({f}, false), {1 << i}, 0)" for i, f in enumerate(policies))
+    counted = flagged.withColumn("_bits", F.expr(f"cast({bits} as bigint)")).groupBy(*by, "_bits").agg(F.count(F.lit(1)).alias("_n"))
+    aggs, rows = [], []
+    for i, a in enumerate(policies):
+        for j, b in enumerate(policies):
+            if i >= j:
+                continue
+            both = (1 << i) | (1 << j)
+            aggs += [F.expr(f"sum(if(_bits & {both} = {both}, _n, 0)) as both{i}_{j}"), F.expr(f"sum(if(_bits & {both} <> 0, _n, 0)) as any{i}_{j}"), F.expr(f"sum(if(_bits & {1 << i} <> 0, _n, 0)) as one{i}_{j}")]
+            rows.append(f"named_struct('policy', '{a}', 'other_policy', '{b}', 'overlap_count', both{i}_{j}, 'union_count', any{i}_{j}, "
+                        f"'jaccard', both{i}_{j} / nullif(any{i}_{j}, 0), 'share_of_policy', both{i}_{j} / nullif(one{i}_{j}, 0))")
+    return counted.groupBy(*by).agg(*aggs).selectExpr(*by, f"inline(array({', '.join(rows)}))")
+
+
 def recommend_policy(evaluation: DataFrame) -> DataFrame:
     """Mean recall and lift per policy, best recall first, then lift, then lighter load."""
     mean = evaluation.groupBy("policy").agg(

@@ -233,6 +233,25 @@ def score_parity(runtime: DataFrame, reference: DataFrame, key: Sequence[str], s
     )
 
 
+def publish_scores(scores: DataFrame, path: str, batch_id: str) -> None:
+    """Stores a batch of scores in a folder of its own; a batch that exists is refused by the writer."""
+    scores.write.mode("errorifexists").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_scores(spark, path: str, batch_id: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("batch_id") == batch_id).drop("batch_id")
+
+
+def batch_parity(runtime: DataFrame, reference: DataFrame, key: Sequence[str], score: str, by: Sequence[str]) -> DataFrame:
+    """Keys of both batches, of one only, and the score differences of the common ones, per group of key columns."""
+    a = runtime.select(*key, F.lit(True).alias("_in_a"), F.col(score).alias("_a"))
+    b = reference.select(*key, F.lit(True).alias("_in_b"), F.col(score).alias("_b"))
+    joined = a.join(b, list(key), "full")
+    return joined.groupBy(*by).agg(
+        F.expr("count_if(_in_a and _in_b) as matched_rows"), F.expr("count_if(_in_b is null) as runtime_only"), F.expr("count_if(_in_a is null) as reference_only"),
+        F.expr("count_if(_in_a and _in_b and not (_a <=> _b)) as differing_rows"), F.expr("max(abs(_a - _b)) as max_abs_diff"), F.expr("avg(abs(_a - _b)) as mean_abs_diff"), F.expr("corr(_a, _b) as correlation"))
+
+
 def bin_risks(bins: DataFrame, by: Sequence[str], min_count: int = 30, step: float = 0.05) -> DataFrame:
     """Small extreme bins and sawtooth: the observed rate changes direction by more than `step` between bins."""
     from pyspark.sql import Window

@@ -11,48 +11,74 @@ HORIZONS = [3, 6, 12]
 MAX_MONITOR_GAP_MONTHS = 12
 DAYS_PER_MONTH = 30.4375
 
-
-def _struct(spec: str) -> T.StructType:
-    kinds = {
-        "s": T.StringType(),
-        "d": T.DateType(),
-        "f": T.DoubleType(),
-        "i": T.IntegerType(),
-        "b": T.BooleanType(),
-        "t": T.TimestampType(),
-    }
-    return T.StructType(
-        [T.StructField(n, kinds[k]) for n, k in (item.split(":") for item in spec.split())]
-    )
-
-
-# Raw monthly batch tables.
+# Columns of the raw monthly batch tables.
 RAW_TABLES: dict[str, T.StructType] = {
-    "orders": _struct(
-        "order_id:s order_date:d manufacturer_code:s hospital_code:s drug_code:s order_quantity:f "
-        "order_amount:f distributor_code:s order_status:s delivery_status:s delivery_date:d arrival_date:d"
-    ),
-    "drug_master": _struct(
-        "drug_code:s drug_name:s drug_category:s product_line_code:s product_line_name:s"
-    ),
-    "hospital_master": _struct(
-        "hospital_code:s hospital_name:s region_code:s region_name:s hospital_level:s"
-    ),
-    "product_line_mapping": _struct("drug_code:s product_line_code:s product_line_name:s"),
-    "delivery_events": _struct("order_id:s delivery_date:d arrival_date:d delivery_status:s"),
-    "price_reference": _struct("drug_code:s reference_price:f"),
+    "orders": T.StructType([
+        T.StructField("order_id", T.StringType()),
+        T.StructField("order_date", T.DateType()),
+        T.StructField("manufacturer_code", T.StringType()),
+        T.StructField("hospital_code", T.StringType()),
+        T.StructField("drug_code", T.StringType()),
+        T.StructField("order_quantity", T.DoubleType()),
+        T.StructField("order_amount", T.DoubleType()),
+        T.StructField("distributor_code", T.StringType()),
+        T.StructField("order_status", T.StringType()),
+        T.StructField("delivery_status", T.StringType()),
+        T.StructField("delivery_date", T.DateType()),
+        T.StructField("arrival_date", T.DateType()),
+    ]),
+    "drug_master": T.StructType([
+        T.StructField("drug_code", T.StringType()),
+        T.StructField("drug_name", T.StringType()),
+        T.StructField("drug_category", T.StringType()),
+        T.StructField("product_line_code", T.StringType()),
+        T.StructField("product_line_name", T.StringType()),
+    ]),
+    "hospital_master": T.StructType([
+        T.StructField("hospital_code", T.StringType()),
+        T.StructField("hospital_name", T.StringType()),
+        T.StructField("region_code", T.StringType()),
+        T.StructField("region_name", T.StringType()),
+        T.StructField("hospital_level", T.StringType()),
+    ]),
+    "product_line_mapping": T.StructType([
+        T.StructField("drug_code", T.StringType()),
+        T.StructField("product_line_code", T.StringType()),
+        T.StructField("product_line_name", T.StringType()),
+    ]),
+    "delivery_events": T.StructType([
+        T.StructField("order_id", T.StringType()),
+        T.StructField("delivery_date", T.DateType()),
+        T.StructField("arrival_date", T.DateType()),
+        T.StructField("delivery_status", T.StringType()),
+    ]),
+    "price_reference": T.StructType([
+        T.StructField("drug_code", T.StringType()),
+        T.StructField("reference_price", T.DoubleType()),
+    ]),
 }
 REQUIRED_RAW_TABLES = ["orders", "drug_master", "hospital_master"]
 REQUIRED_ORDER_COLUMNS = [
     "order_date", "manufacturer_code", "hospital_code", "drug_code", "order_quantity", "order_amount",
 ]
 
-# Cleaned orders read by the daily detectors.
-DETECTOR_ORDERS = _struct(
-    "row_uid:s order_id:s order_date:d manufacturer_code:s hospital_code:s drug_code:s order_quantity:f "
-    "order_amount:f purchase_unit:s purchase_unit_price:f order_phase_code:i order_terminal_flag:i "
-    "order_failure_flag:i needs_manual_review:b"
-)
+# Columns of the cleaned orders that the daily detectors read.
+DETECTOR_ORDERS = T.StructType([
+    T.StructField("row_uid", T.StringType()),
+    T.StructField("order_id", T.StringType()),
+    T.StructField("order_date", T.DateType()),
+    T.StructField("manufacturer_code", T.StringType()),
+    T.StructField("hospital_code", T.StringType()),
+    T.StructField("drug_code", T.StringType()),
+    T.StructField("order_quantity", T.DoubleType()),
+    T.StructField("order_amount", T.DoubleType()),
+    T.StructField("purchase_unit", T.StringType()),
+    T.StructField("purchase_unit_price", T.DoubleType()),
+    T.StructField("order_phase_code", T.IntegerType()),
+    T.StructField("order_terminal_flag", T.IntegerType()),
+    T.StructField("order_failure_flag", T.IntegerType()),
+    T.StructField("needs_manual_review", T.BooleanType()),
+])
 NORMAL_PHASES = [60, 70, 80]
 
 STATIC_COLUMNS = [
