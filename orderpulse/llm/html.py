@@ -41,7 +41,7 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("nav aside footer form head button menu dialog label option fieldset".split())
-_OUT = frozenset("nav footer aside head template svg math select object audio video canvas".split())
+_OUT = frozenset("nav footer aside head template svg select canvas".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status form".split())
 _HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs"
@@ -53,6 +53,9 @@ _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies
 _STATES = frozenset("no not non has have with without on off open closed enabled disabled hoc".split())
 #: Elements of running text: a hint in a longer name ('related-work') says nothing there.
 _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 dt dd blockquote pre em strong b i figcaption".split())
+#: Controls that are words of a sentence where they stand in running text, and the blocks of such text.
+_SPOKEN = frozenset("button label".split())
+_SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
 #: Weight of the tags of an element that a hint doesn't exclude, where none was learnt.
 _HINT = -4.0
 _INLINE = frozenset("a b br i em strong span img".split())
@@ -70,6 +73,17 @@ def _named(name: str, values: str) -> set[str]:
     return found
 
 
+def _in_sentence(up: "Element | None") -> bool:
+    """Whether the nearest block around is one of running text and no form is further up."""
+    while up is not None and up.name not in _BLOCKS:
+        up = up.up
+    if up is None or up.name not in _SENTENCES:
+        return False
+    while up is not None and up.name not in ("form", "fieldset"):
+        up = up.up
+    return up is None
+
+
 class Element:
     """An open or closed element: whether it is out by its kind, whether a hint sets it apart, and what it holds."""
 
@@ -87,7 +101,7 @@ class Element:
         self.inside = inside or self.marked
         self.link = name == "a" or up is not None and up.link and name not in _BLOCKS
         hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-        hint = bool(parts & _HINTS) or ("header" in parts and not inside) or found.get("role", "").lower() in _ROLES or name in _NEVER or (name == "header" and not inside)
+        hint = bool(parts & _HINTS) or ("header" in parts and not inside) or found.get("role", "").lower() in _ROLES or (name in _NEVER and not (name in _SPOKEN and inside and _in_sentence(up))) or (name == "header" and not inside)
         self.out = bool(hidden) or name in _OUT
         self.hard = self.out or up is not None and up.hard
         # A wrapper with a hint is not out if it holds the marked content.

@@ -11,7 +11,7 @@ their number follows the size of the vocabulary (`partitions_for`).
 
 One edit also leaves the first or the second half of a word as it was. Every signature is therefore joined together with
 either half, which keeps groups small in vocabularies of compounds, where thousands of words share most of their letters
-(1.1 M words, 6 partitions, no halves: 700 M comparisons and groups of 1450 words).
+(1.1 M words, 6 partitions, no halves: 490 M pairs of equal length and groups of up to 1450 words).
 
 Defined cases: a null text has no words, a null id is written as the empty text before the colon; repeated rows count
 as often as they occur; a tie of n goes to the smallest word in code-point order; an empty table gives no rows; other

@@ -327,3 +327,18 @@ def test_token_files(spark, monkeypatch):
     broken = files.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["n"].alias("n"), (b["crc"] + 1).alias("crc"), b["data"].alias("data"))))
     with pytest.raises(Exception, match="checksum"):
         rangecoder.read(broken).collect()
+
+
+@pytest.mark.parametrize("part, text", [
+    ("We get <math>x = 2</math> here.", "We get x = 2 here."), ("Press <button>OK</button> now.", "Press OK now."), ("The <label>total</label> is 5.", "The total is 5."),
+    ("See <object data=a.swf>the fallback</object> or <video src=v>your browser</video> text.", "See the fallback or your browser text."), ("Mark <em><button>Yes</button></em> there.", "Mark Yes there."),
+])
+def test_html_words_of_a_sentence_stay(part, text):
+    assert html.extract(f"<article><h1>Title</h1><p>{part}</p><p>Some more words follow.</p></article>", {"word": 3.0}) == f"Title\n\n{text}\n\nSome more words follow."
+
+
+def test_html_controls_beside_the_text_go():
+    body = "<p>" + "Many words stand in this paragraph of the page. " * 8 + "</p>"
+    page = f"<article>{body}<button>Share</button><div><label>Mail</label></div><form><p><label>Name</label> <button>Send</button></p></form>{body}</article>"
+    text = ("Many words stand in this paragraph of the page. " * 8).strip()
+    assert html.extract(page, {"word": 3.0}) == f"{text}\n\n{text}"
