@@ -114,6 +114,15 @@ def _(spark, sf):
     return B.split_components(hits, "run").select("observation_date", "detector_id", "manufacturer_code", "hospital_code", "drug_code", "run_id", "display_rank")
 
 
+@query("publish_split_conservation", """
+SELECT observation_date, detector_id, count(*) AS source_rows, count(*) AS component_rows, CAST(1 AS BIGINT) AS component_runs, count(*) AS last_rank, true AS conserved FROM res WHERE hit_flag GROUP BY ALL
+""")
+def _(spark, sf):
+    hits = cut_lineage(EQ.results(spark, sf).where("hit_flag").withColumnRenamed("detector_result_id", "detector_clue_id").withColumn("detector_score", F.round("comparison_value", 6)))
+    checked = B.split_conservation(hits, B.split_components(hits, "run"))
+    return checked.select("observation_date", "detector_id", "source_rows", "component_rows", "component_runs", F.col("last_rank").cast("long"), "conserved")
+
+
 @query("train_logistic_per_horizon")
 def _(spark, sf):
     from orderpulse.operators.metrics import full_metrics

@@ -59,6 +59,7 @@ def rank_probability(rows: DataFrame, score: str, by: Sequence[str]) -> DataFram
     return ranked.withColumn("probability", F.expr("least(greatest(_base * (0.5D + coalesce(_rank, 0.5D)), 0D), 1D)")).drop("_base", "_rank")
 
 
+# Fixed values.
 PRIOR_GROUPS = {
     "manufacturer": ["manufacturer_code"], "drug_category": ["drug_category_code"], "province": ["province_code"],
     "hospital_level": ["hospital_level_code"], "manufacturer_drug_category": ["manufacturer_code", "drug_category_code"],

@@ -191,6 +191,7 @@ SIGNAL_FAMILIES = [
     ("purchase_frequency_decay_rate_test", "sales_frequency", True),
 ]
 STATISTICAL_TEST = "purchase_frequency_decay_rate_test"
+# Fixed values.
 GUARDRAILS = ["peer_suppressed", "policy_caveat", "systemic_delivery_caveat", "suppressed_by_l2"]
 
 

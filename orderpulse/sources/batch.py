@@ -179,6 +179,17 @@ def split_components(clues: DataFrame, run_prefix: str) -> DataFrame:
     return ranked.withColumn("run_id", F.concat_ws("-", F.lit(run_prefix), "detector_id", F.col("observation_date").cast("string")))
 
 
+def split_conservation(source: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows and distinct clues per day and rule before and after the split; `conserved` where none was lost or doubled."""
+    key = ["observation_date", "detector_id"]
+    side = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.countDistinct("detector_clue_id").alias(f"{name}_clues"), F.countDistinct("run_id").alias(f"{name}_runs"))
+    before = side(source.withColumn("run_id", F.lit(None).cast("string")), "source").drop("source_runs")
+    both = before.join(side(parts, "component"), key, "full").fillna(0, ["source_rows", "source_clues", "component_rows", "component_clues", "component_runs"])
+    ranks = parts.groupBy(*key).agg(F.max("display_rank").alias("last_rank"))
+    same = "source_rows = component_rows and source_clues = component_clues and component_runs = 1 and coalesce(last_rank, 0) = component_rows"
+    return both.join(ranks, key, "left").withColumn("conserved", F.expr(same))
+
+
 def canonical_orders(orders: DataFrame) -> DataFrame:
     """Orders under the names that the views share; a missing price is the amount of one piece."""
     price = F.col("purchase_price") if "purchase_price" in orders.columns else F.col("purchase_amount") / F.nullif(F.col("purchase_qty"), F.lit(0.0))

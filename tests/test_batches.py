@@ -55,3 +55,15 @@ def test_views_keep_all_columns(spark):
     row = spark.table("v_canonical_orders").first()
     assert row["purchase_price"] == 5.0 and row["manufacturer"] is None and row["receipt_time"] is None and row["delivery_time"] == dt.date(2020, 1, 9)
     assert spark.table("v_unit_monthly_agg").first()["month_start"] == dt.date(2020, 1, 1) and spark.table("v_unit_baseline_snapshot").count() == 1
+
+
+def test_split_conservation_sees_a_lost_and_a_doubled_row(spark):
+    schema = "observation_date string, detector_id string, detector_clue_id string, detector_score double, display_rank int"
+    rows = [("2020-01-01", f"d{i % 2}", f"c{i}", float(i), 0) for i in range(10)]
+    source = spark.createDataFrame(rows, schema)
+    parts = batch.split_components(source, "run").cache()
+    state = lambda p: {r["detector_id"]: r["conserved"] for r in batch.split_conservation(source, p).collect()}
+    assert state(parts) == {"d0": True, "d1": True}
+    assert state(parts.where("detector_clue_id <> 'c3'")) == {"d0": True, "d1": False}
+    assert state(parts.unionByName(parts.where("detector_clue_id = 'c2'"))) == {"d0": False, "d1": True}
+    assert state(parts.where("detector_id = 'd0'")) == {"d0": True, "d1": False}
