@@ -104,6 +104,17 @@ def _(spark, sf):
     return round_all(one_shot(spark, sf).select(*ENTITY, *_OS, "repeat_probability", "non_repeat_risk", "rank_repeat_probability", "rank_non_repeat_risk"), 6)
 
 
+@query("model_attention_scores", f"""
+SELECT {_E}, horizon, {rnd('(1 - repeat_probability) * first_purchase_amount', 4)} AS retention_risk_score, {rnd('repeat_probability * first_purchase_amount', 4)} AS conversion_opportunity_score,
+  {rnd('repeat_probability * (1 - repeat_probability) * first_purchase_amount', 4)} AS balanced_attention_score FROM osf
+""")
+def _(spark, sf):
+    from orderpulse.operators import models as M
+
+    s = M.attention_scores(one_shot(spark, sf), "repeat_probability", "first_purchase_amount")
+    return round_all(s.select(*ENTITY, "horizon", "retention_risk_score", "conversion_opportunity_score", "balanced_attention_score"), 4)
+
+
 _MET = ["row_count", "positive_rate", "brier_score", "log_loss", "roc_auc", "ece", "average_precision"]
 
 

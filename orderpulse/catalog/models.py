@@ -237,22 +237,17 @@ def _(spark, sf):
     return round_all(M.rank_probability(EV.frame(spark, sf), "overdue", ["horizon", "cutoff_month"]).select(*KEY, "horizon", "probability"))
 
 
+# The reference period: first purchases whose label window had ended by its last day.
+REFERENCE_END = "1996-12-31"
+cte("fpr", f"SELECT * FROM fps WHERE (first_purchase_time + INTERVAL 6 MONTH)::DATE <= DATE '{REFERENCE_END}'")
 _PG = " UNION ALL ".join(
-    f"SELECT '{n}' AS group_name, {' || chr(124) || '.join(c)} AS group_key, count(*) AS group_count, CAST(sum(label_repeat_H6) AS BIGINT) AS group_positive_count, {rnd('(sum(label_repeat_H6) + (SELECT avg(label_repeat_H6) FROM fps) * 20) / (count(*) + 20)')} AS smoothed_repeat_rate FROM fps WHERE label_repeat_H6 IS NOT NULL GROUP BY {', '.join(c)}"
+    f"SELECT '{n}' AS group_name, {' || chr(124) || '.join(c)} AS group_key, count(*) AS group_count, CAST(sum(label_repeat_H6) AS BIGINT) AS group_positive_count, {rnd('(sum(label_repeat_H6) + (SELECT avg(label_repeat_H6) FROM fpr) * 20) / (count(*) + 20)')} AS smoothed_repeat_rate FROM fpr WHERE label_repeat_H6 IS NOT NULL GROUP BY {', '.join(c)}"
     for n, c in M.PRIOR_GROUPS.items())
 
 
 @query("model_group_priors", _PG)
 def _(spark, sf):
-    return round_all(M.group_priors(EV.samples(spark, sf), "label_repeat_H6").drop("global_repeat_rate"))
-
-
-@query("model_attention_scores", f"""
-SELECT {_E}, {rnd('0.6 * first_purchase_amount', 4)} AS retention_risk_score, {rnd('0.4 * first_purchase_amount', 4)} AS conversion_opportunity_score, {rnd('0.24 * first_purchase_amount', 4)} AS balanced_attention_score FROM fps
-""")
-def _(spark, sf):
-    s = M.attention_scores(EV.samples(spark, sf).withColumn("p", F.lit(0.4)), "p", "first_purchase_amount")
-    return round_all(s.select(*ENTITY, "retention_risk_score", "conversion_opportunity_score", "balanced_attention_score"), 4)
+    return round_all(M.group_priors(EV.samples(spark, sf).where(f"label_window_end_H6 <= date'{REFERENCE_END}'"), "label_repeat_H6").drop("global_repeat_rate"))
 
 
 @query("model_interval_proxy", f"SELECT origin_date, org_code, product_line_code, {rnd('1 / (1 + greatest(0, days_since_last_purchase / nullif(median_interval_days, 0) - 0.5))')} AS p_alive, CASE WHEN median_interval_days > 0 THEN CASE WHEN purchase_count_365d >= 2 THEN 0.35 ELSE 0.2 END ELSE 0.1 END::DOUBLE AS confidence FROM usnap")
