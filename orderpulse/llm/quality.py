@@ -94,16 +94,19 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from at most `sample` labelled documents that are not held out."""
+    """Weights learnt from at most `sample` labelled documents that are not held out.
+
+    Where rows share a labelled id, the one whose text has the least hash is learnt from.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2"))
     chosen = known.where((F.col("y") == F.col("y2")) & (fold(F.col("doc_id")) != 0)).select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
     # At most `sample` rows of three numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(chosen), "doc_id")
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [features(t) for t in f["text"]]
-            yield pd.DataFrame({"h": f["h"], "y": f["y"].astype("float64"), "at": [a for a, _ in found], "value": [v.astype(np.float32) for _, v in found]})
+            yield pd.DataFrame({"h": f["h"], "t": f["t"], "y": f["y"].astype("float64"), "at": [a for a, _ in found], "value": [v.astype(np.float32) for _, v in found]})
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [(h, len(at), np.asarray(at, np.int64), np.asarray(value, np.float64), y) for f in frames for h, y, at, value in zip(f["h"], f["y"], f["at"], f["value"], strict=True)]
@@ -112,7 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         where = np.flatnonzero(w)
         yield pd.DataFrame({"at": where, "w": w[where]})
 
-    found = rows.mapInPandas(extract, "h long, y double, at array<long>, value array<float>").repartition(1).mapInPandas(learn, "at long, w double")
+    each = rows.mapInPandas(extract, "h long, t long, y double, at array<long>, value array<float>")
+    # One row for each id, however often it repeats, so that the one task of the fit holds `sample` rows.
+    one = each.groupBy("h", "y").agg(F.min(F.struct("t", "at", "value")).alias("r")).select("h", "y", "r.at", "r.value")
+    found = one.repartition(1).mapInPandas(learn, "at long, w double")
     weights = np.zeros((1 << BITS) + 1)
     # One number for each of the 2^BITS positions at most.
     for at, w in found.toLocalIterator():

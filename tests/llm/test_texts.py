@@ -1,6 +1,7 @@
 """Decontamination, classifier, HTML, chat, tokens, packing, separators and range coder."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -94,6 +95,40 @@ def test_ftrl_dot_is_sparse_and_exact():
     assert [x.tolist() for x in quality.features("")] == [[0], [1.0]] == [x.tolist() for x in quality.features(None)]
 
 
+def test_ftrl_against_dense_loops(monkeypatch):
+    monkeypatch.setattr(quality, "BITS", 4)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        at = np.sort(rng.choice(17, 4, replace=False))
+        rows.append((at, rng.normal(size=4), float(at[0] % 2)))
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for at, value, label in rows:
+            w = {int(i): weight(i) for i in at}
+            p = 1 / (1 + math.exp(-sum(w[int(i)] * v for i, v in zip(at, value))))
+            for i, v in zip(at, value):
+                g = (p - label) * v
+                step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - step * w[int(i)]
+                n[i] += g * g
+    assert quality.train(rows) == pytest.approx([weight(i) for i in range(17)], abs=1e-9)
+
+
+def test_a_repeated_labelled_id_is_learnt_once(spark):
+    texts = {i: f"good words {i} and more of them" if i % 2 else f"### {i} $$ %%" for i in range(1, 60)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    once = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    often = once.union(spark.range(100_000).selectExpr("7L", f"'{texts[7]}'"))
+    assert np.array_equal(quality.fit(once, labels), quality.fit(often, labels))
+
+
 PAGES = {
     "plain": ("<nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>one  two\n three<br>four</p></article><footer>f</footer>", "T & U\n\none two three four"),
     "soup": ('<body><ul><li><a>Home page</a><li><a>Other page</a></ul><p>First para with a <a href="x">link in</a> it and words.<p>Second para &eacute; with more words here.</p></body>', "First para with a link in it and words.\n\nSecond para é with more words here."),
