@@ -28,6 +28,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(settled: DataFrame, rows: int) -> DataFrame:
+    """A written frame marked for a broadcast if it holds at most `rows` rows; else the join is left to a shuffle."""
+    return F.broadcast(settled) if settled.count() <= rows else settled
+
+
 def free_name(columns: list[str], base: str) -> str:
     """A column name that clashes with none of the given ones, compared without case as Spark does."""
     taken = {c.lower() for c in columns}

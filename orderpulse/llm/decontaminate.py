@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderpulse.llm.common import narrow, settle
+
 WIDTH = 10
 #: Windows that may be broadcast: about 100 bytes each, thus some 200 MB. Beyond it the windows are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Hit documents that `clean` may broadcast, about 100 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAKS = "".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -83,6 +87,10 @@ def _merged(spans: Column) -> Column:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without those that hold a benchmark window, with all their columns."""
+    """The documents without those that hold a benchmark window, with all their columns.
+
+    No text moves unless more than `BROADCAST_ROWS` documents are hit.
+    """
     bad = scan(documents, benchmark, width).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"))
+    bad = narrow(settle(bad, "contaminated"), BROADCAST_ROWS)
     return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(documents["text"]) == bad["_t"]), "left_anti")

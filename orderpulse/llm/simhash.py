@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import components, forest, free_name, settle
+from orderpulse.llm.common import components, forest, free_name, narrow, settle
 
 RADIUS = 3
 SEED = 42
 #: Fingerprints in a tile, about; a tile is 128 kB and a pair of tiles is one task's unit of work.
 TILE = 16384
+#: Pairs of id and fingerprint that `dedup` may broadcast: about 100 bytes each, thus some 200 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Shingles whose bits are counted at once.
 _STEP = 65536
 
@@ -141,11 +143,22 @@ def groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, id_col: str
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group, that of the least id, with the columns of `docs`."""
-    fp, group, rank = (free_name(docs.columns, x) for x in ("fp", "component_id", "rank"))
+    """One document of each group, that of the least id, with the columns of `docs`.
+
+    A null id comes after all others; in a group of null ids only, each fingerprint keeps one. Of rows that share the
+    least id the first by all columns stays. Which rows go is decided on ids and fingerprints; a text moves only where
+    several rows share the least id, or where more than `BROADCAST_ROWS` pairs of id and fingerprint go.
+    """
+    fp, tied, rank = (free_name([*docs.columns, "_i", "_f"], x) for x in ("fp", "tied", "rank"))
     marked = settle(fingerprints(docs, name=fp), "fingerprinted")
-    found = groups(marked, radius, tile, id_col, fp).toDF(fp, group)
-    first = marked.join(found, fp).where(F.col(id_col).eqNullSafe(F.col(group)))
-    # Only rows that share the least id are left to choose from.
-    order = Window.partitionBy(group, F.when(F.col(group).isNull(), F.col(fp))).orderBy(*[F.col(c) for c in docs.columns])
-    return first.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
+    found = groups(marked, radius, tile, id_col, fp).toDF("f", "g")
+    per = marked.groupBy(F.col(id_col).alias("i"), F.col(fp).alias("f")).agg(F.count("*").alias("n"))
+    pairs = settle(per.join(found, "f").select("i", "f", F.when(F.col("i").isNull(), F.col("f")).alias("k"), "n", F.col("i").eqNullSafe(F.col("g")).alias("first")), "pairs")
+    shared = pairs.where("first").groupBy("i", "k").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("i").alias("i2"), F.col("k").alias("k2"))
+    ties = pairs.where("first").join(shared, F.col("i").eqNullSafe(F.col("i2")) & F.col("k").eqNullSafe(F.col("k2")), "left_semi")
+    told = pairs.where("not first").unionAll(ties).select(F.col("i").alias("_i"), F.col("f").alias("_f"), F.col("first").alias(tied))
+    told = narrow(settle(told, "told"), BROADCAST_ROWS)
+    every = marked.join(told, marked[id_col].eqNullSafe(F.col("_i")) & (marked[fp] == F.col("_f")), "left")
+    order = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.col(fp))).orderBy(*[F.col(c) for c in docs.columns])
+    chosen = every.where(F.col(tied)).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return every.where(F.col(tied).isNull()).select(*docs.columns).unionAll(chosen.select(*docs.columns))

@@ -118,3 +118,14 @@ def test_embeddings(spark, block):
         n = sum(k in link for link in links)
         assert got[i] == (n, min(r[0] for j, r in enumerate(rows) if root[j] == root[k]))
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [simhash.BROADCAST_ROWS, 0])
+def test_dedup_of_repeated_and_null_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+    one, two, three = ("alpha beta gamma delta", "one two three four five", "red green blue black white")
+    rows = [(5, one, 2), (5, one, 1), (7, one, 0), (5, two, 4), (9, two, 3), (None, three, 1), (None, three, 0), (4, "", 0), (8, None, 0), (None, "", 1), (11, "no other text is like this", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tied int")
+    kept = [tuple(r) for r in simhash.dedup(docs).collect()]
+    # Both groups of id 5 share their least id, so one row of the two is left.
+    assert sorted(kept, key=str) == sorted([(5, one, 1), (None, three, 0), (4, "", 0), (11, "no other text is like this", 6)], key=str)
