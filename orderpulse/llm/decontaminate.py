@@ -47,20 +47,19 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, key: tu
     """One row per document: key, n_words, spans (merged hit word ranges, end exclusive), n_hit, items, copies.
 
     `copies` counts the rows with this key and text. Each document's windows are hashed as they stream past the hash
-    set; a hit is verified word for word before it counts. Only hits and one row per document are shuffled.
+    set; a hit is verified word for word before it counts. Only hits and one row per document are shuffled, unless the
+    windows are more than `BROADCAST_WINDOWS`.
     """
     windows = benchmark_windows(benchmark, width)
     size, found = windows.agg(F.sort_array(F.collect_set("size")), F.count("*")).first()
+    if found > BROADCAST_WINDOWS:
+        return _shuffled(documents, settle(windows, "windows"), size, key)
     docs = documents.select(*key, words(F.col("text")).alias("_w"), F.xxhash64("text").alias("_t"))
     every = docs.select(*key, "_t", "_w", F.size("_w").alias("_n"), F.posexplode(F.concat("_w", F.array(F.lit("")))).alias("_at", "_word")).drop("_word")
     sizes = [F.when(F.col("_at") + n <= F.col("_n"), _window_hash("_w", F.col("_at"), n)) for n in size or [width]]
     every = every.withColumn("_h", F.explode(F.array(*sizes))) if len(sizes) > 1 else every.withColumn("_h", sizes[0])
     marker = F.col("_at") == F.col("_n")
-    if found <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
-    else:
-        every = every.withColumn("_h", F.coalesce("_h", F.xxhash64("_t", "_at")))  # spreads the rows that can't hit
-    hits = every.join(windows, F.col("_h") == F.col("h"), "left")
+    hits = every.join(F.broadcast(windows), F.col("_h") == F.col("h"), "left")
     same = F.col("h").isNotNull() & ~marker & (F.col("shingle") == F.array_join(F.slice("_w", F.col("_at") + 1, F.col("size")), " "))
     rows = hits.where(marker | same).select(*key, "_t", "_n", marker.alias("_m"), F.when(~marker, F.struct(F.col("_at").alias("a"), (F.col("_at") + F.col("size")).alias("z"))).alias("_s"), F.when(~marker, F.col("items")).alias("_i"))
     one = rows.groupBy(*key, "_t").agg(
@@ -68,12 +67,57 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, key: tu
         F.sort_array(F.collect_set("_s")).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("_i")))).alias("items"),
     )
     # With several sizes the marker row comes once for each of them.
+    return _report(one.withColumn("_copies", F.col("_copies") / F.lit(len(sizes))), key)
+
+
+def _report(one: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return one.select(
         *key, F.col("n_words").cast("long").alias("n_words"), _merged(F.col("_spans")).alias("spans"), "items",
-        (F.col("_copies") / F.lit(len(sizes))).cast("int").alias("copies"), F.col("_t").alias("text_hash"),
+        F.col("_copies").cast("int").alias("copies"), F.col("_t").alias("text_hash"),
     ).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["z"] - x["a"]))
 
 
+def _shuffled(documents: DataFrame, windows: DataFrame, sizes: list[int], key: tuple[str, ...]) -> DataFrame:
+    """The scan for more windows than may be broadcast: what moves is a hash per word, then each hit text once.
+
+    A text's candidates are gathered into one row before they meet its words, so no row holds more than a text's worth.
+    """
+    docs = documents.select(*key, F.xxhash64("text").alias("_t"), "text")
+    # A generator keeps the words from being split again for each use of them.
+    split = docs.select(*key, "_t", F.explode(F.array(words(F.col("text")))).alias("_w"))
+    # One array per text is exploded: a row per word that kept the words beside it would hold them once for each word,
+    # and what one input row is exploded to is buffered whole wherever a codegen stage ends.
+    none = F.array().cast("array<struct<a:int,h:bigint>>")
+
+    def hashed(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.struct(i.alias("a"), _window_hash("_w", i, n).alias("h")))
+        return F.when(F.size("_w") >= n, each).otherwise(none)
+
+    hashes = [hashed(n) for n in sizes]
+    places = split.select(*key, "_t", F.inline(F.concat(*hashes)).alias("_at", "_h"))
+    met = places.join(windows.select("h", "size", "shingle"), F.col("_h") == F.col("h"))
+    near = met.groupBy(*key, "_t").agg(F.collect_set(F.struct("_at", "size", "shingle")).alias("_c"))
+
+    def on(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Joined by key and text, null keys included."""
+        other = right.withColumnsRenamed({c: f"_r_{c}" for c in [*key, "_t"]})
+        same = F.col("_t") == F.col("_r__t")
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        return left.join(other, same, how).drop(*[f"_r_{c}" for c in [*key, "_t"]])
+
+    # Repeated rows bring the same text, so any of them will do.
+    texts = on(docs, near, "inner").select(*key, "_t", "_c", F.explode(F.array(words(F.col("text")))).alias("_w"))
+    sure = texts.select(*key, "_t", F.filter("_c", lambda c: c["shingle"] == F.array_join(F.slice("_w", c["_at"] + 1, c["size"]), " ")).alias("_c"))
+    sure = settle(sure.where(F.size("_c") > 0).dropDuplicates([*key, "_t"]), "hits")
+    spans = sure.select(*key, "_t", F.sort_array(F.transform("_c", lambda c: F.struct(c["_at"].alias("a"), (c["_at"] + c["size"]).alias("z")))).alias("_spans"))
+    held = sure.select(*key, "_t", F.explode(F.array_distinct(F.transform("_c", lambda c: c["shingle"]))).alias("shingle"))
+    named = held.join(windows.select("shingle", F.explode("items").alias("_i")), "shingle").groupBy(*key, "_t").agg(F.sort_array(F.collect_set("_i")).alias("items"))
+    every = split.groupBy(*key, "_t").agg(F.max(F.size("_w")).alias("n_words"), F.count("*").alias("_copies"))
+    full = on(on(every, spans, "left"), named, "left")
+    return _report(full.withColumn("_spans", F.coalesce("_spans", F.array())).withColumn("items", F.coalesce("items", F.array())), key)
+
+
 def _merged(spans: Column) -> Column:
     """Sorted ranges with overlapping and touching ones joined."""
     empty = F.array().cast("array<struct<a:int,z:int>>")
