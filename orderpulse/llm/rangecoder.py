@@ -2,13 +2,14 @@
 
 For each id, what last followed the two ids before it (order 2) and the one before it (order 1) is predicted. How sure
 both are, and whether they agree, picks the adaptive odds of order 2 being right, of order 1 being right, and of
-neither; in the last case the id's class comes from adaptive order-0 counts and its low bits follow evenly. All that
-drives one 64-bit range coder. A block starts from nothing and keeps its own state, so blocks are coded side by side,
-one id of each at a time, in numpy arrays; a block can be read alone and its checksum tells whether it is whole.
+neither; in the last case order 0 codes the id itself by its share of the segment's ids. Those shares are the segment's
+table, written once in front of its blocks with a checksum of its own. All that drives one 64-bit range coder. A block
+starts from the table alone and keeps its own state, so blocks are coded side by side, one id of each at a time, in
+numpy arrays; a block can be read alone and its checksum tells whether it is whole.
 
 Defined cases: a null or empty text is its end id alone; documents of equal id are in order of their texts; null ids
-come first; an empty table gives an empty file; other columns are ignored, whatever their names; a block whose ids
-don't fit its checksum raises an error.
+come first; an empty table gives an empty file; other columns are ignored, whatever their names; a table of shares or a
+block whose ids don't fit its checksum raises an error.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from orderpulse.llm.common import settle
 from orderpulse.llm.tokens import encoder, slices, with_end
 
 #: Ids of a block, blocks coded side by side, and ids after which a segment ends with its document.
-BLOCK, LANES = 1024, 4096
+BLOCK, LANES = 4096, 1024
 SEGMENT = BLOCK * LANES
-#: Ids must be below this bound: a range of 2^32 then still parts the rarest id of the rarest class.
+#: Ids must be below this bound: a range of 2^32 then still parts the rarest id, as order 0 has 64 of 4096 shares at least.
 BOUND = 1 << 19
 _U, _I = np.uint64, np.int64
-_SLOTS1, _SLOTS2, _CLASSES, _ROW, _REFRESH = 256, 512, 80, 128, 64
+_SLOTS1, _SLOTS2 = 1024, 2048
+#: Bits of the sum of a table's shares: the fewest, the most, and those beyond the number of its ids.
+_LEAST_BITS, _MOST_BITS, _MORE_BITS = 16, 21, 5
 _ONE = 4096
 #: The odds approach these bounds, never 0 or 1, so that every case keeps a share of the range.
 _SELDOM, _OFTEN2, _OFTEN1 = 32, 3840, 3072
@@ -39,32 +42,53 @@ _LEAST, _LOW = _U(1 << 32), _U((1 << 32) - 1)
 _12, _32 = _U(12), _U(32)
 
 
+class Table:
+    """Order 0: the share of each id, an integer of at least 1 for those that occur; the shares sum to 2^bits."""
+
+    def __init__(self, ids: np.ndarray, shares: np.ndarray, bits: int):
+        self.ids, self.shares, self.bits = ids.astype(_I), shares.astype(_I), bits
+        bound = int(self.ids[-1]) + 1 if len(ids) else 0
+        self.share, self.below = np.zeros(bound, _I), np.zeros(bound, _I)
+        self.share[self.ids], self.below[self.ids] = self.shares, np.cumsum(self.shares) - self.shares
+
+    @classmethod
+    def of(cls, ids: np.ndarray, counts: np.ndarray) -> Table:
+        """Shares in proportion to counts; `ids` ascend."""
+        bits = min(max(len(ids).bit_length() + _MORE_BITS, _LEAST_BITS), _MOST_BITS)
+        counts = counts.astype(np.float64)
+        shares = 1 + (counts * (((1 << bits) - len(ids)) / counts.sum())).astype(_I)
+        shares[np.argmax(shares)] += (1 << bits) - shares.sum()
+        return cls(ids, shares, bits)
+
+    @classmethod
+    def plain(cls) -> Table:
+        """Shares for ids of which nothing is known: every id can be coded, those of 16 bits are likelier."""
+        ids = np.arange(BOUND)
+        return cls.of(ids, np.where(ids < 1 << 16, 1.0, 0.001))
+
+    def dump(self) -> bytes:
+        """Steps between ids, then shares, byte planes apart."""
+        both = np.concatenate([np.diff(self.ids, prepend=0), self.shares]).astype("<u4")
+        return bytes([self.bits]) + zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 9)
+
+    @classmethod
+    def load(cls, raw: bytes) -> Table:
+        planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(4, -1)
+        both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(_I)
+        half = len(both) // 2
+        return cls(np.cumsum(both[:half]), both[half:], raw[0])
+
+
 class Model:
     """The adaptive state of `lanes` blocks."""
 
     def __init__(self, lanes: int):
         rows = np.arange(lanes)
-        self.one, self.two, self.state, self.table = rows * _SLOTS1, rows * _SLOTS2, rows * 32, rows * _ROW
+        self.one, self.two, self.state = rows * _SLOTS1, rows * _SLOTS2, rows * 32
         # What followed: (id + 1) * 4 + confidence.
         self.after1, self.after2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)
         self.odds2, self.odds1 = np.full(lanes * 32, _ONE // 4, _I), np.full(lanes * 32, _ONE // 4, _I)
-        self.counts = np.ones(lanes * _ROW, np.int32)
-        # What lies beyond the classes is above every share, for the search.
-        self.cum = np.full(lanes * _ROW, _ONE + 1, _I)
-        self.cum[self.table] = 0
         self.last1, self.last2 = np.zeros(lanes, _I), np.zeros(lanes, _I)
-        self.step = 0
-        self._refresh()
-
-    def _refresh(self) -> None:
-        """Cumulative order-0 frequencies that sum to `_ONE`, none below 4."""
-        counts = self.counts.reshape(-1, _ROW)[:, :_CLASSES]
-        total = counts.sum(axis=1, keepdims=True)
-        cum = self.cum.reshape(-1, _ROW)
-        cum[:, 1:_CLASSES + 1] = np.cumsum(counts, axis=1, dtype=_I) * (_ONE - 4 * _CLASSES) // total + 4 * np.arange(1, _CLASSES + 1)
-        if total.max() > 16 * _ONE:
-            counts[(total > 16 * _ONE)[:, 0]] //= 2
-            np.maximum(counts, 1, out=counts)
 
     def predict(self, k: int) -> None:
         """Predictions e1 and e2 and the shares f2 and f1 of the first k lanes."""
@@ -77,26 +101,15 @@ class Model:
         self.f2, self.odds = self.odds2[self.at], self.odds1[self.at]
         self.f1 = (_ONE - self.f2) * self.odds >> 12
 
-    def update(self, x: np.ndarray, coded: np.ndarray, same2: np.ndarray, same1: np.ndarray, plain: np.ndarray) -> None:
-        """x: the ids; coded: (id + 1) * 4; plain: places of the classes of ids that neither order predicted."""
+    def update(self, x: np.ndarray, coded: np.ndarray, same2: np.ndarray, same1: np.ndarray) -> None:
+        """x: the ids; coded: (id + 1) * 4; same2 and same1: which ids the orders predicted."""
         self.odds2[self.at] = self.f2 + (np.where(same2, _OFTEN2, _SELDOM) - self.f2 >> 5)
         self.odds1[self.at] = self.odds + np.where(same2, 0, np.where(same1, _OFTEN1, _SELDOM) - self.odds >> 5)
         self.after2[self.at2] = np.where(same2, self.e2 + (self.c2 < 3), np.where(self.c2 > 0, self.e2 - 1, coded))
         self.after1[self.at1] = np.where(same1, self.e1 + (self.c1 < 3), np.where(self.c1 > 0, self.e1 - 1, coded))
-        self.counts[plain] += 24
         k = len(x)
         self.last2[:k] = self.last1[:k] * 25717
         self.last1[:k] = x
-        self.step += 1
-        if self.step % _REFRESH == 0 or self.step in (8, 16, 32):
-            self._refresh()
-
-
-def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of ids (bit length of id + 4 and the two bits after the first), the number of low bits left, and these."""
-    y = ids.astype(np.int32) + 4
-    low = np.frexp(y.astype(np.float32))[1] - 3
-    return (low * 4 + (y >> low & 3)).astype(_I), low.astype(_U), (y & (1 << low) - 1).astype(_U)
 
 
 def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +119,14 @@ def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return go, ~same[go]
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids as bytes."""
+def encode(blocks: list[np.ndarray], table: Table | None = None) -> list[bytes]:
+    """Each block of ids as bytes, by the shares of a table that knows all of them."""
+    table = table or Table.plain()
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     found: list[bytes] = [b""] * len(blocks)
     for a in range(0, len(order), LANES):
         mine = order[a:a + LANES]
-        for k, raw in zip(mine, _encode([blocks[k] for k in mine]), strict=True):
+        for k, raw in zip(mine, _encode([blocks[k] for k in mine], table), strict=True):
             found[k] = raw
     return found
 
@@ -127,18 +141,19 @@ def _matrix(blocks: list[np.ndarray], longest: int) -> np.ndarray:
     return np.ascontiguousarray(ids.T)
 
 
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+def _encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     """Blocks of falling lengths."""
     lanes, longest = len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
     ids = _matrix(blocks, longest)
-    model = Model(lanes)
+    if any(len(b) and (int(b.max()) >= len(table.share) or not table.share[b].all()) for b in blocks):
+        raise ValueError("the table of shares lacks an id")
+    model, shift = Model(lanes), _U(table.bits)
+    share0, below0 = table.share.view(_U), table.below.view(_U)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     space = longest * 3 // 2 + 8
     out, end = np.zeros(lanes * space, np.uint32), np.arange(lanes) * space
     for t in range(longest):
-        if t % _REFRESH == 0:
-            ahead_class, ahead_bits, ahead_low = _class_of(ids[t:t + _REFRESH])
         k = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t))
         x = ids[t, :k]
         model.predict(k)
@@ -151,13 +166,10 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         r = width[:k] >> _12
         l, w = low[:k] + r * begin.view(_U), r * share.view(_U)
         plain = np.flatnonzero(~known)
-        at = t % _REFRESH
-        places = model.table[plain] + ahead_class[at, plain]
-        cum = model.cum[places]
-        r = w[plain] >> _12
-        part = r * (model.cum[places + 1] - cum).view(_U) >> ahead_bits[at, plain]
-        l[plain] += r * cum.view(_U) + part * ahead_low[at, plain]
-        w[plain] = part
+        y = x[plain]
+        part = w[plain] >> shift
+        l[plain] += part * below0[y]
+        w[plain] = part * share0[y]
         go, cut = _settled(l, w)
         if len(go):
             lg, wg = l[go], w[go]
@@ -166,23 +178,24 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             end[go] += 1
             l[go], w[go] = lg << _32, wg << _32
         low[:k], width[:k] = l, w
-        model.update(x, coded, same2, same1, places)
+        model.update(x, coded, same2, same1)
     out[end], out[end + 1] = low >> _32, low & _LOW
     return [out[k * space:end[k] + 2].astype("<u4").tobytes() for k in range(lanes)]
 
 
-def decode(blocks: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of each block."""
+def decode(blocks: list[bytes], sizes: list[int], table: Table | None = None) -> list[np.ndarray]:
+    """The ids of each block, by the table it was coded with."""
+    table = table or Table.plain()
     order = sorted(range(len(blocks)), key=lambda k: -sizes[k])
     found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for a in range(0, len(order), LANES):
         mine = order[a:a + LANES]
-        for k, ids in zip(mine, _decode([blocks[k] for k in mine], np.array([sizes[k] for k in mine])), strict=True):
+        for k, ids in zip(mine, _decode([blocks[k] for k in mine], np.array([sizes[k] for k in mine]), table), strict=True):
             found[k] = ids
     return found
 
 
-def _decode(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+def _decode(blocks: list[bytes], sizes: np.ndarray, table: Table) -> list[np.ndarray]:
     lanes, longest = len(blocks), int(sizes[0])
     space = max(len(b) for b in blocks) // 4 + 3
     data = np.zeros((lanes, space), np.uint32)
@@ -191,7 +204,9 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     data, at = data.ravel(), np.arange(lanes) * space
     last = at + space - 1
     ids = np.zeros((longest, lanes), np.int32)
-    model = Model(lanes)
+    model, shift = Model(lanes), _U(table.bits)
+    share0, below0, most = table.share.view(_U), table.below.view(_U), _U((1 << table.bits) - 1)
+    owner = np.repeat(table.ids.astype(np.int32), table.shares)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     value = data[at].astype(_U) << _32 | data[at + 1].astype(_U)
     at = at + 2
@@ -209,22 +224,11 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         l, w = l + r * begin.view(_U), r * share.view(_U)
         x = (np.where(in2, model.e2, model.e1) >> 2) - 1
         plain = np.flatnonzero(~known)
-        r = w[plain] >> _12
-        rest = v[plain] - l[plain]
-        share = np.minimum(rest // r, _U(_ONE - 1)).view(_I)
-        base = model.table[plain]
-        places = base.copy()
-        for step in (64, 32, 16, 8, 4, 2, 1):
-            places += step * (model.cum[places + step] <= share)
-        cum = model.cum[places]
-        classes = places - base
-        bits = classes >> 2
-        begin = r * cum.view(_U)
-        part = r * (model.cum[places + 1] - cum).view(_U) >> bits.view(_U)
-        tail = np.minimum(((rest - begin) // part).view(_I), (1 << bits) - 1)
-        l[plain] += begin + part * tail.view(_U)
-        w[plain] = part
-        x[plain] = ((4 | classes & 3) << bits | tail) - 4
+        part = w[plain] >> shift
+        y = owner[np.minimum((v[plain] - l[plain]) // part, most).view(_I)]
+        l[plain] += part * below0[y]
+        w[plain] = part * share0[y]
+        x[plain] = y
         go, cut = _settled(l, w)
         if len(go):
             lg, wg = l[go], w[go]
@@ -236,12 +240,12 @@ def _decode(blocks: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         low[:k], width[:k] = l, w
         ids[t, :k] = x
         coded = (x + 1) * 4
-        model.update(x, coded, (model.e2 ^ coded) < 4, (model.e1 ^ coded) < 4, places)
+        model.update(x, coded, (model.e2 ^ coded) < 4, (model.e1 ^ coded) < 4)
     ids = np.ascontiguousarray(ids.T).astype(np.uint32)
     return [ids[k, :n].copy() for k, n in enumerate(sizes)]
 
 
-_FILE = "file int, segment long, first long, doc_ids array<long>, sizes array<long>, blocks array<struct<n:int,crc:long,data:binary>>"
+_FILE = "file int, segment long, first long, doc_ids array<long>, sizes array<long>, head struct<crc:long,data:binary>, blocks array<struct<n:int,crc:long,data:binary>>"
 
 
 def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataFrame:
@@ -257,11 +261,13 @@ def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataF
         def row() -> pa.RecordBatch:
             flat = np.concatenate(held)
             blocks = [flat[k:k + BLOCK] for k in range(0, len(flat), BLOCK)]
-            coded = [{"n": len(b), "crc": zlib.crc32(b.astype("<u4").tobytes()), "data": d} for b, d in zip(blocks, encode(blocks), strict=True)]
+            table = Table.of(*np.unique(flat, return_counts=True))
+            head = table.dump()
+            coded = [{"n": len(b), "crc": zlib.crc32(b.astype("<u4").tobytes()), "data": d} for b, d in zip(blocks, encode(blocks, table), strict=True)]
             kind = pa.list_(pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("data", pa.binary())]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int32()), pa.array([segment], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([coded], kind)],
-                ["file", "segment", "first", "doc_ids", "sizes", "blocks"],
+                [pa.array([file], pa.int32()), pa.array([segment], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([{"crc": zlib.crc32(head), "data": head}], pa.struct([("crc", pa.int64()), ("data", pa.binary())])), pa.array([coded], kind)],
+                ["file", "segment", "first", "doc_ids", "sizes", "head", "blocks"],
             )
 
         for batch in slices(batches):
@@ -296,10 +302,12 @@ def read(files: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                file, segment, names, sizes, blocks = (row.column(c)[0] for c in ("file", "segment", "doc_ids", "sizes", "blocks"))
+                file, segment, names, sizes, head, blocks = (row.column(c)[0] for c in ("file", "segment", "doc_ids", "sizes", "head", "blocks"))
                 first = row.column("first")[0].as_py()
-                parts = blocks.values
-                found = decode([d.as_buffer().to_pybytes() for d in parts.field("data")], parts.field("n").to_pylist())
+                parts, head = blocks.values, head.as_py()
+                if zlib.crc32(head["data"]) != head["crc"]:
+                    raise ValueError(f"file {file}, segment {segment}: the table of shares doesn't fit its checksum")
+                found = decode([d.as_buffer().to_pybytes() for d in parts.field("data")], parts.field("n").to_pylist(), Table.load(head["data"]))
                 for number, (ids, crc) in enumerate(zip(found, parts.field("crc").to_pylist(), strict=True)):
                     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
                         raise ValueError(f"file {file}, segment {segment}, block {number}: the ids don't fit the checksum")
@@ -312,5 +320,5 @@ def read(files: DataFrame) -> DataFrame:
                     ["file", "segment", "doc_id", "place", "n_tokens", "ids"],
                 )
 
-    decoded = files.select("file", "segment", "first", "doc_ids", "sizes", "blocks").mapInArrow(work, "file int, segment long, doc_id long, place long, n_tokens long, ids binary")
+    decoded = files.select("file", "segment", "first", "doc_ids", "sizes", "head", "blocks").mapInArrow(work, "file int, segment long, doc_id long, place long, n_tokens long, ids binary")
     return decoded.join(F.broadcast(begin), "file").select("file", "segment", "doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", "ids")
