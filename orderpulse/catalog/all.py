@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["cleaning", "facts", "features", "detectors", "events", "rules", "evaluation", "candidates", "models", "reports", "sources", "runs", "backtests", "modelling", "closing", "checking"]
+FAMILIES = ["cleaning", "facts", "features", "detectors", "events", "rules", "evaluation", "candidates", "models", "reports", "sources", "runs", "backtests", "modelling", "closing", "checking", "reviewing"]
 
 for _name in FAMILIES:
     importlib.import_module(f"orderpulse.catalog.{_name}")

@@ -15,7 +15,7 @@ OF = ["candidate_id", "cutoff_month"]
 FORBIDDEN_CLAIMS = ["guaranteed churn", "confirmed lost customer", "automatic dispatch", "exact churn date"]
 MAX_CARDS, MAX_EVIDENCE = 5, 3
 BUNDLE = """bundle_id string, candidate_id string, cutoff_month date, candidate_type string, final_candidate_status string, review_priority string,
-    evidence_strength string, probability double, probability_display_level string, survival_state string, auto_dispatch_allowed boolean,
+    evidence_strength string, demand_shape_label string, probability double, probability_display_level string, survival_state string, auto_dispatch_allowed boolean,
     detectors array<struct<detector_name: string, severity: string>>, allowed_claims string, forbidden_claims array<string>"""
 
 
@@ -51,7 +51,7 @@ def evidence_bundles(status: DataFrame, outputs: DataFrame) -> DataFrame:
     joined = status.join(hits, OF, "left").withColumn("detectors", F.coalesce("detectors", F.array().cast("array<struct<detector_name: string, severity: string>>")))
     shown = F.when(F.col("probability_display_level") == "probability_allowed", F.col("p"))
     body = F.struct(
-        F.concat(F.lit("bundle|"), "candidate_id").alias("bundle_id"), "candidate_id", "cutoff_month", "candidate_type", "final_candidate_status", "review_priority", "evidence_strength",
+        F.concat(F.lit("bundle|"), "candidate_id").alias("bundle_id"), "candidate_id", "cutoff_month", "candidate_type", "final_candidate_status", "review_priority", "evidence_strength", "demand_shape_label",
         shown.alias("probability"), "probability_display_level", "survival_state", "auto_dispatch_allowed", "detectors",
         F.lit("monthly analyst review candidate; evidence is proxy based; human review required").alias("allowed_claims"), F.array(*[F.lit(c) for c in FORBIDDEN_CLAIMS]).alias("forbidden_claims"))
     return joined.select(*OF, F.to_json(body).alias("bundle"))
