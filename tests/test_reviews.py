@@ -1,10 +1,14 @@
-"""Audits of evidence bundles on bundles with planted faults, and the stratified sample against plain Python."""
+"""Audits of evidence bundles with planted faults, the stratified sample against plain Python, horizon views, distributions."""
 
 import datetime as dt
 from collections import defaultdict
 
+import pytest
+
 from orderpulse.operators import closure as C
 from orderpulse.operators import reviews as V
+from orderpulse.operators import serving as G
+from orderpulse.operators import survival as SV
 
 DAY = dt.date(2020, 6, 30)
 RECURRING, OBSERVED = "recurring_business_priority", "demand_shape_observation"
@@ -70,3 +74,33 @@ def test_stratified_sample(spark):
     want = {r[0] for column, limits in V.STRATA.items() for value, n in limits.items() for r in sorted((r for r in rows if r[place[column]] == value), key=order)[:n]}
     got = [r["candidate_id"] for r in V.stratified_sample(df, "score", ["candidate_id", "cutoff_month"]).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def view(spark, horizon, profiles, frame=None):
+    rows = frame or [("e1", DAY, "H6", "own", "source"), ("e2", DAY, "H3", "own", None), ("e3", DAY, None, "own", None)]
+    entities = spark.createDataFrame(rows, "risk_entity_id string, report_month date, primary_horizon string, risk_level string, involved_amount_source string")
+    made = spark.createDataFrame(profiles, "risk_entity_id string, report_month date, horizon string, risk_probability double, risk_level string, involved_amount_source string, updated_at int")
+    found, notices = G.horizon_view(entities, made, horizon)
+    return {r["risk_entity_id"]: r.asDict() for r in found.collect()}, notices
+
+
+def test_horizon_view(spark):
+    profiles = [("e1", DAY, "H12", 0.9, "red", None, 1), ("e1", DAY, "H12", 0.2, "low", None, 2), ("e1", DAY, "H12", 0.5, "yellow", None, None), ("e2", DAY, "H12", None, None, "twelve", 1), ("e2", DAY, "H3", 0.3, "low", "three", 1), ("e1", DAY, "H3", 0.3, "low", "three", 1)]
+    far, notices = view(spark, "H12", profiles)
+    # The latest profile goes first, what it leaves out stays the entity's own, and e3 has none.
+    assert not notices and sorted(far) == ["e1", "e2"]
+    assert (far["e1"]["profile_risk_probability"], far["e1"]["risk_level"], far["e1"]["involved_amount_source"], far["e1"]["selected_horizon"]) == (0.2, "low", "source", "H12")
+    assert (far["e2"]["profile_risk_probability"], far["e2"]["risk_level"], far["e2"]["involved_amount_source"]) == (None, "own", "twelve")
+    near, _ = view(spark, "H3", profiles)
+    assert sorted(near) == ["e2"] and near["e2"]["involved_amount_source"] == "three"
+    own, notices = view(spark, "H6", profiles)
+    assert sorted(own) == ["e1"] and own["e1"]["risk_level"] == "own" and notices == ["HORIZON_PROFILE_NOT_AVAILABLE"]
+    with pytest.raises(ValueError, match="H9"):
+        view(spark, "H9", profiles)
+
+
+def test_distributions(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("b", 2)], "x string, y int")
+    got = {(r["field"], r["value"]): (r["row_count"], r["share"]) for r in SV.distributions(df, ["x", "y"]).collect()}
+    assert got == {("x", "a"): (2, 0.5), ("x", "b"): (1, 0.25), ("x", "__MISSING__"): (1, 0.25), ("y", "1"): (2, 0.5), ("y", "2"): (1, 0.25), ("y", "__MISSING__"): (1, 0.25)}
+    assert SV.distributions(df.limit(0), ["x"]).count() == 0
