@@ -7,6 +7,7 @@ from orderpulse.catalog import closing
 from orderpulse.catalog import features as FQ
 from orderpulse.catalog.base import query, rnd
 from orderpulse.functions.exprs import round_all
+from orderpulse.operators import candidates as K
 from orderpulse.operators import closure as C
 from orderpulse.operators import results as T
 from orderpulse.operators import reviews as V
@@ -126,3 +127,15 @@ def _(spark, sf):
     views = [G.horizon_view(entities, profiles, h)[0] for h in ("H3", "H6", "H12")]
     every = views[0].unionByName(views[1]).unionByName(views[2])
     return round_all(every.select("risk_entity_id", "report_month", "selected_horizon", "profile_risk_probability", "involved_amount_source", "risk_level"), 6)
+
+
+@query("candidates_display_overlap", """
+WITH u AS (SELECT entity_id, cutoff_month, bool_or(r) AS r, bool_or(NOT r) AS o FROM (SELECT entity_id, cutoff_month, true AS r FROM sel UNION ALL SELECT entity_id, cutoff_month, false FROM ob) GROUP BY ALL),
+m AS (SELECT *, entity_id IN (SELECT entity_id FROM feat WHERE sample_class = 'one_shot') AS s FROM u)
+SELECT entity_id, cutoff_month, r AS in_recurring_business_priority, o AS in_demand_shape_observation, s AS in_one_shot_attention,
+  CASE WHEN r THEN 'recurring_business_priority' ELSE 'demand_shape_observation' END AS recommended_display_bucket,
+  CASE WHEN r AND o AND s THEN 'demand_shape_observation;one_shot_attention' WHEN r AND o THEN 'demand_shape_observation' WHEN s THEN 'one_shot_attention' ELSE '' END AS suppressed_display_sources FROM m
+""")
+def _(spark, sf):
+    one = CQ.entity_features(spark, sf).where("sample_class = 'one_shot'")
+    return K.display_overlap(CQ.selected(spark, sf), CQ.observations(spark, sf), one)

@@ -207,6 +207,26 @@ def pool_overlap(pools: Mapping[str, DataFrame], key: Sequence[str]) -> DataFram
     return per.groupBy("pools").agg(F.count(F.lit(1)).alias("entity_count"))
 
 
+#: The pools in the order in which they are shown; a row is shown in the first that holds it.
+DISPLAY_POOLS = ["recurring_business_priority", "demand_shape_observation", "one_shot_attention"]
+
+
+def display_overlap(recurring: DataFrame, observation: DataFrame, one_shot: DataFrame) -> DataFrame:
+    """Per entity and cutoff of the first two pools: the pool that shows it and those that are suppressed.
+
+    An entity counts as one-shot at every cutoff if it is one at any.
+    """
+    key, flags = ["entity_id", "cutoff_month"], [f"in_{p}" for p in DISPLAY_POOLS]
+    first = recurring.select(*key, F.lit(True).alias(flags[0]), F.lit(False).alias(flags[1]))
+    second = observation.select(*key, F.lit(False).alias(flags[0]), F.lit(True).alias(flags[1]))
+    held = first.unionByName(second).groupBy(*key).agg(*[F.bool_or(c).alias(c) for c in flags[:2]])
+    once = one_shot.select("entity_id").distinct().withColumn(flags[2], F.lit(True))
+    marked = held.join(once, "entity_id", "left").fillna(False, [flags[2]])
+    pools = labels_where([(F.col(c), p) for c, p in zip(flags, DISPLAY_POOLS, strict=True)])
+    return marked.withColumn("_p", pools).select(
+        *key, *flags, F.get("_p", F.lit(0)).alias("recommended_display_bucket"), F.array_join(F.slice("_p", 2, len(DISPLAY_POOLS)), ";").alias("suppressed_display_sources"))
+
+
 def row_decomposition(df: DataFrame) -> DataFrame:
     """Distinct counts at row, entity x cutoff and entity grain."""
     return df.agg(

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from orderpulse.operators import candidates as K
 from orderpulse.operators import closure as C
 from orderpulse.operators import reviews as V
 from orderpulse.operators import serving as G
@@ -104,3 +105,14 @@ def test_distributions(spark):
     got = {(r["field"], r["value"]): (r["row_count"], r["share"]) for r in SV.distributions(df, ["x", "y"]).collect()}
     assert got == {("x", "a"): (2, 0.5), ("x", "b"): (1, 0.25), ("x", "__MISSING__"): (1, 0.25), ("y", "1"): (2, 0.5), ("y", "2"): (1, 0.25), ("y", "__MISSING__"): (1, 0.25)}
     assert SV.distributions(df.limit(0), ["x"]).count() == 0
+
+
+def test_display_overlap(spark):
+    later = dt.date(2020, 7, 31)
+    frame = lambda rows: spark.createDataFrame(rows, "entity_id string, cutoff_month date")
+    recurring = frame([("a", DAY), ("a", DAY), ("a", later), ("b", DAY), ("d", DAY)])
+    found = K.display_overlap(recurring, frame([("a", DAY), ("b", DAY), ("c", DAY), ("e", DAY)]), frame([("b", later), ("c", later), ("f", DAY)])).collect()
+    first, second, third = K.DISPLAY_POOLS
+    assert {(r["entity_id"], r["cutoff_month"]): (r["recommended_display_bucket"], r["suppressed_display_sources"]) for r in found} == {
+        ("a", DAY): (first, second), ("a", later): (first, ""), ("b", DAY): (first, f"{second};{third}"), ("c", DAY): (second, third), ("d", DAY): (first, ""), ("e", DAY): (second, "")}
+    assert len(found) == 6
