@@ -1,9 +1,11 @@
-"""Katz backoff scoring: Good-Turing discounted unigrams and bigrams with exactly normalised backoff weights.
+"""Katz backoff scoring: Good-Turing discounted n-grams of up to three words with exactly normalised backoff weights.
 
 Tokens are words (A-Z lower-cased, split at ASCII white space) and one end per text. P(w|v) is r*/c(v) for a pair seen
 r times, else alpha(v) P(w), and P(w) if v was never seen; P(w) is c*/N, and all unknown words share what is left.
 Counts up to `K` lose what Good-Turing takes, with counts of counts over all training texts; higher ones lose half a
 count, so that every context leaves something to the unseen. alpha(v) is what v leaves over the words unseen after v.
+With order 3, P(w|u,v) is r*/c(u,v) for a triple seen r times, else alpha(u,v) P(w|v), and P(w|v) if u, v was never
+seen; triples have discounts of their own, a text's start is the u of its second token, and its first is a pair.
 
 How it runs: word counts come first, in a table. Then every chunk of texts sends its pairs, with the texts that hold
 them, to buckets of their second word, where all counts of that word and its pairs meet. What depends on a pair is
@@ -14,6 +16,11 @@ are dealt by both words of the pair, and the masses of first words as frequent a
 that their back-offs can stay in the buckets where they arise. Pairs of two words of a large share are counted
 beforehand and never sent.
 
+The third order is what it changes of the second's score. The chunks also send their triples, to buckets of the pair of
+their last two words (of the middle word, if that is rare). There a seen triple's terms take the place of its pair's,
+and a pair's count is taken off where the pair is a context. The counts of each context's triples, and the texts that
+backed off from it, go on to buckets of the context, where alpha(u,v) is computed.
+
 Defined cases: a null or empty text is one end; a null id is learnt from and not held out; rows that repeat count as
 often as they come and each gets its score; without training texts every probability is 1; an empty table gives no
 rows; other columns are ignored, whatever their names.
@@ -41,7 +48,7 @@ HALF = 0.5
 CHUNK, BUCKET = 6_000_000, 1_200_000
 #: Frequent words that every task knows by number (12 bytes each), and those whose pairs are counted beforehand.
 KNOWN, HOT = 1 << 20, 256
-END, BOS = np.uint64(1), np.uint64(2)
+END, BOS, NONE = np.uint64(1), np.uint64(2), np.uint64(3)
 _U = np.uint64
 
 
@@ -230,7 +237,7 @@ def count_hot_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 _MESSAGE = "kind int, dest long, chunk long, blob binary"
-_TO_SECOND, _TO_FIRST, _TO_TEXT, _STATS, _MASS = 0, 1, 2, 3, 4
+_TO_SECOND, _TO_FIRST, _TO_TEXT, _STATS, _MASS, _TO_TRIPLE, _TO_CONTEXT, _STATS3 = range(8)
 
 
 def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -261,9 +268,47 @@ class Sums:
         return pack(self.score, self.base, self.known, *self.seen.T, *more)
 
 
-def _send(docs: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFrame:
-    """Messages to the buckets of second words, to those of first words (hot pairs never seen), and to the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _send_triples(voc: Vocabulary, chunk: int, buckets: int, names: np.ndarray, second: np.ndarray, first: np.ndarray, text: np.ndarray, train: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Messages to the buckets of triples: a pair's triples come together, a rare middle word's too; only the triples of
+    hot pairs with more than a bucket is meant for are dealt by all three words."""
+    names = np.append(names, NONE)
+    third = np.empty_like(first)
+    third[1:] = first[:-1]
+    third[first == len(names) - 2] = len(names) - 1
+    pairs, pair = np.unique(second * len(names) + first, return_inverse=True)
+    code = pair * len(names) + third
+    order = np.argsort(code, kind="stable")
+    code, text = code[order], text[order]
+    at = _runs(code, text)
+    n = np.diff(at, append=len(code))
+    code, text = code[at], text[at]
+    kinds = _runs(code)
+    texts = np.diff(kinds, append=len(code))
+    pair, u = code[kinds] // len(names), code[kinds] % len(names)
+    w, v = pairs[pair] // len(names), pairs[pair] % len(names)
+    hot, here = voc.hots(names), voc.lookup(names)[0] | (names == BOS)
+    dest = np.where(here[v], _mixed(names[w], names[v]), _mixed(names[v]))
+    both = np.flatnonzero((hot[w] >= 0) & (hot[v] >= 0))
+    split = both[voc.pairs[hot[v[both]], hot[w[both]]] > voc.most]
+    dest[split] = _mixed(dest[split], names[u[split]])
+    dest = (dest % _U(buckets)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    found, a = [], 0
+    for z in [*(np.flatnonzero(np.diff(dest[order])) + 1).tolist(), len(order)]:
+        some, a = order[a:z], z
+        entry = np.repeat(kinds[some] - (np.cumsum(texts[some]) - texts[some]), texts[some]) + np.arange(texts[some].sum())
+        parts = []
+        for x in (w, v, u):
+            words, own = np.unique(names[x[some]], return_inverse=True)
+            parts += [*voc.squeeze(words), own]
+        found.append((_TO_TRIPLE, int(dest[some[0]]), chunk, pack(*parts, texts[some], text[entry], n[entry], train[text[entry]].astype(np.uint8))))
+    return found
+
+
+def _send(docs: DataFrame, vocabulary: Vocabulary, buckets: int, order: int = 2) -> DataFrame:
+    """Messages to the buckets of second words, to those of first words (hot pairs never seen), and to the texts; with
+    order 3 to the buckets of triples too."""
+    shared, triples = docs.sparkSession.sparkContext.broadcast(vocabulary), order == 3
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
@@ -289,6 +334,8 @@ def _send(docs: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFrame:
                     out.append((_TO_FIRST, int(dest), chunk, pack(*voc.squeeze(words), *[np.zeros(0)] * 1, *[np.zeros(0, np.int64)] * (K + 2), own, text[mine], np.ones(len(mine), np.int64), np.zeros(len(mine), np.int64), np.array([chunk], np.int64))))
             ids = batch.column("doc_id")
             out.append((_TO_TEXT, chunk, chunk, sums.blob(np.bincount(text, minlength=size), pc.fill_null(ids, 0).to_numpy().view(np.uint64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), train.astype(np.uint8))))
+            if triples:
+                yield _rows(_send_triples(voc, chunk, buckets, names, second, first, text, train))
             first, second, text = first[~both], second[~both], text[~both]
             code = second * len(names) + first
             order = np.argsort(code, kind="stable")
@@ -340,8 +387,12 @@ def _second_words(shared, buckets: int):
     def solve(bucket: int, messages: list) -> Iterator[pa.RecordBatch]:
         voc = shared.value
         # What is not for this bucket's words passes through.
-        yield _rows([(k, bucket if k == _TO_FIRST else c, c, b) for k, c, b in messages if k != _TO_SECOND])
+        yield _rows([(k, bucket if k == _TO_FIRST else c, c, b) for k, c, b in messages if k not in (_TO_SECOND, _TO_TRIPLE)])
+        triples = [m for m in messages if m[0] == _TO_TRIPLE]
         messages = [m for m in messages if m[0] == _TO_SECOND]
+        if triples:
+            yield _rows(_triples(voc, buckets, bucket, triples))
+            del triples
         if not messages:
             return
         ws, vs, texts, ns, trains, sizes, chunks, counts = [], [], [], [], [], [], [], []
@@ -416,6 +467,104 @@ def _second_words(shared, buckets: int):
     return solve
 
 
+def _triples(voc: Vocabulary, buckets: int, bucket: int, messages: list) -> list[tuple[int, int, int, bytes]]:
+    """Counts of the triples of a bucket and the terms by which the third order changes the second's score.
+
+    Where a triple was seen, its own share replaces that of its pair; where it was not, its first two words back off. A
+    context's count is taken off each time the context is met, in the bucket that counts it as a pair.
+    """
+    sides, counts, texts, ns, trains, wheres, chunks = ([], [], []), [], [], [], [], [], []
+    for number, (_, chunk, blob) in enumerate(messages):
+        *words, per, text, n, train = unpack(blob)
+        for k, side in enumerate(sides):
+            side.append(voc.stretch(words[3 * k], words[3 * k + 1])[words[3 * k + 2]])
+        counts.append(per.astype(np.int64))
+        texts.append(text.astype(np.int64))
+        ns.append(n.astype(np.int64))
+        trains.append(train.astype(bool))
+        wheres.append(np.full(len(text), number))
+        chunks.append(chunk)
+    (w, wi), (v, vi), (u, ui) = (np.unique(np.concatenate(side), return_inverse=True) for side in sides)
+    pair, own = np.unique(wi * len(v) + vi, return_inverse=True)
+    triple, own = np.unique(own * len(u) + ui, return_inverse=True)
+    entry = np.repeat(own, np.concatenate(counts))
+    text, n, where = np.concatenate(texts), np.concatenate(ns), np.concatenate(wheres)
+    of, u = triple // len(u), u[triple % len(u)]
+    w, v = w[pair // len(v)], v[pair % len(v)]
+    r3 = np.bincount(entry, n * np.concatenate(trains), len(triple)).astype(np.int64)
+    r2 = np.bincount(of, r3, len(pair)).astype(np.int64)
+    a, b = voc.hots(v), voc.hots(w)
+    hot = (a >= 0) & (b >= 0)
+    r2[hot] = voc.pairs[a[hot], b[hot]]
+    # A word that is not known beforehand has all its pairs as a first word in this bucket.
+    here, c = voc.lookup(v)
+    word, which = np.unique(v, return_inverse=True)
+    c = np.where(here, c, np.bincount(which, r2, len(word)).astype(np.int64)[which])
+    opens = u == NONE
+    r3[opens] = 0
+    out = [(_STATS3, -1, -1, np.bincount(np.minimum(r3, K + 2), minlength=K + 3)[1:K + 2].astype(np.int64).tobytes())]
+    seen = r3 > 0
+    # As a context of what follows, then as a triple in place of its pair.
+    term = np.where(w == END, 0.0, -np.log10(np.maximum(r2, 1)))[of]
+    term[seen] += np.log10(np.maximum(c[of[seen]], 1)) + np.where(r3[seen] > K, np.log10(np.maximum(r3[seen] - HALF, HALF)), 0.0) - np.where(r2[of[seen]] > K, np.log10(np.maximum(r2[of[seen]] - HALF, HALF)), 0.0)
+    low3, low2 = np.where(r3 <= K, r3, 0)[entry], np.where(seen & (r2[of] <= K), r2[of], 0)[entry]
+    # The texts met here: not one place for every text of the chunks, as most are met in few buckets.
+    most = int(text.max()) + 1
+    met, at = np.unique(where * most + text, return_inverse=True)
+    sums = [np.bincount(at, n * term[entry], len(met))]
+    for low in (low3, low2):
+        sums += [np.bincount(at[low == k], n[low == k], len(met)).astype(np.int64) for k in range(1, K + 1)]
+    bounds = np.searchsorted(met // most, np.arange(len(chunks) + 1))
+    for chunk, i, j in zip(chunks, bounds[:-1], bounds[1:], strict=True):
+        out.append((_TO_TEXT, chunk, chunk, pack(met[i:j] % most, *[x[i:j] for x in sums], np.zeros(0))))
+    # Counts of the triples of each context, and the texts whose triple was never seen.
+    key = _mixed(u, v[of])
+    missed = np.flatnonzero((~seen & ~opens)[entry])
+    some = np.flatnonzero(seen)
+    dest, m_dest = (key[some] % _U(buckets)).astype(np.int64), (key[entry[missed]] % _U(buckets)).astype(np.int64)
+    order, by = np.lexsort((key[some], dest)), np.argsort(m_dest, kind="stable")
+    some, missed, dest, m_dest = some[order], missed[by], dest[order], m_dest[by]
+    for d in np.union1d(dest, m_dest).tolist():
+        mine, late = some[slice(*np.searchsorted(dest, [d, d + 1]))], missed[slice(*np.searchsorted(m_dest, [d, d + 1]))]
+        keys, idx = np.unique(key[entry[late]], return_inverse=True)
+        starts = _runs(key[mine])
+        out.append((_TO_CONTEXT, d, bucket, pack(key[mine[starts]], np.diff(starts, append=len(mine)), c[of[mine[starts]]], r3[mine], r2[of[mine]], keys, idx, text[late], n[late], where[late], np.array(chunks, np.int64))))
+    return out
+
+
+def _contexts(star: np.ndarray, star3: np.ndarray):
+    """alpha of the contexts of two words of a bucket, and the terms of the texts that backed off from them."""
+
+    def solve(bucket: int, messages: list) -> Iterator[pa.RecordBatch]:
+        names, held, missed = [], [], []
+        for _, _, blob in messages:
+            key, per, c, r3, r2, keys, idx, text, n, where, chunks = unpack(blob)
+            names.append(np.repeat(key, per.astype(np.int64)))
+            held.append((np.repeat(c, per.astype(np.int64)).astype(np.float64), r3.astype(np.int64), r2.astype(np.int64)))
+            if len(idx):
+                missed.append((keys[idx], chunks.astype(np.int64)[where], text.astype(np.int64), n.astype(np.float64)))
+        if not missed:
+            return
+        key, chunk, text, n = (np.concatenate(x) for x in zip(*missed, strict=True))
+        asked, of = np.unique(key, return_inverse=True)
+        seen = np.concatenate(names)
+        at = np.minimum(np.searchsorted(asked, seen), len(asked) - 1)
+        use = asked[at] == seen
+        at, (c, r3, r2) = at[use], (np.concatenate(x)[use] for x in zip(*held, strict=True))
+        left = np.bincount(at, np.where(r3 <= K, r3 - star3[np.minimum(r3, K)], HALF), len(asked))
+        q = np.bincount(at, np.where(r2 <= K, star[np.minimum(r2, K)], r2 - HALF) / c, len(asked))
+        weight = np.where(left > 0, np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - q, 1e-15)), 0.0)
+        term = n * weight[of]
+        order = np.lexsort((text, chunk))
+        chunk, text, term = chunk[order], text[order], term[order]
+        starts = _runs(chunk, text)
+        chunk, text, term = chunk[starts], text[starts], np.add.reduceat(term, starts)
+        bounds = [*_runs(chunk).tolist(), len(chunk)]
+        yield _rows([(_TO_TEXT, int(chunk[a]), int(chunk[a]), pack(text[a:z], term[a:z])) for a, z in zip(bounds, bounds[1:])])
+
+    return solve
+
+
 def _heavy_weights(met: DataFrame, voc: Vocabulary, star: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The heavy first words in order and log10(c(v) alpha(v)) of each; their number is below that of the buckets."""
     columns = ["q", *[f"m{k}" for k in range(K + 2)]]
@@ -491,16 +640,19 @@ def context_weight(m: np.ndarray, q: np.ndarray, star: np.ndarray) -> np.ndarray
     return np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - q, 1e-15))
 
 
-def _texts(shared, star: np.ndarray):
+def _texts(shared, star: np.ndarray, star3: np.ndarray):
     """Adds a chunk's terms up: one row for each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(messages: list[bytes]) -> pa.RecordBatch:
             voc, parts, late, own = shared.value, [], [], None
+            logs = np.log10(np.concatenate([star3[1:], 1 / star[1:]]))
             for blob in messages:
                 arrays = unpack(blob)
                 if len(arrays) == 2:
                     late.append(arrays)
+                elif len(arrays) == 2 * K + 3:
+                    late.append((arrays[0], arrays[1] + logs @ np.stack([x.astype(np.float64) for x in arrays[2:-1]])))
                 else:
                     parts.append(arrays[:K + 3])
                     own = arrays[K + 3:] or own
@@ -534,8 +686,17 @@ def _texts(shared, star: np.ndarray):
     return work
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Scores of all texts by the model of those that are not held out (column held)."""
+def _discounts(met: DataFrame, kind: int, coc: np.ndarray) -> np.ndarray:
+    """r* from the counts of counts of all buckets, added to `coc`."""
+    for row in met.where(F.col("kind") == kind).select("blob").toLocalIterator():
+        coc = coc + np.frombuffer(row[0], np.int64)
+    return discounted(coc.tolist())
+
+
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Scores of all texts by the model of those that are not held out (column held), of words in pairs or triples."""
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     spark = docs.sparkSession
     texts = docs.where(~F.col("held")).count()
     table = unigrams(docs)
@@ -544,16 +705,16 @@ def score(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-voc.n // BUCKET))
     shared = spark.sparkContext.broadcast(voc)
-    met = settle(_grouped(_send(docs, voc, buckets), buckets, _second_words(shared, buckets)), "pairs")
-    coc = np.bincount(np.minimum(voc.pairs.ravel(), K + 2), minlength=K + 3)[1:K + 2].astype(np.int64)
-    for row in met.where(F.col("kind") == _STATS).select("blob").toLocalIterator():
-        coc = coc + np.frombuffer(row[0], np.int64)
-    star = discounted(coc.tolist())
+    met = settle(_grouped(_send(docs, voc, buckets, order), buckets, _second_words(shared, buckets)), "pairs")
+    star = _discounts(met, _STATS, np.bincount(np.minimum(voc.pairs.ravel(), K + 2), minlength=K + 3)[1:K + 2].astype(np.int64))
+    star3 = _discounts(met, _STATS3, np.zeros(K + 1, np.int64))
     weights = spark.sparkContext.broadcast(_heavy_weights(met, voc, star))
     backed = _grouped(met.where(F.col("kind") == _TO_FIRST), buckets, _first_words(shared, star, _hot_masses(voc, buckets), weights))
     every = met.where(F.col("kind") == _TO_TEXT).unionByName(backed)
+    if order == 3:
+        every = every.unionByName(_grouped(met.where(F.col("kind") == _TO_CONTEXT), buckets, _contexts(star, star3)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return every.select("dest", "blob").repartition("dest").sortWithinPartitions("dest").mapInArrow(_texts(shared, star), schema)
+    return every.select("dest", "blob").repartition("dest").sortWithinPartitions("dest").mapInArrow(_texts(shared, star, star3), schema)
 
 
 def _hot_sums(voc: Vocabulary) -> np.ndarray:

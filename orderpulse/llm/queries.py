@@ -34,9 +34,9 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 @register
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document under the Katz model of those that are not held out."""
+    """Log probability of every document under the trigram Katz model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return katz.score(docs.withColumn("held", katz.held_out(F.col("doc_id"))))
+    return katz.score(docs.withColumn("held", katz.held_out(F.col("doc_id"))), order=3)
 
 
 @register

@@ -141,3 +141,68 @@ def test_discounts_stay_inside():
     for coc in ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 9, 1, 9, 1, 9], [100, 40, 20, 10, 7, 5], [3, 3, 3, 3, 3, 3]):
         star = katz.discounted(coc)
         assert all(0 < star[r] < r for r in range(1, katz.K + 1))
+
+
+def brute3(rows):
+    """Scores of the recursion over triples, pairs and words, and P(w | u, v)."""
+    def words(t):
+        return [w.decode() for w in (t or "").encode().lower().split()]
+
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    _, p, uni, after = brute(rows)
+    tri = Counter()
+    for (_, t), h in zip(rows, held):
+        if not h:
+            seq = [None, *words(t), "\0end"]
+            tri.update(zip(seq, seq[1:], seq[2:]))
+    coc = Counter(tri.values())
+    star = katz.discounted([coc[r] for r in range(1, katz.K + 2)])
+    cut = lambda c: star[c] if c <= katz.K else c - katz.HALF
+    after3 = {}
+    for (a, b, c), r in tri.items():
+        after3.setdefault((a, b), {})[c] = r
+
+    def p3(w, a, b):
+        if (seen := after3.get((a, b))) is None:
+            return p(w, b)
+        total = sum(seen.values())
+        if w in seen:
+            return cut(seen[w]) / total
+        return (1 - sum(map(cut, seen.values())) / total) / (1 - sum(p(x, b) for x in seen)) * p(w, b)
+
+    found = []
+    for (i, t), h in zip(rows, held):
+        seq = [None, *words(t), "\0end"]
+        found.append((i, h, len(seq) - 1, math.log10(p(seq[1], None)) + sum(math.log10(p3(c, a, b)) for a, b, c in zip(seq, seq[1:], seq[2:]))))
+    return found, p3, uni, after3
+
+
+@pytest.mark.parametrize("name, limits", [
+    ("odd", {}), ("copies", {}), ("empty", {}), ("one", {}), ("odd", {"KNOWN": 0}), ("odd", {"BUCKET": 50, "HOT": 4}),
+    ("zipf", {"BUCKET": 200, "HOT": 60, "KNOWN": 30, "CHUNK": 9000}),
+])
+def test_triples_match_the_recursion(spark, monkeypatch, name, limits):
+    rows = CASES[name]
+    for k, x in limits.items():
+        monkeypatch.setattr(katz, k, x)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = katz.score(docs.withColumn("held", katz.held_out(F.col("doc_id"))), order=3)
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["score"]) for r in got.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[3])
+    for g, w in zip(sorted(got, key=key), sorted(brute3(rows)[0], key=key), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9, abs=1e-9)
+
+
+def test_triple_probabilities_sum_to_one():
+    _, p3, uni, after3 = brute3(CASES["zipf"])
+    for a, b in [*list(after3)[:20], ("w0", "never"), ("never", "w0")]:
+        assert sum(p3(w, a, b) for w in [*uni, "unknown word"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_query_scores_triples(spark, tmp_path):
+    rows = corpus(5, 60, 15, 12)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    from orderpulse.llm.queries import QUERIES
+
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op1_katz_backoff"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: pytest.approx(r[3], rel=1e-9) for r in brute3(rows)[0]}
