@@ -27,7 +27,7 @@ from orderpulse.llm.common import settle
 from orderpulse.llm.tokens import encoder, slices, with_end
 
 #: Ids of a block, blocks coded side by side, and ids after which a segment ends with its document.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 SEGMENT = BLOCK * LANES
 #: Ids must be below this bound: a range of 2^32 then still parts the rarest id, as order 0 has 64 of 4096 shares at least.
 BOUND = 1 << 19
@@ -40,6 +40,11 @@ _ONE = 4096
 _SELDOM, _OFTEN2, _OFTEN1 = 32, 3840, 3072
 _LEAST, _LOW = _U(1 << 32), _U((1 << 32) - 1)
 _12, _32 = _U(12), _U(32)
+#: By order: slots, bits of a place that are dropped, and what its odds approach when it is right.
+_MASKS, _SHIFTS = np.array([[_SLOTS1 - 1], [_SLOTS2 - 1]]), np.array([[4], [3]])
+_OFTEN = np.array([[_OFTEN1], [_OFTEN2]])
+#: Rows of a matrix whose places in the tables are found at once.
+_ROWS = 64
 
 
 class Table:
@@ -80,43 +85,67 @@ class Table:
 
 
 class Model:
-    """The adaptive state of `lanes` blocks."""
+    """The adaptive state of `lanes` blocks; row 0 of a pair of rows is order 1, row 1 order 2."""
 
     def __init__(self, lanes: int):
         rows = np.arange(lanes)
-        self.one, self.two, self.state = rows * _SLOTS1, rows * _SLOTS2, rows * 32
+        self.slot, self.state = np.stack([rows * _SLOTS1, lanes * _SLOTS1 + rows * _SLOTS2]), (rows * 32).astype(np.int32)
+        # Where both orders predict the same.
+        self.agreed = self.state + np.int32(16)
         # What followed: (id + 1) * 4 + confidence.
-        self.after1, self.after2 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS2, np.int32)
-        self.odds2, self.odds1 = np.full(lanes * 32, _ONE // 4, _I), np.full(lanes * 32, _ONE // 4, _I)
-        self.last1, self.last2 = np.zeros(lanes, _I), np.zeros(lanes, _I)
-
-    def predict(self, k: int) -> None:
-        """Predictions e1 and e2 and the shares f2 and f1 of the first k lanes."""
-        mixed = self.last1[:k] * 40503
-        self.at1 = (mixed >> 4 & _SLOTS1 - 1) + self.one[:k]
-        self.at2 = (mixed + self.last2[:k] >> 3 & _SLOTS2 - 1) + self.two[:k]
-        self.e1, self.e2 = self.after1[self.at1], self.after2[self.at2]
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.at = self.state[:k] + (self.c2 * 4 + self.c1 + ((self.e1 ^ self.e2) < 4) * 16)
-        self.f2, self.odds = self.odds2[self.at], self.odds1[self.at]
-        self.f1 = (_ONE - self.f2) * self.odds >> 12
-
-    def update(self, x: np.ndarray, coded: np.ndarray, same2: np.ndarray, same1: np.ndarray) -> None:
-        """x: the ids; coded: (id + 1) * 4; same2 and same1: which ids the orders predicted."""
-        self.odds2[self.at] = self.f2 + (np.where(same2, _OFTEN2, _SELDOM) - self.f2 >> 5)
-        self.odds1[self.at] = self.odds + np.where(same2, 0, np.where(same1, _OFTEN1, _SELDOM) - self.odds >> 5)
-        self.after2[self.at2] = np.where(same2, self.e2 + (self.c2 < 3), np.where(self.c2 > 0, self.e2 - 1, coded))
-        self.after1[self.at1] = np.where(same1, self.e1 + (self.c1 < 3), np.where(self.c1 > 0, self.e1 - 1, coded))
-        k = len(x)
-        self.last2[:k] = self.last1[:k] * 25717
-        self.last1[:k] = x
-
-
-def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose upper word is decided, or whose range must be cut to decide it, and which of them are cut."""
-    same = (low ^ (low + width)) < _LEAST
-    go = np.flatnonzero(same | (width < _LEAST))
-    return go, ~same[go]
+        self.after = np.zeros(lanes * (_SLOTS1 + _SLOTS2), np.int32)
+        self.odds, self.part = np.full(lanes * 64, _ONE // 4, _I), np.array([[0], [lanes * 32]], np.int32)
+
+    def places(self, last1: np.ndarray, last2: np.ndarray) -> np.ndarray:
+        """Where the tables hold what followed the last id and the last two, of the first lanes or of rows of them."""
+        at = np.empty((*last1.shape[:-1], 2, last1.shape[-1]), _I)
+        np.multiply(last1, 40503, out=at[..., 0, :])
+        np.multiply(last2, 25717, out=at[..., 1, :])
+        at[..., 1, :] += at[..., 0, :]
+        at >>= _SHIFTS
+        at &= _MASKS
+        at += self.slot[:, :last1.shape[-1]]
+        return at
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictions of the first k lanes, both orders; the share f2 of order 2 and f2 + f1 of both."""
+        k = at.shape[1]
+        self.at, self.e = at, self.after[at]
+        e1, e2 = self.e
+        self.c = self.e & 3
+        mixed = self.c[1] << 2
+        mixed += self.c[0]
+        mixed += np.where((e1 ^ e2) < 4, self.agreed[:k], self.state[:k])
+        self.here = np.add(self.part, mixed, dtype=_I)
+        self.f = self.odds[self.here]
+        f2 = self.f[1]
+        both = _ONE - f2
+        both *= self.f[0]
+        both >>= 12
+        both += f2
+        return self.e, f2, both
+
+    def update(self, coded: np.ndarray, same: np.ndarray) -> None:
+        """coded: (id + 1) * 4; same: which ids the orders predicted."""
+        step = np.where(same, _OFTEN, _SELDOM)
+        step -= self.f
+        step >>= 5
+        # Order 1 has no say where order 2 is right.
+        step[0] *= ~same[1]
+        step += self.f
+        self.odds[self.here] = step
+        sure = self.c > 0
+        self.after[self.at] = np.where(same, self.e + (self.c < 3), np.where(sure, self.e - 1, coded))
+
+
+def _settle(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes whose upper word is decided, or whose range must be cut to decide it; their lower ends and widths."""
+    go = (width < _LEAST).nonzero()[0]
+    l, w = low[go], width[go]
+    cut = ((l ^ (l + w)) >= _LEAST).nonzero()[0]
+    if len(cut):
+        w[cut] = (~l[cut] + _U(1)) & _LOW
+    return go, l, w
 
 
 def encode(blocks: list[np.ndarray], table: Table | None = None) -> list[bytes]:
@@ -146,39 +175,49 @@ def _encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     lanes, longest = len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
     ids = _matrix(blocks, longest)
-    if any(len(b) and (int(b.max()) >= len(table.share) or not table.share[b].all()) for b in blocks):
+    lacks = table.share == 0
+    if any(len(b) and (int(b.max()) >= len(lacks) or lacks[b].any()) for b in blocks):
         raise ValueError("the table of shares lacks an id")
     model, shift = Model(lanes), _U(table.bits)
     share0, below0 = table.share.view(_U), table.below.view(_U)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     space = longest * 3 // 2 + 8
     out, end = np.zeros(lanes * space, np.uint32), np.arange(lanes) * space
-    for t in range(longest):
-        k = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t))
-        x = ids[t, :k]
-        model.predict(k)
-        coded = (x + 1) * 4
-        same2, same1 = (model.e2 ^ coded) < 4, (model.e1 ^ coded) < 4
-        f2, f1 = model.f2, model.f1
-        known = same2 | same1
-        begin = np.where(same2, 0, np.where(same1, f2, f2 + f1))
-        share = np.where(same2, f2, np.where(same1, f1, _ONE - f2 - f1))
-        r = width[:k] >> _12
-        l, w = low[:k] + r * begin.view(_U), r * share.view(_U)
-        plain = np.flatnonzero(~known)
-        y = x[plain]
-        part = w[plain] >> shift
-        l[plain] += part * below0[y]
-        w[plain] = part * share0[y]
-        go, cut = _settled(l, w)
-        if len(go):
-            lg, wg = l[go], w[go]
-            wg[cut] = (~lg[cut] + _U(1)) & _LOW
-            out[end[go]] = lg >> _32
-            end[go] += 1
+    before = np.zeros((2, lanes), np.int32)
+    for first in range(0, longest, _ROWS):
+        rows = ids[first:first + _ROWS]
+        past = np.concatenate([before, rows])
+        before = past[-2:]
+        # Past a block's end stands 0, which the table may lack.
+        places, shares, belows, codes = model.places(past[1:-1], past[:-2]), share0[rows], below0[rows], (rows + 1) * 4
+        for t, at, coded, s0, b0 in zip(range(first, longest), places, codes, shares, belows):
+            if sizes[-1] <= t:
+                k = int(np.searchsorted(-sizes, -t))
+                at, coded, s0, b0 = at[:, :k], coded[:k], s0[:k], b0[:k]
+            k = len(coded)
+            e, f2, both = model.predict(at)
+            same = (e ^ coded) < 4
+            same1, same2 = same
+            begin = np.where(same2, 0, np.where(same1, f2, both))
+            share = np.where(same2, f2, np.where(same1, both, _ONE))
+            share -= begin
+            w = width[:k] >> _12
+            l = w * begin.view(_U)
+            l += low[:k]
+            w *= share.view(_U)
+            plain = ~(same1 | same2)
+            part = w >> shift
+            w = np.where(plain, part * s0, w)
+            part *= b0
+            part *= plain
+            l += part
+            go, lg, wg = _settle(l, w)
+            to = end[go]
+            out[to] = lg >> _32
+            end[go] = to + 1
             l[go], w[go] = lg << _32, wg << _32
-        low[:k], width[:k] = l, w
-        model.update(x, coded, same2, same1)
+            low[:k], width[:k] = l, w
+            model.update(coded, same)
     out[end], out[end + 1] = low >> _32, low & _LOW
     return [out[k * space:end[k] + 2].astype("<u4").tobytes() for k in range(lanes)]
 
@@ -205,42 +244,40 @@ def _decode(blocks: list[bytes], sizes: np.ndarray, table: Table) -> list[np.nda
     last = at + space - 1
     ids = np.zeros((longest, lanes), np.int32)
     model, shift = Model(lanes), _U(table.bits)
-    share0, below0, most = table.share.view(_U), table.below.view(_U), _U((1 << table.bits) - 1)
-    owner = np.repeat(table.ids.astype(np.int32), table.shares)
+    both0, most = (table.below << 32 | table.share).view(_U), _U((1 << table.bits) - 1)
+    owner = np.repeat(table.ids.astype(np.min_scalar_type(len(table.share))), table.shares)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     value = data[at].astype(_U) << _32 | data[at + 1].astype(_U)
     at = at + 2
+    last1 = last2 = np.zeros(lanes, _I)
     for t in range(longest):
         k = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t))
-        model.predict(k)
-        f2, f1 = model.f2, model.f1
-        r = width[:k] >> _12
+        e, f2, both = model.predict(model.places(last1[:k], last2[:k]))
+        w = width[:k] >> _12
         l, v = low[:k], value[:k]
         off = v - l
-        in2 = off < r * f2.view(_U)
-        known = off < r * (f2 + f1).view(_U)
-        begin = np.where(in2, 0, np.where(known, f2, f2 + f1))
-        share = np.where(in2, f2, np.where(known, f1, _ONE - f2 - f1))
-        l, w = l + r * begin.view(_U), r * share.view(_U)
-        x = (np.where(in2, model.e2, model.e1) >> 2) - 1
-        plain = np.flatnonzero(~known)
-        part = w[plain] >> shift
-        y = owner[np.minimum((v[plain] - l[plain]) // part, most).view(_I)]
-        l[plain] += part * below0[y]
-        w[plain] = part * share0[y]
-        x[plain] = y
-        go, cut = _settled(l, w)
-        if len(go):
-            lg, wg = l[go], w[go]
-            wg[cut] = (~lg[cut] + _U(1)) & _LOW
-            here = at[go]
-            value[go] = value[go] << _32 | data[np.minimum(here, last[go])]
-            at[go] = here + 1
-            l[go], w[go] = lg << _32, wg << _32
+        in2, known = off < w * f2.view(_U), off < w * both.view(_U)
+        begin = np.where(in2, 0, np.where(known, f2, both))
+        share = np.where(in2, f2, np.where(known, both, _ONE))
+        share -= begin
+        l = l + w * begin.view(_U)
+        w *= share.view(_U)
+        x = (np.where(in2, e[1], e[0]) >> 2) - 1
+        plain = (~known).nonzero()[0]
+        lp, part = l[plain], w[plain] >> shift
+        y = owner[np.minimum((v[plain] - lp) // part, most).view(_I)]
+        own = both0[y]
+        l[plain], w[plain], x[plain] = lp + part * (own >> _32), part * (own & _LOW), y
+        go, lg, wg = _settle(l, w)
+        here = at[go]
+        value[go] = value[go] << _32 | data[np.minimum(here, last[go])]
+        at[go] = here + 1
+        l[go], w[go] = lg << _32, wg << _32
         low[:k], width[:k] = l, w
         ids[t, :k] = x
-        coded = (x + 1) * 4
-        model.update(x, coded, (model.e2 ^ coded) < 4, (model.e1 ^ coded) < 4)
+        coded = (x + 1) << 2
+        model.update(coded, (e ^ coded) < 4)
+        last1, last2 = x, last1
     ids = np.ascontiguousarray(ids.T).astype(np.uint32)
     return [ids[k, :n].copy() for k, n in enumerate(sizes)]
 
@@ -261,7 +298,8 @@ def write(docs: DataFrame, path: str, end: int, prefixed: bool = False) -> DataF
         def row() -> pa.RecordBatch:
             flat = np.concatenate(held)
             blocks = [flat[k:k + BLOCK] for k in range(0, len(flat), BLOCK)]
-            table = Table.of(*np.unique(flat, return_counts=True))
+            counts = np.bincount(flat)
+            table = Table.of(known := counts.nonzero()[0], counts[known])
             head = table.dump()
             coded = [{"n": len(b), "crc": zlib.crc32(b.astype("<u4").tobytes()), "data": d} for b, d in zip(blocks, encode(blocks, table), strict=True)]
             kind = pa.list_(pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("data", pa.binary())]))

@@ -3,6 +3,9 @@
 Both vocabularies split a text before a single space that stands between two other characters: the pieces are encoded
 on their own and give the ids of the whole. A text in which a space touches other white space or an end, or which may
 hold a special token, goes to the library whole.
+
+The vocabulary of words drops white space, lower-cases and never joins a letter to a mark after it other than an
+apostrophe, so that lines, cases and marks are parted beforehand there and fewer distinct words are left.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ _AWKWARD = rf"(?:^|{_SPACE}) | (?:$|{_SPACE})|<\|"
 #: A word of letters below U+0100, which are one word to either vocabulary and which no normal form or case rule joins,
 #: and the marks after it, which are another; an apostrophe may begin a word of its own and is left to the library.
 _PLAIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: A letter and a mark after it, which no piece of the vocabulary of words holds together.
+_JOINT = r"([A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~])"
+#: Characters that a normal form may join to a letter before them: its case then matters.
+_JOINS = r"[^\x{0}-\x{2ff}]"
 #: Words whose ids a worker keeps, some 200 bytes each, in either of two generations.
 KEPT = 350_000
 #: Bytes of text that are encoded at once, but at least one text.
@@ -65,11 +72,13 @@ class Encoder:
                 continue
             word = words[k]
             if (x := old.get(word)) is None:
-                plain = _PLAIN(word)
-                if plain is None:
+                if word.isascii() and word.isalpha():
+                    core, tail = word, ""
+                elif plain := _PLAIN(word):
+                    core, tail = plain.groups()
+                else:
                     others.append(k)
                     continue
-                core, tail = plain.groups()
                 if self.folds:
                     core = core.lower()
                 if (x := new.get(core)) is None:
@@ -92,19 +101,27 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        found = [self._encode(texts.slice(a, z - a)) for a, z in _cuts(texts, STEP)]
+        found = [self._encode(texts.slice(a, z - a)) for a, z in _cuts(texts, STEP if self.prefixed else 2 * STEP)]
         return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
 
+    def _parted(self, texts: pa.Array) -> pa.Array:
+        """Texts of the same ids without their line ends, with a space between a letter and a mark, in lower case."""
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _JOINT, r"\1 \2")
+        if not self.folds:
+            return texts
+        lower, joins = pc.ascii_lower(texts), pc.match_substring_regex(texts, _JOINS)
+        return pc.if_else(joins, texts, lower) if pc.any(joins).as_py() else lower
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         awkward = pc.match_substring_regex(texts, _AWKWARD).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~awkward)) if awkward.any() else texts
-        split = pc.split_pattern(plain, " ")
+        split = pc.split_pattern(plain if self.prefixed else self._parted(plain), " ")
         offsets = np.asarray(split.offsets)
         words = split.values[offsets[0]:offsets[-1]]
         offsets = offsets - offsets[0]
         coded = words.dictionary_encode()
         at = np.asarray(coded.indices)
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = self._words(names, " " if self.prefixed else "")
         if self.prefixed:
             # The first word of a text has no space before it.
@@ -113,8 +130,7 @@ class Encoder:
             at = at.copy()
             at[first] = len(ids) + own
             ids += self._words([names[k] for k in seen], "")
-        flat, count = self._spread(ids, at)
-        ends = np.concatenate([[0], np.cumsum(count)])
+        flat, ends = self._spread(ids, at)
         lengths = ends[offsets[1:]] - ends[offsets[:-1]]
         if not awkward.any():
             return flat, lengths
@@ -130,13 +146,12 @@ class Encoder:
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
     def _spread(self, ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pool = np.frombuffer(b"".join(ids), self.dtype)
-        sizes = np.array([len(x) for x in ids], np.int64) // np.dtype(self.dtype).itemsize
-        begin = np.cumsum(sizes) - sizes
-        count = sizes[at] if len(at) else np.zeros(0, np.int64)
-        done = np.cumsum(count) - count
-        where = np.repeat(begin[at] - done, count) if len(at) else np.zeros(0, np.int64)
-        return pool[where + np.arange(len(where))], count
+        """The ids of the words of the numbers `at`, and where each of them begins and ends."""
+        if not len(at):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) // np.dtype(self.dtype).itemsize
+        return np.frombuffer(taken.buffers()[2] or b"", self.dtype, ends[-1]), ends
 
 
 def _cuts(texts: pa.Array, step: int) -> list[tuple[int, int]]:

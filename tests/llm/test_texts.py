@@ -346,6 +346,32 @@ def test_token_files_are_flat(spark, tmp_path, monkeypatch):
     assert separators.documents(blocks, 50256).join(names, ["file", "ordinal"]).count() == len(rows)
 
 
+def test_cases_lines_and_marks_are_parted_before_words_are_counted():
+    encoder = Encoder(WORD, False)
+    texts = ["Word. word, WORD;\nword\n\nWord"]
+    # A macron below joins h but not H, a caron j but not J: the case of a letter before a mark to join must stay.
+    parts = ["H\u0331", "J\u030c", "K\u0301", "h\u0331", "\u212a", "\u0130", "\u1e9e", "\u0149", "\u00c9.", "\u00aa,", "a.b", "Don't.", "X.'s", "'S", "O'St!", "1.", "A1b2", "...", "\n", "\r\n", " ", "C", "\u0345"]
+    rng = np.random.default_rng(5)
+    texts += ["".join(rng.choice(parts, 9)) for _ in range(400)] + ["".join(rng.choice(parts[9:-1], 9)) for _ in range(400)]
+    flat, n = encoder.encode(pa.array(texts[:1]))
+    assert set(encoder.kept[""]) == {"word", ".", ",", ";", ""}
+    flat, n = encoder.encode(pa.array(texts))
+    own, ends = Tokenizer.from_file(WORD), np.cumsum(n)
+    for t, a, z in zip(texts, ends - n, ends, strict=True):
+        assert flat[a:z].tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_range_coder_bytes_stay():
+    """The bytes of these blocks as they were before both orders were kept in one table."""
+    rng = np.random.default_rng(7)
+    words = [rng.integers(0, 40_000, 9) for _ in range(60)]
+    blocks = [np.concatenate([words[k] for k in rng.zipf(1.4, n) % 60])[:4096].astype(np.uint32) for n in (1, 40, 460, 460, 9)]
+    table = rangecoder.Table.of(*np.unique(np.concatenate(blocks), return_counts=True))
+    raw = rangecoder.encode(blocks, table)
+    assert zlib.crc32(b"".join(raw)) == 2757205438
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, rangecoder.decode(raw, [len(b) for b in blocks], table)))
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 49408, n).astype(np.uint32) for n in (1, 2, 5, 100, 4096, 777)]
