@@ -7,7 +7,7 @@ count, so that every context leaves something to the unseen. alpha(v) is what v
 With order 3, P(w|u,v) is r*/c(u,v) for a triple seen r times, else alpha(u,v) P(w|v), and P(w|v) if u, v was never
 seen; triples have discounts of their own, a text's start is the u of its second token, and its first is a pair.
 
-How it runs: word counts come first, in a table. Then every chunk of texts sends its pairs, with the texts that hold
+How pairs run: word counts come first, in a table. Then every chunk of texts sends its pairs, with the texts that hold
 them, to buckets of their second word, where all counts of that word and its pairs meet. What depends on a pair is
 added up there for each text; the masses of a first word, and the texts that backed off from it, go on to buckets of
 the first word, where alpha is computed. The recursion's terms so reach their text from three places and are added.
@@ -16,10 +16,13 @@ are dealt by both words of the pair, and the masses of first words as frequent a
 that their back-offs can stay in the buckets where they arise. Pairs of two words of a large share are counted
 beforehand and never sent.
 
-The third order is what it changes of the second's score. The chunks also send their triples, to buckets of the pair of
-their last two words (of the middle word, if that is rare). There a seen triple's terms take the place of its pair's,
-and a pair's count is taken off where the pair is a context. The counts of each context's triples, and the texts that
-backed off from it, go on to buckets of the context, where alpha(u,v) is computed.
+How triples run: a chunk sends each of its triples once, to a bucket of the middle word, which has all counts of the
+triples, of both their pairs and of the middle word. The bucket answers with the counts in the order in which the
+triples came, so that neither they nor the answer name a text. Only held out texts have triples never seen; those name
+their text, and their back-offs from two words and from one go on to buckets of the context and of the first word.
+Triples of a heavy middle word are dealt by their last two words and, if that pair is heavy too, by all three; the
+contexts they spread over meet in the bucket of the context. As a pair's count is also that of the context it makes,
+each triple divides by it on behalf of the next.
 
 Defined cases: a null or empty text is one end; a null id is learnt from and not held out; rows that repeat count as
 often as they come and each gets its score; without training texts every probability is 1; an empty table gives no
@@ -44,7 +47,7 @@ from orderpulse.llm.common import settle
 #: Counts up to this one are discounted by Good-Turing.
 K = 5
 HALF = 0.5
-#: Bytes of text of a chunk and pairs of a bucket, about: a task holds some 100 bytes for each pair.
+#: Bytes of text of a chunk and pairs of a bucket, about: a task holds some 100 bytes for each pair. Half as many triples.
 CHUNK, BUCKET = 6_000_000, 1_200_000
 #: Frequent words that every task knows by number (12 bytes each), and those whose pairs are counted beforehand.
 KNOWN, HOT = 1 << 20, 256
@@ -237,7 +240,7 @@ def count_hot_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 _MESSAGE = "kind int, dest long, chunk long, blob binary"
-_TO_SECOND, _TO_FIRST, _TO_TEXT, _STATS, _MASS, _TO_TRIPLE, _TO_CONTEXT, _STATS3 = range(8)
+_TO_SECOND, _TO_FIRST, _TO_TEXT, _STATS, _MASS, _TO_TRIPLE, _TO_CONTEXT, _STATS3, _OWN, _REPLY = range(10)
 
 
 def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -268,47 +271,9 @@ class Sums:
         return pack(self.score, self.base, self.known, *self.seen.T, *more)
 
 
-def _send_triples(voc: Vocabulary, chunk: int, buckets: int, names: np.ndarray, second: np.ndarray, first: np.ndarray, text: np.ndarray, train: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """Messages to the buckets of triples: a pair's triples come together, a rare middle word's too; only the triples of
-    hot pairs with more than a bucket is meant for are dealt by all three words."""
-    names = np.append(names, NONE)
-    third = np.empty_like(first)
-    third[1:] = first[:-1]
-    third[first == len(names) - 2] = len(names) - 1
-    pairs, pair = np.unique(second * len(names) + first, return_inverse=True)
-    code = pair * len(names) + third
-    order = np.argsort(code, kind="stable")
-    code, text = code[order], text[order]
-    at = _runs(code, text)
-    n = np.diff(at, append=len(code))
-    code, text = code[at], text[at]
-    kinds = _runs(code)
-    texts = np.diff(kinds, append=len(code))
-    pair, u = code[kinds] // len(names), code[kinds] % len(names)
-    w, v = pairs[pair] // len(names), pairs[pair] % len(names)
-    hot, here = voc.hots(names), voc.lookup(names)[0] | (names == BOS)
-    dest = np.where(here[v], _mixed(names[w], names[v]), _mixed(names[v]))
-    both = np.flatnonzero((hot[w] >= 0) & (hot[v] >= 0))
-    split = both[voc.pairs[hot[v[both]], hot[w[both]]] > voc.most]
-    dest[split] = _mixed(dest[split], names[u[split]])
-    dest = (dest % _U(buckets)).astype(np.int64)
-    order = np.argsort(dest, kind="stable")
-    found, a = [], 0
-    for z in [*(np.flatnonzero(np.diff(dest[order])) + 1).tolist(), len(order)]:
-        some, a = order[a:z], z
-        entry = np.repeat(kinds[some] - (np.cumsum(texts[some]) - texts[some]), texts[some]) + np.arange(texts[some].sum())
-        parts = []
-        for x in (w, v, u):
-            words, own = np.unique(names[x[some]], return_inverse=True)
-            parts += [*voc.squeeze(words), own]
-        found.append((_TO_TRIPLE, int(dest[some[0]]), chunk, pack(*parts, texts[some], text[entry], n[entry], train[text[entry]].astype(np.uint8))))
-    return found
-
-
-def _send(docs: DataFrame, vocabulary: Vocabulary, buckets: int, order: int = 2) -> DataFrame:
-    """Messages to the buckets of second words, to those of first words (hot pairs never seen), and to the texts; with
-    order 3 to the buckets of triples too."""
-    shared, triples = docs.sparkSession.sparkContext.broadcast(vocabulary), order == 3
+def _send(docs: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFrame:
+    """Messages to the buckets of second words, to those of first words (hot pairs never seen), and to the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
@@ -334,8 +299,6 @@ def _send(docs: DataFrame, vocabulary: Vocabulary, buckets: int, order: int = 2)
                     out.append((_TO_FIRST, int(dest), chunk, pack(*voc.squeeze(words), *[np.zeros(0)] * 1, *[np.zeros(0, np.int64)] * (K + 2), own, text[mine], np.ones(len(mine), np.int64), np.zeros(len(mine), np.int64), np.array([chunk], np.int64))))
             ids = batch.column("doc_id")
             out.append((_TO_TEXT, chunk, chunk, sums.blob(np.bincount(text, minlength=size), pc.fill_null(ids, 0).to_numpy().view(np.uint64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), train.astype(np.uint8))))
-            if triples:
-                yield _rows(_send_triples(voc, chunk, buckets, names, second, first, text, train))
             first, second, text = first[~both], second[~both], text[~both]
             code = second * len(names) + first
             order = np.argsort(code, kind="stable")
@@ -387,12 +350,8 @@ def _second_words(shared, buckets: int):
     def solve(bucket: int, messages: list) -> Iterator[pa.RecordBatch]:
         voc = shared.value
         # What is not for this bucket's words passes through.
-        yield _rows([(k, bucket if k == _TO_FIRST else c, c, b) for k, c, b in messages if k not in (_TO_SECOND, _TO_TRIPLE)])
-        triples = [m for m in messages if m[0] == _TO_TRIPLE]
+        yield _rows([(k, bucket if k == _TO_FIRST else c, c, b) for k, c, b in messages if k != _TO_SECOND])
         messages = [m for m in messages if m[0] == _TO_SECOND]
-        if triples:
-            yield _rows(_triples(voc, buckets, bucket, triples))
-            del triples
         if not messages:
             return
         ws, vs, texts, ns, trains, sizes, chunks, counts = [], [], [], [], [], [], [], []
@@ -467,69 +426,319 @@ def _second_words(shared, buckets: int):
     return solve
 
 
-def _triples(voc: Vocabulary, buckets: int, bucket: int, messages: list) -> list[tuple[int, int, int, bytes]]:
-    """Counts of the triples of a bucket and the terms by which the third order changes the second's score.
+class Numbers:
+    """Numbers of words: the known ones by falling count, then start, end and none; words beyond have a list of their own."""
+
+    def __init__(self, voc: Vocabulary):
+        by = np.argsort(-voc.counts, kind="stable")
+        self.voc, self.size = voc, len(by) + 3
+        self.rank = np.empty(len(by), np.int32)
+        self.rank[by] = np.arange(len(by), dtype=np.int32)
+        self.names = np.concatenate([voc.words[by], [BOS, END, NONE]])
+        self.counts = np.concatenate([voc.counts[by], [voc.texts, voc.texts, 0]])
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        found = np.full(len(names), -1, np.int32)
+        if len(self.rank):
+            at = np.minimum(np.searchsorted(self.voc.words, names), len(self.rank) - 1)
+            found = np.where(self.voc.words[at] == names, self.rank[at], found)
+        for k, name in enumerate((BOS, END, NONE)):
+            found[names == name] = self.size - 3 + k
+        return found
+
+
+def _planes(numbers: np.ndarray) -> list[np.ndarray]:
+    """The bytes of 32-bit numbers, the lowest of all first: they pack better than the numbers."""
+    return list(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T))
 
-    Where a triple was seen, its own share replaces that of its pair; where it was not, its first two words back off. A
-    context's count is taken off each time the context is met, in the bucket that counts it as a pair.
+
+def _send_triples(docs: DataFrame, shared, buckets: int) -> DataFrame:
+    """Messages to the buckets of triples and to the texts.
+
+    A triple goes to the bucket of its middle word; of its last two if the middle word is heavy; of all three if those
+    two are. A message holds a chunk's triples in the order of its texts, those of training texts first, so that the
+    answer needs no addresses; only triples of held out texts carry their text.
     """
-    sides, counts, texts, ns, trains, wheres, chunks = ([], [], []), [], [], [], [], [], []
-    for number, (_, chunk, blob) in enumerate(messages):
-        *words, per, text, n, train = unpack(blob)
-        for k, side in enumerate(sides):
-            side.append(voc.stretch(words[3 * k], words[3 * k + 1])[words[3 * k + 2]])
-        counts.append(per.astype(np.int64))
-        texts.append(text.astype(np.int64))
-        ns.append(n.astype(np.int64))
-        trains.append(train.astype(bool))
-        wheres.append(np.full(len(text), number))
-        chunks.append(chunk)
-    (w, wi), (v, vi), (u, ui) = (np.unique(np.concatenate(side), return_inverse=True) for side in sides)
-    pair, own = np.unique(wi * len(v) + vi, return_inverse=True)
-    triple, own = np.unique(own * len(u) + ui, return_inverse=True)
-    entry = np.repeat(own, np.concatenate(counts))
-    text, n, where = np.concatenate(texts), np.concatenate(ns), np.concatenate(wheres)
-    of, u = triple // len(u), u[triple % len(u)]
-    w, v = w[pair // len(v)], v[pair % len(v)]
-    r3 = np.bincount(entry, n * np.concatenate(trains), len(triple)).astype(np.int64)
-    r2 = np.bincount(of, r3, len(pair)).astype(np.int64)
-    a, b = voc.hots(v), voc.hots(w)
-    hot = (a >= 0) & (b >= 0)
-    r2[hot] = voc.pairs[a[hot], b[hot]]
-    # A word that is not known beforehand has all its pairs as a first word in this bucket.
-    here, c = voc.lookup(v)
-    word, which = np.unique(v, return_inverse=True)
-    c = np.where(here, c, np.bincount(which, r2, len(word)).astype(np.int64)[which])
-    opens = u == NONE
-    r3[opens] = 0
-    out = [(_STATS3, -1, -1, np.bincount(np.minimum(r3, K + 2), minlength=K + 3)[1:K + 2].astype(np.int64).tobytes())]
-    seen = r3 > 0
-    # As a context of what follows, then as a triple in place of its pair.
-    term = np.where(w == END, 0.0, -np.log10(np.maximum(r2, 1)))[of]
-    term[seen] += np.log10(np.maximum(c[of[seen]], 1)) + np.where(r3[seen] > K, np.log10(np.maximum(r3[seen] - HALF, HALF)), 0.0) - np.where(r2[of[seen]] > K, np.log10(np.maximum(r2[of[seen]] - HALF, HALF)), 0.0)
-    low3, low2 = np.where(r3 <= K, r3, 0)[entry], np.where(seen & (r2[of] <= K), r2[of], 0)[entry]
-    # The texts met here: not one place for every text of the chunks, as most are met in few buckets.
-    most = int(text.max()) + 1
-    met, at = np.unique(where * most + text, return_inverse=True)
-    sums = [np.bincount(at, n * term[entry], len(met))]
-    for low in (low3, low2):
-        sums += [np.bincount(at[low == k], n[low == k], len(met)).astype(np.int64) for k in range(1, K + 1)]
-    bounds = np.searchsorted(met // most, np.arange(len(chunks) + 1))
-    for chunk, i, j in zip(chunks, bounds[:-1], bounds[1:], strict=True):
-        out.append((_TO_TEXT, chunk, chunk, pack(met[i:j] % most, *[x[i:j] for x in sums], np.zeros(0))))
-    # Counts of the triples of each context, and the texts whose triple was never seen.
-    key = _mixed(u, v[of])
-    missed = np.flatnonzero((~seen & ~opens)[entry])
-    some = np.flatnonzero(seen)
-    dest, m_dest = (key[some] % _U(buckets)).astype(np.int64), (key[entry[missed]] % _U(buckets)).astype(np.int64)
-    order, by = np.lexsort((key[some], dest)), np.argsort(m_dest, kind="stable")
-    some, missed, dest, m_dest = some[order], missed[by], dest[order], m_dest[by]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        numbers = Numbers(voc)
+        chunk = (TaskContext.get().partitionId() << 32) - 1
+        for batch, names, second, first, text in _chunks(batches):
+            chunk += 1
+            size, train = batch.num_rows, _training(batch)
+            end, start = len(names) - 2, len(names) - 1
+            names = np.append(names, NONE)
+            third = np.empty_like(first)
+            third[1:] = first[:-1]
+            third[first == start] = start + 1
+            own = numbers.of(names)
+            c = numbers.counts[own]
+            here = own >= 0
+            known = here & (c > 0)
+            base = np.bincount(text, np.where(here, np.log10(c + 0.5), 0.0)[second], size)
+            n_known = np.bincount(text, known[second], size).astype(np.int64)
+            heavy, hot = voc.heavy(names), voc.hots(names)
+            dest = (_mixed(names) % _U(buckets)).astype(np.int64)[first]
+            dealt = np.flatnonzero(heavy[first])
+            w, v = second[dealt], first[dealt]
+            key = _mixed(names[w], names[v])
+            both = np.flatnonzero((hot[w] >= 0) & (hot[v] >= 0))
+            split = both[voc.pairs[hot[v[both]], hot[w[both]]] > voc.most]
+            key[split] = _mixed(key[split], names[third[dealt[split]]])
+            dest[dealt] = (key % _U(buckets)).astype(np.int64)
+            ids = batch.column("doc_id")
+            out = [(_OWN, chunk, chunk, pack(
+                dest, np.bincount(text, minlength=size), pc.fill_null(ids, 0).to_numpy().view(np.uint64),
+                ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), train.astype(np.uint8), base, n_known,
+            ))]
+            order, bounds = _by_bucket(dest, train[text])
+            sent = np.stack([second[order], first[order], third[order]])
+            mine, held = own[sent], ~train[text[order]]
+            for a, z in zip(bounds[:-1], bounds[1:]):
+                code = mine[:, a:z].ravel()
+                rare = np.flatnonzero(code < 0)
+                others, at = np.unique(names[sent[:, a:z].ravel()[rare]], return_inverse=True)
+                code[rare] = numbers.size + at
+                late = int(held[a:z].sum())
+                out.append((_TO_TRIPLE, int(dest[order[a]]), chunk, pack(*_planes(code), others, text[order[z - late:z]], np.array([late], np.int64))))
+            yield _rows(out)
+
+    return docs.select("doc_id", "text", "held").mapInArrow(work, _MESSAGE)
+
+
+def _by_bucket(dest: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk's triples are sent, and the bounds of its messages."""
+    key = dest * 2 + ~train
+    order = np.argsort(key.astype(np.min_scalar_type(int(key.max()))), kind="stable")
+    return order, np.append(_runs(dest[order]), len(order))
+
+
+def _triples(shared, buckets: int):
+    """Counts of the triples and pairs of a bucket, the answers to its chunks, and what is left to back-off.
+
+    An answer has for each triple of the message its count, that of its pair, and for middle words that are not known
+    beforehand their count (plus one) and whether the first two words were never seen. A pair's count is that of a
+    context as well; a text so divides by it without asking again.
+    """
+
+    def solve(bucket: int, messages: list) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        yield _rows([(k, c, c, b) for k, c, b in messages if k == _OWN])
+        messages = [m for m in messages if m[0] == _TO_TRIPLE]
+        if not messages:
+            return
+        numbers = Numbers(voc)
+        codes, others, lates, texts, chunks = [], [], [], [], []
+        for _, chunk, blob in messages:
+            *planes, other, text, late = unpack(blob)
+            codes.append(np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel().astype(np.int32).reshape(3, -1))
+            others.append(other.astype(np.uint64))
+            lates.append(int(late[0]))
+            texts.append(text.astype(np.int64))
+            chunks.append(chunk)
+        del messages
+        extra = np.unique(np.concatenate(others))
+        for code, other in zip(codes, others, strict=True):
+            if len(other):
+                own = numbers.size + np.searchsorted(extra, other)
+                rare = code >= numbers.size
+                code[rare] = own[code[rare] - numbers.size]
+        sizes = np.array([c.shape[1] for c in codes])
+        ends = np.cumsum(sizes)
+        train = np.ones(ends[-1], bool)
+        for z, late in zip(ends, lates):
+            train[z - late:z] = False
+        w, v, u = (np.concatenate([c[k] for c in codes]).astype(np.int64) for k in range(3))
+        del codes
+        names = np.concatenate([numbers.names, extra])
+        width, base = len(names), numbers.size
+        pair, of_pair = np.unique(v * width + w, return_inverse=True)
+        triple, own = np.unique(of_pair * width + u, return_inverse=True)
+        del w, v, u
+        r3 = np.bincount(own[train], minlength=len(triple))
+        r2 = np.bincount(of_pair[train], minlength=len(pair))
+        of, u = triple // width, triple % width
+        v, w = pair // width, pair % width
+        a, b = voc.hots(names[v]), voc.hots(names[w])
+        hot = (a >= 0) & (b >= 0)
+        r2[hot] = voc.pairs[a[hot], b[hot]]
+        word = _runs(v)
+        per = np.diff(word, append=len(v))
+        rare = v[word] >= base
+        c = np.where(rare, np.add.reduceat(r2, word), numbers.counts[np.minimum(v[word], base - 1)])
+        rare, c, heavy, of_word = np.repeat(rare, per), np.repeat(c, per), np.repeat(voc.heavy(names[v[word]]), per), np.repeat(np.arange(len(word)), per)
+        opens = u == base - 1
+        r3[opens] = 0
+        out = [(kind, -1, -1, np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1:K + 2].astype(np.int64).tobytes()) for kind, r in ((_STATS, r2[~hot]), (_STATS3, r3))]
+        # Contexts of middle words that are not known beforehand: all of them are here.
+        some = np.flatnonzero(rare[of])
+        context, at = np.unique(v[of[some]] * width + u[some], return_inverse=True)
+        met = np.bincount(at, r3[some], len(context)) > 0
+        fresh = np.zeros(len(triple), np.uint8)
+        fresh[some] = ~met[at]
+        count = np.where(rare, c + 1, 0)
+        for a, z, chunk in zip(ends - sizes, ends, chunks):
+            mine, two = own[a:z], of_pair[a:z]
+            out.append((_REPLY, chunk, bucket, pack(r3[mine], r2[two], count[two], fresh[mine])))
+        yield _rows(out)
+        out = []
+        # Masses that these words, as second ones, have in the contexts of the first.
+        first, at = np.unique(context[met] % width, return_inverse=True)
+        if len(first):
+            mass = np.zeros(width)
+            mass[v[word]] = 10 ** voc.log_p(c[word])
+            out += _masses(voc, buckets, names[first], np.bincount(at, mass[context[met] // width], len(first)))
+        # Held out triples never seen: their pair's terms, then the back-offs.
+        where = np.repeat(np.arange(len(chunks)), lates)
+        text, entry, two = np.concatenate(texts), own[~train], of_pair[~train]
+        missed = np.flatnonzero(r3[entry] == 0)
+        where, text, entry, two = where[missed], text[missed], entry[missed], two[missed]
+        chunks = np.array(chunks, np.int64)
+        alone = r2[two] == 0
+        term = np.where(opens[entry], 0.0, -np.log10(np.maximum(c[two], 1)))
+        plain = alone & (w[two] < base)
+        term[plain] += voc.log_p(numbers.counts[w[two[plain]]])
+        out += _to_texts(chunks[where], text, term)
+        ask = np.flatnonzero(alone & (c[two] > 0))
+        asked = np.zeros(len(word), bool)
+        asked[of_word[two[ask]]] = True
+        some = np.flatnonzero((r2 > 0) & ~hot & (asked | heavy[word])[of_word])
+        own_word, r = of_word[some], r2[some]
+        mass = np.bincount(own_word, np.where(w[some] < base, 10 ** voc.log_p(numbers.counts[np.minimum(w[some], base - 1)]), 0.0), len(word))
+        bins = [np.bincount(own_word[r == k], minlength=len(word)) for k in range(1, K + 1)]
+        bins += [np.bincount(own_word[r > K], r[r > K], len(word)).astype(np.int64), np.bincount(own_word[r > K], minlength=len(word))]
+        none = np.zeros(0, np.int64)
+        for kind in (False, True):
+            want = np.flatnonzero((heavy[word] == kind) & asked)
+            want = want[np.argsort(names[v[word[want]]])]
+            place = np.zeros(len(word), np.int64)
+            place[want] = np.arange(len(want))
+            late = ask[heavy[two[ask]] == kind]
+            if len(late):
+                sums = [np.zeros(0), *[none] * (K + 2)] if kind else [mass[want], *[x[want] for x in bins]]
+                out.append((_TO_FIRST, bucket, bucket, _addressed(voc, names[v[word[want]]], sums, [place[of_word[two[late]]], text[late], np.ones(len(late), np.int64), where[late], chunks])))
+        big = np.flatnonzero(heavy[word])
+        if len(big):
+            big = big[np.argsort(names[v[word[big]]])]
+            out.append((_MASS, -1, -1, _addressed(voc, names[v[word[big]]], [mass[big], *[x[big] for x in bins]], [])))
+        yield _rows(out)
+        yield _rows(_to_contexts(bucket, buckets, names, (of, u, v, c, heavy, r3, r2), (entry, two, text, where, np.flatnonzero(~opens[entry])), chunks))
+
+    return solve
+
+
+def _addressed(voc: Vocabulary, names: np.ndarray, sums: list, asks: list) -> bytes:
+    """A message about first words, which come in the order of their names: known ones by steps."""
+    return pack(*voc.squeeze(names), *sums, *asks)
+
+
+def _masses(voc: Vocabulary, buckets: int, names: np.ndarray, mass: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Messages with masses alone: to the table of heavy words and to the buckets of the others."""
+    order = np.argsort(names)
+    names, mass = names[order], mass[order]
+    heavy, found = voc.heavy(names), []
+    dest = np.where(heavy, -1, (_mixed(names) % _U(buckets)).astype(np.int64))
+    order = np.argsort(dest, kind="stable")
+    bounds = np.append(_runs(dest[order]), len(order))
+    for a, z in zip(bounds[:-1], bounds[1:]):
+        some, to = order[a:z], int(dest[order[a]])
+        nothing, none = [np.zeros(z - a, np.int64)] * (K + 2), [np.zeros(0, np.int64)] * 5
+        found.append((_MASS if to < 0 else _TO_FIRST, to, -1, _addressed(voc, names[some], [mass[some], *nothing], [] if to < 0 else none)))
+    return found
+
+
+def _to_texts(chunk: np.ndarray, text: np.ndarray, term: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Terms added up by text, a message for each chunk."""
+    order = np.lexsort((text, chunk))
+    chunk, text, term = chunk[order], text[order], term[order]
+    starts = _runs(chunk, text)
+    if not len(starts):
+        return []
+    chunk, text, term = chunk[starts], text[starts], np.add.reduceat(term, starts)
+    bounds = [*_runs(chunk).tolist(), len(chunk)]
+    return [(_TO_TEXT, int(chunk[a]), int(chunk[a]), pack(text[a:z], term[a:z])) for a, z in zip(bounds, bounds[1:])]
+
+
+def _to_contexts(bucket: int, buckets: int, names: np.ndarray, table: tuple, asks: tuple, chunks: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """The counts of contexts of two words, and the texts that back off from them. The contexts of a heavy middle word
+    are spread over buckets and meet in one of their own; others are whole here, and only those asked for go on."""
+    of, u, v, c, heavy, r3, r2 = table
+    entry, two, text, where, ask = asks
+    entry, two, text, where = entry[ask], two[ask], text[ask], where[ask]
+    wanted = _mixed(names[u[entry]], names[v[two]])
+    some = np.flatnonzero(r3 > 0)
+    key = _mixed(names[u[some]], names[v[of[some]]])
+    use = heavy[of[some]].copy()
+    if len(wanted):
+        asked = np.unique(wanted)
+        use |= asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key
+    some, key = some[use], key[use]
+    spread, m_spread = heavy[of[some]], heavy[two]
+    dest = np.where(spread, (key % _U(buckets)).astype(np.int64), bucket)
+    m_dest = np.where(m_spread, (wanted % _U(buckets)).astype(np.int64), bucket)
+    order, by = np.lexsort((key, dest)), np.argsort(m_dest, kind="stable")
+    some, key, dest, m_dest, found = some[order], key[order], dest[order], m_dest[by], []
     for d in np.union1d(dest, m_dest).tolist():
-        mine, late = some[slice(*np.searchsorted(dest, [d, d + 1]))], missed[slice(*np.searchsorted(m_dest, [d, d + 1]))]
-        keys, idx = np.unique(key[entry[late]], return_inverse=True)
+        mine, late = slice(*np.searchsorted(dest, [d, d + 1])), by[slice(*np.searchsorted(m_dest, [d, d + 1]))]
+        keys, idx = np.unique(wanted[late], return_inverse=True)
         starts = _runs(key[mine])
-        out.append((_TO_CONTEXT, d, bucket, pack(key[mine[starts]], np.diff(starts, append=len(mine)), c[of[mine[starts]]], r3[mine], r2[of[mine]], keys, idx, text[late], n[late], where[late], np.array(chunks, np.int64))))
-    return out
+        kept = some[mine]
+        found.append((_TO_CONTEXT, d, bucket, pack(
+            key[mine][starts], np.diff(starts, append=len(kept)), c[of[kept[starts]]], r3[kept], r2[of[kept]],
+            keys, idx, text[late], np.ones(len(late), np.int64), where[late], chunks,
+        )))
+    return found
+
+
+def _texts_of_triples(shared, star: np.ndarray, star3: np.ndarray):
+    """Puts the answers to a chunk in the order of its texts and adds their terms up: one row for each text."""
+
+    def logs(r: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+        return np.where(r > K, np.log10(np.maximum(r - HALF, HALF)), np.log10(np.append(1.0, discounts[1:]))[np.minimum(r, K)])
+
+    def solve(messages: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        voc, replies, late = shared.value, [], []
+        for kind, blob in messages:
+            if kind == _OWN:
+                dest, tokens, ids, valid, train, base, known = unpack(blob)
+            else:
+                (replies if kind == _REPLY else late).append(unpack(blob))
+        size = len(tokens)
+        tokens, known, score = tokens.astype(np.int64), known.astype(np.int64), np.zeros(size)
+        text = np.repeat(np.arange(size), tokens)
+        ends = np.zeros(len(text), bool)
+        ends[np.cumsum(tokens) - 1] = True
+        order, _ = _by_bucket(dest.astype(np.int64), train[text].astype(bool))
+        text, ends = text[order], ends[order]
+        r3, r2, count, fresh = (np.concatenate(x).astype(np.int64) for x in zip(*replies, strict=True))
+        term = np.where(r3 > 0, logs(r3, star3), logs(r2, star)) - np.where(ends, 0.0, np.log10(np.maximum(r2, 1)))
+        score = np.bincount(text, term, size)
+        rare = np.flatnonzero(count)
+        text, c, fresh = text[rare], count[rare] - 1, fresh[rare]
+        base = base + np.bincount(text, np.log10(c + 0.5), size)
+        known = known + np.bincount(text, c > 0, size).astype(np.int64)
+        score += np.bincount(text, fresh * voc.log_p(c), size)
+        for text, term in late:
+            score[text.astype(np.int64)] += term
+        if voc.texts:
+            score = score - np.log10(voc.texts)
+        return _scored(voc, ids, valid, train, tokens, known, base, score)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for kind, dest, blob in zip(*(batch.column(k).to_pylist() for k in ("kind", "dest", "blob")), strict=True):
+                if held and dest != last:
+                    yield solve(held)
+                    held = []
+                held.append((kind, blob))
+                last = dest
+        if held:
+            yield solve(held)
+
+    return work
 
 
 def _contexts(star: np.ndarray, star3: np.ndarray):
@@ -640,19 +849,24 @@ def context_weight(m: np.ndarray, q: np.ndarray, star: np.ndarray) -> np.ndarray
     return np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - q, 1e-15))
 
 
-def _texts(shared, star: np.ndarray, star3: np.ndarray):
+def _scored(voc: Vocabulary, ids, valid, train, tokens, known, base, score) -> pa.RecordBatch:
+    base = base - tokens * np.log10(voc.n + 0.5 * (voc.v + 1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids.view(np.int64), mask=valid == 0), pa.array(train == 0), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), voc.n, np.int64)), pa.array(base), pa.array(score)],
+        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
+
+
+def _texts(shared, star: np.ndarray):
     """Adds a chunk's terms up: one row for each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(messages: list[bytes]) -> pa.RecordBatch:
             voc, parts, late, own = shared.value, [], [], None
-            logs = np.log10(np.concatenate([star3[1:], 1 / star[1:]]))
             for blob in messages:
                 arrays = unpack(blob)
                 if len(arrays) == 2:
                     late.append(arrays)
-                elif len(arrays) == 2 * K + 3:
-                    late.append((arrays[0], arrays[1] + logs @ np.stack([x.astype(np.float64) for x in arrays[2:-1]])))
                 else:
                     parts.append(arrays[:K + 3])
                     own = arrays[K + 3:] or own
@@ -666,11 +880,7 @@ def _texts(shared, star: np.ndarray, star3: np.ndarray):
             tokens, ids, valid, train = own
             if voc.texts:
                 score = score - np.log10(voc.texts)
-            base = base - tokens * np.log10(voc.n + 0.5 * (voc.v + 1))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids.view(np.int64), mask=valid == 0), pa.array(train == 0), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), voc.n, np.int64)), pa.array(base), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            return _scored(voc, ids, valid, train, tokens, known, base, score)
 
         held, last = [], None
         for batch in batches:
@@ -703,18 +913,22 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     voc = Vocabulary(table, texts)
     voc.pairs = count_hot_pairs(docs, voc)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-voc.n // BUCKET))
+    if order == 3:
+        voc.most = max(1, BUCKET // 2)
+    buckets = max(parts, -(-voc.n // voc.most))
     shared = spark.sparkContext.broadcast(voc)
-    met = settle(_grouped(_send(docs, voc, buckets, order), buckets, _second_words(shared, buckets)), "pairs")
+    sent, solve = (_send(docs, voc, buckets), _second_words(shared, buckets)) if order == 2 else (_send_triples(docs, shared, buckets), _triples(shared, buckets))
+    met = settle(_grouped(sent, buckets, solve), "pairs")
     star = _discounts(met, _STATS, np.bincount(np.minimum(voc.pairs.ravel(), K + 2), minlength=K + 3)[1:K + 2].astype(np.int64))
-    star3 = _discounts(met, _STATS3, np.zeros(K + 1, np.int64))
     weights = spark.sparkContext.broadcast(_heavy_weights(met, voc, star))
-    backed = _grouped(met.where(F.col("kind") == _TO_FIRST), buckets, _first_words(shared, star, _hot_masses(voc, buckets), weights))
-    every = met.where(F.col("kind") == _TO_TEXT).unionByName(backed)
-    if order == 3:
-        every = every.unionByName(_grouped(met.where(F.col("kind") == _TO_CONTEXT), buckets, _contexts(star, star3)))
+    every = _grouped(met.where(F.col("kind") == _TO_FIRST), buckets, _first_words(shared, star, _hot_masses(voc, buckets), weights))
+    every = every.unionByName(met.where(F.col("kind").isin(_TO_TEXT, _OWN, _REPLY)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return every.select("dest", "blob").repartition("dest").sortWithinPartitions("dest").mapInArrow(_texts(shared, star, star3), schema)
+    if order == 2:
+        return every.select("dest", "blob").repartition("dest").sortWithinPartitions("dest").mapInArrow(_texts(shared, star), schema)
+    star3 = _discounts(met, _STATS3, np.zeros(K + 1, np.int64))
+    every = every.unionByName(_grouped(met.where(F.col("kind") == _TO_CONTEXT), buckets, _contexts(star, star3)))
+    return every.repartition("dest").sortWithinPartitions("dest", "kind", "chunk").mapInArrow(_texts_of_triples(shared, star, star3), schema)
 
 
 def _hot_sums(voc: Vocabulary) -> np.ndarray:

@@ -206,3 +206,21 @@ def test_query_scores_triples(spark, tmp_path):
 
     got = {r["doc_id"]: r["score"] for r in QUERIES["op1_katz_backoff"](spark, str(tmp_path)).collect()}
     assert got == {r[0]: pytest.approx(r[3], rel=1e-9) for r in brute3(rows)[0]}
+
+
+def test_triples_send_few_bytes(spark, monkeypatch):
+    """What goes to the buckets of triples, and what they hand on, is a few bytes for each token."""
+    monkeypatch.setattr(katz, "BUCKET", 40_000)
+    rows, grouped = [], katz._grouped
+
+    def noted(sent, parts, solve):
+        rows.append(sent)
+        return grouped(sent, parts, solve)
+
+    monkeypatch.setattr(katz, "_grouped", noted)
+    ranks = np.minimum(np.random.default_rng(7).zipf(1.3, (2000, 100)), 20_000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in row)) for i, row in enumerate(ranks.tolist())], "doc_id long, text string").repartition(3)
+    got = katz.score(docs.withColumn("held", katz.held_out(F.col("doc_id"))), order=3)
+    assert got.count() == 2000
+    size = [x.agg(F.sum(F.length("blob"))).first()[0] / (101 * 2000) for x in rows]
+    assert sum(size) < 8, size
