@@ -23,6 +23,15 @@ def test_two_stored_batches(spark, tmp_path):
     assert (y["matched_rows"], y["runtime_only"], y["reference_only"], y["differing_rows"], y["max_abs_diff"]) == (2, 0, 1, 0, 0.0)
 
 
+def test_batches_whose_scores_are_all_equal_have_no_correlation(spark):
+    schema = "id int, g string, score double"
+    a = spark.createDataFrame([(i, g, {"flat": 0.4, "fall": 0.1 * i, "none": None}[g]) for g in ("flat", "fall", "none") for i in range(4)] + [(9, "flat", 0.9)], schema)
+    b = spark.createDataFrame([(i, g, 0.5 - 0.1 * i) for g in ("flat", "fall", "none") for i in range(4)], schema)
+    for one, other in ((a, b), (b, a)):
+        found = {r["g"]: r["correlation"] for r in metrics.batch_parity(one, other, ["id", "g"], "score", ["g"]).collect()}
+        assert found["flat"] is None and found["none"] is None and abs(found["fall"] + 1) < 1e-12
+
+
 def test_policy_overlap(spark):
     rows = [("g", i % 2 == 0, i % 3 == 0, None if i % 5 else True) for i in range(60)]
     frame = spark.createDataFrame(rows, "grp string, a boolean, b boolean, c boolean")
