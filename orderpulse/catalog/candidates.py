@@ -17,12 +17,12 @@ _E = "manufacturer_code, hospital_code, drug_group"
 _G = "horizon, cutoff_month"
 
 
-def entity_features(spark, sf):
-    return cut_lineage(FQ.feats(spark, sf).withColumn("entity_id", A.entity_id(ENTITY)))
+def entity_features(spark, sf, months=None):
+    return cut_lineage(FQ.feats(spark, sf, months=months).withColumn("entity_id", A.entity_id(ENTITY)))
 
 
-def refined(spark, sf):
-    return V.refine(entity_features(spark, sf))
+def refined(spark, sf, months=None):
+    return V.refine(entity_features(spark, sf, months))
 
 
 _ROUTES = ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in V.ROUTES)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from orderpulse.catalog import common
 from orderpulse.catalog import evaluation as EV
 from orderpulse.catalog import features as FQ
 from orderpulse.catalog.base import cte, query, rnd
@@ -33,12 +34,12 @@ FROM mfa m LEFT JOIN (SELECT candidate_id AS cid, cutoff_month AS cm, count(*) F
 """)
 
 
-def outputs(spark, sf):
-    return RR.monthly_rules(FQ.scored(spark, sf))
+def outputs(spark, sf, months=None):
+    return RR.monthly_rules(FQ.scored(spark, sf, months))
 
 
-def candidates(spark, sf):
-    return EV.all_rows(spark, sf).selectExpr("*", "concat(entity_id, '|', horizon) as candidate_id", "p * v as prio")
+def candidates(spark, sf, months=None):
+    return EV.all_rows(spark, sf, months).selectExpr("*", "concat(entity_id, '|', horizon) as candidate_id", "p * v as prio")
 
 
 _DEC = ["final_candidate_status", "review_priority", "risk_level", "evidence_strength"]
@@ -218,9 +219,10 @@ def closure(spark, sf):
     from orderpulse.operators import candidates as K
     from orderpulse.operators import closure as C
 
-    out = cut_lineage(outputs(spark, sf))
-    gated = K.availability_gate(candidates(spark, sf))
-    survival = CQ.refined(spark, sf).select("entity_id", "cutoff_month", "survival_state")
+    months = common.settled_months(spark, sf)
+    out = cut_lineage(outputs(spark, sf, months))
+    gated = K.availability_gate(candidates(spark, sf, months))
+    survival = CQ.refined(spark, sf, months).select("entity_id", "cutoff_month", "survival_state")
     return cut_lineage(C.closure_status(gated, survival, out)), out
 
 

@@ -6,7 +6,8 @@ import time
 import pytest
 
 from orderpulse import session
-from orderpulse.operators import snapshot
+from orderpulse.operators import facts, snapshot
+from orderpulse.schemas import ENTITY, STATIC_COLUMNS
 from orderpulse.sources import star
 
 DAY = dt.date(2000, 1, 3)
@@ -90,6 +91,23 @@ def test_snapshot_in_slices(spark, tmp_path, monkeypatch):
     assert len(whole) > 30 and listed(made) == whole
 
 
+def test_months_in_slices(spark, tmp_path, small_slices):
+    events = [
+        (m, "h", "g", o, f"r{i % 60}", DAY + dt.timedelta(days=i * 3 % 90), None if i % 5 else float(i), None if i % 4 == 0 else f"p{i % 3}", i % 3)
+        for i in range(200) for m in ["m1" if i % 2 else "m2" if i % 3 else None] for o in [None if i % 17 == 0 else f"o{i % 90}"]
+    ]
+    frame = spark.createDataFrame(events, "manufacturer_code string, hospital_code string, drug_group string, order_detail_id string, row_uid string, purchase_time date, q double, c string, phase int").selectExpr(
+        *ENTITY, "order_detail_id", "row_uid", "purchase_time", "last_day(purchase_time) as purchase_month",
+        *[f"q as raw_sensitive_{k}" for k in ("purchase_quantity", "purchase_amount", "delivery_quantity", "arrival_quantity")],
+        *[f"if(phase = {i % 3}, null, c) as {c}" for i, c in enumerate(STATIC_COLUMNS)],
+        "phase as order_phase_code", "5 as delivery_state_code", "phase as order_failure_flag", "1 as order_terminal_flag")
+    frame.write.parquet(path := str(tmp_path / "events"))
+    read = spark.read.parquet(path)
+    assert len(session.slices(read, ["order_detail_id"])) == session.MOST_SLICES
+    one, many = facts.entity_month(read), facts.settled_entity_month(read)
+    assert one.dtypes == many.dtypes and listed(one) == listed(many) and many.count() == 9
+
+
 def test_order_lines_move_for_their_head_and_their_part(spark, tmp_path):
     """Suppliers and customers cost the lines no shuffle of their own."""
     names = {"lineitem": 40, "orders": 20, "customer": 6, "supplier": 5, "part": 4}
