@@ -106,6 +106,9 @@ def test_months_in_slices(spark, tmp_path, small_slices):
     assert len(session.slices(read, ["order_detail_id"])) == session.MOST_SLICES
     one, many = facts.entity_month(read), facts.settled_entity_month(read)
     assert one.dtypes == many.dtypes and listed(one) == listed(many) and many.count() == 9
+    lean, left_out = facts.settled_entity_month(read, attributes=False), [*STATIC_COLUMNS, *[f"last_{c}_in_month" for c in facts.STATUS]]
+    assert lean.dtypes == one.dtypes and listed(lean.drop(*left_out)) == listed(one.drop(*left_out))
+    assert all(r[c] is None for r in lean.collect() for c in left_out)
 
 
 def test_order_lines_move_for_their_head_and_their_part(spark, tmp_path):
